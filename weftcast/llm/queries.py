@@ -15,6 +15,37 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import removal_digests
+
+    return removal_digests(table(spark, sf_dir, "documents"), block=18)
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+pos AS (SELECT rid, i, array_to_string(ws[i:i + 34], ' ') AS win FROM w, unnest(range(1, len(ws) - 33)) AS u(i)),
+rep AS (SELECT win FROM pos GROUP BY win HAVING count(*) > 1),
+covered AS (SELECT DISTINCT rid, i + k AS p FROM pos JOIN rep USING (win), range(35) AS t(k)),
+tok AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM tok ANTI JOIN covered USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
+
+
+def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents),
+g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY h)
+SELECT doc_id, keep_id, n::BIGINT AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encoding_digests
 
@@ -28,8 +59,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op10_token_files": op10_token_files}
+    return {"op2_passages": op2_passages, "op3_bpe": op3_bpe, "op9_exact": op9_exact, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_passages": OP2_SQL, "op9_exact": OP9_SQL}
