@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_part=2, parts=4)
+
+
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import removal_digests
 
@@ -33,6 +39,12 @@ FROM w LEFT JOIN kept USING (rid)
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_part=1, parts=3)
+
+
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_groups
 
@@ -59,7 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_passages": op2_passages, "op3_bpe": op3_bpe, "op9_exact": op9_exact, "op10_token_files": op10_token_files}
+    return {"op1_quality": op1_quality, "op2_passages": op2_passages, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op9_exact": op9_exact, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:

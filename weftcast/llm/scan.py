@@ -120,13 +120,21 @@ def words(texts: Texts, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, texts.at)
 
 
-def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
-    """64-bit hashes of data[start:end]; equal slices have equal hashes wherever they stand."""
-    up, down = powers(base, data.size + 1)
-    sums = np.empty(data.size + 1, U64)
-    sums[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * up[: data.size], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
+class Slices:
+    """64-bit hashes of slices of ``data``; equal slices have equal hashes wherever they stand."""
+
+    def __init__(self, data: np.ndarray, base: int = BYTE_BASE):
+        up, self.down = powers(base, data.size + 1)
+        self.sums = np.empty(data.size + 1, U64)
+        self.sums[0] = 0
+        np.cumsum((data.astype(U64) + U64(1)) * up[: data.size], out=self.sums[1:])
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
+
+
+def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Slices(data).hash(starts, ends)
 
 
 def window_hash(hashes: np.ndarray, n: int, base: int = WORD_BASES[0]) -> np.ndarray:
