@@ -45,6 +45,42 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_part=1, parts=3)
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_assignment
+
+    return shard_assignment(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_sql() -> str:
+    from .licenses import BASE, TEMPLATES, template_regex
+
+    phrases = "\n".join(f"UNION ALL SELECT rid, i - 1 AS pos, '{label}' AS label FROM w, unnest(range(1, len(ws) - {len(p.split()) - 2})) AS u(i) WHERE ws[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in BASE)
+    templates = "\n".join(f"UNION ALL SELECT rid, '{label}' FROM w WHERE regexp_matches(line, ' {template_regex(t)}')" for label, t in TEMPLATES)
+    return f"""
+WITH words AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents),
+w AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM words),
+place(rid, pos, label) AS (SELECT 0::BIGINT, 0::BIGINT, '' WHERE false {phrases}),
+accepted(rid, label) AS (SELECT 0::BIGINT, '' WHERE false {templates}),
+b AS (SELECT rid, count(*) AS n, min(pos) AS low, max(pos) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY rid),
+a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM place UNION SELECT rid, label FROM accepted) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low::BIGINT AS first_word, high::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+CASE WHEN rid IN (SELECT rid FROM accepted) THEN 1.0 WHEN n > 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS score
+FROM w LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
+"""
+
+
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_groups
 
@@ -71,8 +107,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_passages": op2_passages, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op9_exact": op9_exact, "op10_token_files": op10_token_files}
+    every = (op1_quality, op2_passages, op3_bpe, op4_toxicity, op5_shards, op6_leaks, op8_licenses, op9_exact, op10_token_files)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_passages": OP2_SQL, "op9_exact": OP9_SQL}
+    return {"op2_passages": OP2_SQL, "op8_licenses": op8_sql(), "op9_exact": OP9_SQL}
