@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and freed of punctuation; numbers, names and units become typed
-placeholders. Windows of ``width`` canonical words of the benchmark are hashed, and the
+placeholders. Names are placeholders in one view of a text and words in another, so that
+a copy in other capitals is met too. Windows of ``width`` canonical words of the benchmark are hashed, and the
 windows of every document joined with them by hash within the task. Windows that meet on
 one diagonal of a document and an item form a run; its slots have to be consistent, each
 item value standing for one document value and the other way round. A run of at least
@@ -90,6 +91,11 @@ def canonical(texts: Texts):
     return np.where(kind > 0, _placeholder[kind], own), kind, own, np.searchsorted(row, np.arange(texts.n + 1))
 
 
+def _viewed(view: int, hashes: np.ndarray, kind: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Canonical hashes, in view 1 with names as words."""
+    return np.where(kind == NAME, own, hashes) if view else hashes
+
+
 class Index:
     """The windows of a block of the benchmark."""
 
@@ -101,23 +107,23 @@ class Index:
         size = np.diff(self.first)
         self.widths = sorted({int(min(n - 1, width)) for n in size if n >= 5})
         self.tables = {}
-        for w in self.widths:
+        for view, w in ((v, w) for v in (0, 1) for w in self.widths):
             at = np.flatnonzero(window_starts(self.first, w))
             item = np.searchsorted(self.first, at, "right") - 1
             slots = np.append(0, np.cumsum(self.kind > 0))
             ok = (size[item] >= 5) & (np.minimum(size[item] - 1, width) == w) & (2 * (slots[at + w] - slots[at]) <= w)
             at, item = at[ok], item[ok]
-            key = window_hash(self.hash, w)[at]
+            key = window_hash(_viewed(view, self.hash, self.kind, self.own), w)[at]
             order = np.argsort(key, kind="stable")
-            self.tables[w] = key[order], item[order], at[order]
+            self.tables[view, w] = key[order], item[order], at[order]
 
     def leaks(self, texts: Texts) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, first word in the text, words, slots, values that differ) of every leak, one for a row and item."""
         hashes, kind, own, first = canonical(texts)
         met: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        for w, (key, item, at) in self.tables.items():
+        for (view, w), (key, item, at) in self.tables.items():
             where = np.flatnonzero(window_starts(first, w))
-            probe = window_hash(hashes, w)[where]
+            probe = window_hash(_viewed(view, hashes, kind, own), w)[where]
             left, right = np.searchsorted(key, probe, "left"), np.searchsorted(key, probe, "right")
             hit = np.flatnonzero(right > left)
             rows = np.searchsorted(first, where[hit], "right") - 1
@@ -143,9 +149,9 @@ class Index:
         for a, b in spans:
             start, there, back, differ, slots = a, {}, {}, 0, 0
             for p in range(a, b):
-                if kind[p] == WORD:
+                if kind[p] == WORD and self.kind[p - shift] == WORD:
                     continue
-                mine, its = (int(kind[p]), int(own[p])), (int(kind[p]), int(self.own[p - shift]))
+                mine, its = int(own[p]), int(self.own[p - shift])
                 if there.get(its, mine) != mine or back.get(mine, its) != its:
                     yield start, p, slots, differ
                     start, there, back, differ, slots = p, {}, {}, 0, 0
