@@ -51,11 +51,11 @@ def dm_moments(differences: DataFrame, by: list[str], lags: int, time: str = "va
     """The same statistic as windows and one aggregate: products with lagged rows."""
     w = Window.partitionBy(*by).orderBy(time)
     whole = Window.partitionBy(*by)
-    c = differences.withColumn("c", F.col("d") - F.avg("d").over(whole))
+    c = differences.withColumn("__c", F.col("d") - F.avg("d").over(whole))
     for k in range(1, lags + 1):
-        c = c.withColumn(f"c{k}", F.col("c") * F.lag("c", k).over(w))
+        c = c.withColumn(f"__c{k}", F.col("__c") * F.lag("__c", k).over(w))
     n = F.count("*")
-    variance = F.sum(F.col("c") * F.col("c")) / n + sum((2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"c{k}"), F.lit(0.0)) / n for k in range(1, lags + 1)), F.lit(0.0))
+    variance = F.sum(F.col("__c") * F.col("__c")) / n + sum((2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"__c{k}"), F.lit(0.0)) / n for k in range(1, lags + 1)), F.lit(0.0))
     h = lags + 1
     small = F.sqrt(F.greatest((n + 1 - 2 * h + h * (h - 1) / n) / n, F.lit(1e-12)))
     return c.groupBy(*by).agg(n.alias("n"), F.avg("d").alias("mean_diff"), F.when((n >= 8) & (variance > 0), F.avg("d") / F.sqrt(F.when(variance > 0, variance) / n) * small).alias("stat"))
@@ -103,7 +103,7 @@ def confidence_sets(losses: DataFrame, by: list[str], time: str = "valid", **how
 def benjamini_hochberg(p: str, by: list[str]) -> tuple[Column, Column]:
     """Two columns to add one after the other: p * k / rank, and its least value from the rank on."""
     w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(p, *by))
+    rank = F.row_number().over(w.orderBy(F.asc_nulls_last(p)))
     raw = F.when(F.col(p).isNotNull(), F.col(p) * F.count(p).over(w) / rank)
     return raw, F.least(F.lit(1.0), F.min("__raw").over(w.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -147,21 +147,21 @@ def page_hinkley(e: np.ndarray, delta: float = 0.1, clip: float = 8.0) -> tuple[
 def snht(df: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     """The homogeneity statistic: over all splits, the largest k z1^2 + (n - k) z2^2 of standardised means on either side; prefix sums, no resampling."""
     w, whole = Window.partitionBy(*by).orderBy(time), Window.partitionBy(*by)
-    z = df.withColumn("z", F.try_divide(F.col(value) - F.avg(value).over(whole), F.stddev_samp(value).over(whole)))
-    k, s = F.row_number().over(w), F.sum("z").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    parts = z.withColumn("k", k).withColumn("s", s).withColumn("n", F.count("*").over(whole)).withColumn("all", F.sum("z").over(whole))
-    t = F.col("s") * F.col("s") / F.col("k") + (F.col("all") - F.col("s")) * (F.col("all") - F.col("s")) / (F.col("n") - F.col("k"))
-    split = parts.where("k < n").withColumn("t", t)
-    return split.groupBy(*by).agg(F.max("t").alias("t"), F.max_by(time, F.struct(F.round("t", 9), -F.col("k"))).alias("at"), F.first("n").alias("n"))
+    z = df.withColumn("__z", F.try_divide(F.col(value) - F.avg(value).over(whole), F.stddev_samp(value).over(whole)))
+    parts = z.withColumn("__k", F.row_number().over(w)).withColumn("__s", F.sum("__z").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.count("*").over(whole)).withColumn("__all", F.sum("__z").over(whole))
+    rest = F.col("__all") - F.col("__s")
+    t = F.col("__s") * F.col("__s") / F.col("__k") + F.try_divide(rest * rest, F.col("__n") - F.col("__k"))
+    split = parts.withColumn("__t", t).where("__k < __n")
+    return split.groupBy(*by).agg(F.max("__t").alias("t"), F.max_by(time, F.struct(F.round("__t", 9), -F.col("__k"))).alias("at"), F.first("__n").alias("n"))
 
 
 def pettitt(df: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     """The rank test for a change: the largest |2 sum of ranks - k (n + 1)|, and its asymptotic p-value."""
     whole = Window.partitionBy(*by)
-    ranks = df.withColumn("r", F.rank().over(whole.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    ranks = df.withColumn("__r", F.rank().over(whole.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
     w = Window.partitionBy(*by).orderBy(time)
-    u = ranks.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(whole)).withColumn("u", F.abs(2 * F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k") * (F.col("n") + 1)))
-    best = u.groupBy(*by).agg(F.max("u").alias("u"), F.max_by(time, F.struct("u", -F.col("k"))).alias("at"), F.first("n").alias("n"))
+    u = ranks.withColumn("__k", F.row_number().over(w)).withColumn("__n", F.count("*").over(whole)).withColumn("__u", F.abs(2 * F.sum("__r").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__k") * (F.col("__n") + 1)))
+    best = u.groupBy(*by).agg(F.max("__u").alias("u"), F.max_by(time, F.struct("__u", -F.col("__k"))).alias("at"), F.first("__n").alias("n"))
     return best.withColumn("p_value", F.least(F.lit(1.0), 2 * F.exp(-6 * F.col("u") * F.col("u") / (F.col("n") * F.col("n") * (F.col("n") + 1)))))
 
 
