@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import base, forecasts, inference, observations, reports  # noqa: F401
+from . import base, forecasts, inference, observations, operations, reports  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
