@@ -106,10 +106,10 @@ def ag4(spark, d):
 @query("ag5_daily_truth", """WITH z AS (SELECT *, timezone('America/Los_Angeles', timezone('UTC', ts))::DATE AS d FROM events),
 g AS (SELECT d, max(value) AS high, min(value) AS low, count(DISTINCT epoch_us(ts) // 60000000) AS m FROM z GROUP BY 1),
 k AS (SELECT *, m / ((epoch(timezone('America/Los_Angeles', (d + 1)::TIMESTAMP)) - epoch(timezone('America/Los_Angeles', d::TIMESTAMP))) / 60) AS coverage FROM g)
-SELECT d AS day, round(CASE WHEN coverage >= 0.02 THEN high END, 6) AS high, round(CASE WHEN coverage >= 0.02 THEN low END, 6) AS low, round(coverage, 6) AS coverage FROM k""")
+SELECT (d - DATE '1970-01-01')::INTEGER AS day, round(CASE WHEN coverage >= 0.02 THEN high END, 6) AS high, round(CASE WHEN coverage >= 0.02 THEN low END, 6) AS low, round(coverage, 6) AS coverage FROM k""")
 def ag5(spark, d):
     rows = events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return T.daily(rows, [], "value", "ts", "America/Los_Angeles", 0.02).select("day", *[r6(F.col(c), c) for c in ("high", "low", "coverage")])
+    return T.daily(rows, [], "value", "ts", "America/Los_Angeles", 0.02).select(F.unix_date("day").alias("day"), *[r6(F.col(c), c) for c in ("high", "low", "coverage")])
 
 
 @query("ag6_minute_grid", f"WITH {E} SELECT us // 60000000 AS minute, round(avg(value), 6) AS value FROM e GROUP BY 1")
