@@ -8,7 +8,7 @@ shingle). Texts with equal sets are one class from the start and are compared on
    pairs compare them eight at a time and are dropped as soon as the posterior
    probability of reaching the threshold, under a flat prior, falls below ``tolerance``.
 2. Within a band, surviving pairs link classes into clusters. Only links along a tree
-   leave a task, never pairs. A band too large for that (over ``block`` classes) links all
+   leave a task, never pairs. A band too large for that (over ``most`` classes) links all
    its classes: its cluster is coarser and costs more later, but loses nothing.
 3. Connected components are the clusters. A cluster's classes are dealt into blocks by
    hash; every two blocks meet in one task, which prunes all their pairs by the same
@@ -143,13 +143,13 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(b.as_py(), np.uint32) for b in blob]) if len(blob) else np.empty((0, 0), np.uint32)
 
 
-def _linked(needed: dict[int, int], block: int):
+def _linked(needed: dict[int, int], most: int):
     """Within each band key: edges of a tree over the classes that survive pruning."""
 
     def run(batches):
         for table in groups(batches, ["band"]):
             nodes = table.column("set_key").to_numpy()
-            if nodes.size > block:
+            if nodes.size > most:
                 a, b = nodes[1:], np.repeat(nodes[:1], nodes.size - 1)
             else:
                 values, forest = _matrix(table.column("probes")), Forest(nodes.size)
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return joined(docs, **how).drop("text_key")
 
 
-def joined(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, bands: int = 24, rows: int = 4, probes: int = 64, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
+def joined(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, bands: int = 24, rows: int = 4, probes: int = 64, tolerance: float = 1e-6, block: int = 128, most: int = 512) -> DataFrame:
     """doc_id, text_key (a hash of the text), class_id and n_links of every row."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -229,7 +229,7 @@ def joined(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, bands: int
     banded = classes.select("set_key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
     pairs = banded.join(shared, "band").join(classes.select("set_key", "probes"), "set_key")
-    edges = pairs.repartition(parts, "band").sortWithinPartitions("band", "set_key").mapInArrow(_linked(needed, block), "a long, b long")
+    edges = pairs.repartition(parts, "band").sortWithinPartitions("band", "set_key").mapInArrow(_linked(needed, most), "a long, b long")
     cluster = components(edges).select(F.col("node").alias("set_key"), F.col("label").alias("cluster"))
 
     sizes = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
