@@ -69,7 +69,7 @@ def test_license_scan(spark, docs):
     assert licenses.license_scan(docs([])).count() == 0
 
 
-ITEMS = [(1, "If Alice buys 12 apples for 3 dollars and sells 12 pears, how many apples does Alice still have then"), (2, "plain words without any slot at all that go on for quite a while until the end"), (3, "too short"), (4, None), (5, "alpha beta gamma delta epsilon zeta")]
+ITEMS = [(1, "If Alice buys 12 apples for 3 dollars and sells 12 pears, how many apples does Alice still have then"), (2, "plain words without any slot at all that go on for quite a while until the end"), (3, "too short"), (4, None), (5, "alpha beta gamma delta epsilon zeta"), (None, "north wind and sun were arguing over which one was the stronger of them")]
 
 
 def leaked(spark, docs, rows, **how):
@@ -85,16 +85,17 @@ def test_leaks(spark, docs):
         (4, "PLAIN words, without any slot at all; that go on for quite a while until THE end"),
         (5, "plain words without any slot at all"),
         (6, "clean text of other words that is long enough to be looked at by every window there is"),
+        (9, "the north wind and sun were arguing over which one was the stronger of them all"),
         (7, "noise Alpha beta gamma delta epsilon zeta"),
         (8, "if alice buys 12 apples for 3 dollars and sells 12 pears how many apples does alice still have then"),
         *[(None if i is None else i + 100, t) for i, t in ODD],
     ]
-    want = {(1, 1): True, (2, 1): False, (8, 1): True, (4, 2): True, (7, 5): True}
+    want = {(1, 1): True, (2, 1): False, (8, 1): True, (4, 2): True, (7, 5): True, (9, None): True}
     assert leaked(spark, docs, rows) == want
     assert leaked(spark, docs, rows, limit=20) == want
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     table = docs(rows)
-    assert {r["doc_id"] for r in table.collect()} - {r["doc_id"] for r in decontam.clean(table, items).collect()} == {1, 2, 4, 7, 8}
+    assert {r["doc_id"] for r in table.collect()} - {r["doc_id"] for r in decontam.clean(table, items).collect()} == {1, 2, 4, 7, 8, 9}
     assert decontam.clean(table, items).columns == table.columns
     assert decontam.leaks(docs([]), items).count() == 0
     assert decontam.leaks(table, items.where("item_id = 4")).count() == 0

@@ -16,7 +16,8 @@ shuffled.
 Null and empty texts leak nothing. Items of fewer than 5 words identify nothing and are
 left out; short items have windows of all their words but one, as the first may count as
 a name in one place only. Windows mostly of placeholders
-are left out. Rows that repeat give equal rows; so do repeated items. A name is a
+are left out. Rows that repeat give equal rows; so do repeated items, and items
+and rows with a null id are told of as null. A name is a
 capitalised word that doesn't begin a sentence. Columns besides doc_id, item_id and text
 aren't read.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of
+from .common import docs_of, small_batches
 from .scan import Slices, Texts, byte_set, chunks, slice_hash, whole, window_hash, window_starts, words
 
 #: Number words and units.
@@ -169,7 +170,7 @@ def blocks(benchmark: DataFrame, limit: int = 2_000_000, **how) -> list:
     out = []
     for k in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()  # about ``limit`` words
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in own if r["item_id"] is not None), **how)))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index(sorted(((r["item_id"], r["text"]) for r in own), key=str), **how)))
     return out
 
 
@@ -195,6 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, that leak nothing."""
     text = docs.columns.index("text")
+    small_batches(docs.sparkSession)
     for shared in blocks(benchmark, **how):
 
         def run(batches, shared=shared):
