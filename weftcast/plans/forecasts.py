@@ -10,6 +10,7 @@ from ..operators import matrix as M
 from ..operators import methods as X
 from ..operators import temporal as P
 from ..operators.truth import HOUR
+from ..sources.scratch import settled
 from .base import E, events, query, r6
 
 LEADS, CAP, INITIAL, STEP = 48, 12, 240, 120
@@ -52,9 +53,8 @@ def matrix(spark, d):
 
 
 def split(spark, d):
-    rows = matrix(spark, d)
-    _, _, _, snapshots = relations(spark, d)
-    return M.train_test(rows, M.fold_origins(snapshots, INITIAL, STEP), STEP)
+    rows = settled(matrix(spark, d), "matrix")  # fits, corrections and predictions all read it
+    return M.train_test(rows, M.fold_origins(rows, INITIAL, STEP), STEP)
 
 
 def observed(spark, d):
