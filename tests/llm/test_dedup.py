@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 import random
 
 from weftcast.llm import exact, substring
@@ -14,8 +15,21 @@ def test_patricia_against_a_dict():
         node = trie.terminal(key)
         node[2] = (node[2] or 0) + 1
         held[key] = held.get(key, 0) + 1
-    assert sorted(trie.terminals()) == sorted(held.values())
     assert all(trie.terminal(k)[2] == v for k, v in held.items())
+    assert sorted(trie.emptied()) == sorted(held.values())
+    assert not trie.held and not list(trie.emptied())
+
+
+def test_common_prefix():
+    for a, b in ((b"", b"a"), (b"abc", b"abc"), (b"abc", b"abd"), (b"xbc", b"abc"), (b"a" * 99 + b"b", b"a" * 120)):
+        assert exact.common_prefix(a, b) == len(os.path.commonprefix([a, b]))
+
+
+def test_tries_emptied_often(spark, docs):
+    rows = [(k, "shared beginning " * 9 + str(k % 17)) for k in range(100)]
+    for limit in (0, 300):
+        got = exact.owners(docs(rows), "smallest", limit).collect()
+        assert sorted((r["keep_id"], r["group_size"]) for r in got) == [(k, 6 if k < 15 else 5) for k in range(17)]
 
 
 def brute_groups(rows, keep):

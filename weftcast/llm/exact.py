@@ -2,11 +2,12 @@
 
 Texts are normalised by lower-casing A-Z alone. Each map task merges the equal texts of
 a batch, so that a text which a third of all rows share is sent once a batch. Texts are
-dealt out and sorted by length and content hash; full byte strings of one length and
-hash go into a compressed radix trie, whose terminal nodes hold the owner's identifier
-(the largest or the smallest doc_id) and the number of rows. The sort is Spark's and
-spills; a subtree, that of one length and hash, is emptied before the next begins, so
-memory holds the distinct texts of one length and hash: one, collisions aside.
+dealt out by length and content hash, and a partition inserts them in that order as full
+byte strings into a compressed radix trie, whose terminal nodes hold the owner's
+identifier (the smallest or the largest doc_id), the digest and the number of rows. The
+sort is Spark's and spills. A trie that holds over ``TRIE_BYTES`` is emptied subtree by
+subtree at the next change of length or hash, so equal texts always meet in one trie and
+memory holds that many bytes and one text.
 
 Null counts as empty; empty texts are equal. A null doc_id never owns a group that has
 another. Rows that repeat a doc_id and its text stay or go together. Columns besides
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,11 +28,28 @@ from .common import docs_of, shuffle_parts
 from .scan import chunks
 
 
+#: Bytes of distinct labels that a trie holds before it is emptied.
+TRIE_BYTES = 32 << 20
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    """How many leading bytes two strings share, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 class Patricia:
-    """A radix trie over byte strings; a node is [label, children by first byte, terminal]."""
+    """A radix trie over byte strings; a node is [label, children by first byte, terminal]. ``held`` is the bytes of all labels."""
 
     def __init__(self):
         self.root: list = [b"", {}, None]
+        self.held = 0
 
     def terminal(self, key: bytes) -> list:
         """The node that ends ``key``, made if it's new."""
@@ -39,23 +58,27 @@ class Patricia:
             label = node[0]
             rest = key[at : at + len(label)]
             if rest != label:
-                same = next((k for k, (a, b) in enumerate(zip(label, rest)) if a != b), len(rest))
+                same = common_prefix(label, rest)
                 node[:] = [label[:same], {label[same]: [label[same:], node[1], node[2]]}, None]
             at += len(node[0])
             if at == len(key):
                 return node
             if key[at] not in node[1]:
                 node[1][key[at]] = [key[at:], {}, None]
+                self.held += len(key) - at
                 return node[1][key[at]]
             node = node[1][key[at]]
 
-    def terminals(self) -> Iterator:
+    def emptied(self) -> Iterator:
+        """The terminals, subtree by subtree; a subtree is let go as soon as it has been told."""
         todo = [self.root]
         while todo:
             _, children, held = todo.pop()
             if held is not None:
                 yield held
             todo += children.values()
+            children.clear()
+        self.root, self.held = [b"", {}, None], 0
 
 
 def _merged(keep: str, with_text: bool):
@@ -88,48 +111,42 @@ def _merged(keep: str, with_text: bool):
     return run
 
 
-def _owners(keep: str):
+def _owners(keep: str, limit: int):
     best = max if keep == "largest" else min
 
-    def emptied(trie):
-        held = list(trie.terminals())
-        return [(hashlib.sha256(text).digest(), owner, n) for text, owner, n in held]
-
     def run(batches):
-        last, trie, out = None, Patricia(), []
+        last, trie = None, Patricia()
         for batch in batches:
             lengths, hashes, owners, counts = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
             texts = batch.column(2)
             for k, key in enumerate(zip(lengths, hashes)):
-                if key != last:
-                    out += emptied(trie)
-                    last, trie = key, Patricia()
-                text = texts[k].as_py()
+                if key != last and trie.held > limit:
+                    yield from _owner_batches(trie.emptied())
+                last, text = key, texts[k].as_py()
                 node = trie.terminal(text)
                 if node[2] is None:
-                    node[2] = [text, owners[k], counts[k]]
+                    node[2] = [hashlib.sha256(text).digest(), owners[k], counts[k]]
                 else:
                     both = [i for i in (node[2][1], owners[k]) if i is not None]
                     node[2][1], node[2][2] = best(both) if both else None, node[2][2] + counts[k]
-            yield _owner_batch(out)
-            out = []
-        yield _owner_batch(emptied(trie))
+        yield from _owner_batches(trie.emptied())
 
     return run
 
 
-def _owner_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["digest", "keep_id", "group_size"])
+def _owner_batches(rows: Iterator, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, size)):
+        columns = list(zip(*some))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["digest", "keep_id", "group_size"])
 
 
-def owners(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+def owners(docs: DataFrame, keep: str = "smallest", limit: int = TRIE_BYTES) -> DataFrame:
     """digest (SHA-256 of the normalised text), keep_id and group_size of each distinct text."""
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
     sent = docs_of(docs).mapInArrow(_merged(keep, True), "n_bytes long, hash long, text binary, owner long, n long")
     dealt = sent.repartition(shuffle_parts(docs.sparkSession), "n_bytes", "hash").sortWithinPartitions("n_bytes", "hash")
-    return dealt.mapInArrow(_owners(keep), "digest binary, keep_id long, group_size long")
+    return dealt.mapInArrow(_owners(keep, limit), "digest binary, keep_id long, group_size long")
 
 
 def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
