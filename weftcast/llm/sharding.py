@@ -35,7 +35,7 @@ class SlotMap:
 
 
 def units(slot_parts: dict[tuple[int, int], tuple[int, int]], shards: int) -> dict[tuple[int, int], int]:
-    """Bytes of each unit. A slot over a fair share, or with over a fair share of the rows, falls into its parts."""
+    """Bytes of each unit. A slot over a fair share falls into its parts."""
     whole: dict[int, int] = {}
     for (slot, _), (size, _) in slot_parts.items():
         whole[slot] = whole.get(slot, 0) + size

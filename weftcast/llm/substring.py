@@ -63,7 +63,7 @@ def _packed_windows(words_of: np.ndarray, first: np.ndarray, n: int, allowed: np
         second = window_hash(words_of, n, WORD_BASES[1])[lead]
         keys = np.concatenate([value.astype("<u8").view(np.uint8).reshape(-1, 8), second.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
     else:
-        keys = value.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        keys = value.astype("<u4").view(np.uint8).reshape(-1, 4)
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     out = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), bucket.size]):
@@ -117,7 +117,7 @@ def _batch(columns: list) -> pa.RecordBatch:
 
 def _met(held: list[tuple], wide: bool, blocks: bool) -> list[tuple[int, np.ndarray]]:
     """Of one bucket: the chunk and the positions of each entry whose window stands at two places or more (and at a reference block, if ``blocks``)."""
-    width = 12 if wide else 3
+    width = 12 if wide else 4
     sizes = [n for _, n, *_ in held]
     raw = np.concatenate([np.frombuffer(keys, np.uint8).reshape(-1, width) for _, _, keys, _, _ in held])
     entries = [unpack(control, data, n) for _, n, _, control, data in held]
