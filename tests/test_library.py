@@ -108,6 +108,14 @@ def test_sequential_methods(spark, parts):
         assert pred.where("q[0] > q[6]").count() == 0
 
 
+def test_emos_fits_on_every_row(spark):
+    noise = np.random.default_rng(4).normal(0, 1, 1203)
+    at = [(0, k, k + 1, 1, "0-1h", float(noise[k] + (9 if k % 3 == 0 and k < 1200 else 0)), name, float(noise[-k - 1] * 0.1 + bias)) for k in range(1203) for name, bias in (("a", -0.5), ("b", 0.5))]
+    df = spark.createDataFrame(at, "fold int, issue long, valid long, lead long, bucket string, y double, source string, x double")
+    p = [r["p"] for r in sequential.emos(df.where("issue < 1200"), df.where("issue >= 1200")).collect()]
+    assert len(p) == 3 and max(p) < 3  # a third of the rows has the bias, each third one
+
+
 def test_future_truth_changes_nothing(spark):
     df = frame(spark, 2, 400)
     origin = matrix.fold_origins(df, 240, 400)

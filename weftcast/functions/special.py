@@ -85,15 +85,16 @@ def student_sf(t: float, df: float) -> float:
     return tail if t > 0 else 1 - tail
 
 
-def gaussian_crps(mu: float, sigma: float, y: float) -> float:
-    z = (y - mu) / sigma
-    return sigma * (z * (2 * normal_cdf(z) - 1) + 2 * normal_pdf(z) - 1 / math.sqrt(math.pi))
-
-
 def erf(x: np.ndarray) -> np.ndarray:
     return np.vectorize(math.erf, otypes=[float])(x)
 
 
+def gaussian_crps(mu, sigma, y):
+    """Of numbers or of arrays."""
+    z = (y - mu) / sigma
+    return sigma * (z * erf(z / math.sqrt(2)) + math.sqrt(2 / math.pi) * np.exp(-z * z / 2) - 1 / math.sqrt(math.pi))
+
+
 def simplex_search(f, start: np.ndarray, most: int = 400, step: float = 0.1, tolerance: float = 1e-7) -> np.ndarray:
     """Minimum of f by reflection, expansion, contraction and shrinkage of a simplex."""
     points = [np.array(start, float)]

@@ -134,23 +134,23 @@ QUANTILES = OUT + ", q array<double>"
 
 
 def emos(train: DataFrame, test: DataFrame, least: int = 60) -> DataFrame:
-    """A normal law with mean a + b base and spread exp(c + d ln s), s the sources' spread, of least CRPS with weights that fade over 45 days."""
+    """A normal law with mean a + b base and spread exp(c + d ln s), s the sources' spread, of least CRPS with weights that fade over 45 days. Every row with a base and a truth is in the loss."""
 
     def fit(x, y, new, old_frame, _):
         base, spread = _mean(new), np.log(np.maximum(np.nan_to_num(np.nanstd(new, axis=1)), 0.1))
-        if len(y) < least:
+        b = _mean(x)
+        scored = np.isfinite(b) & np.isfinite(y)
+        if scored.sum() < least:
             theta = np.array([0.0, 1.0, 1.0, 0.0])
         else:
-            b, s = _mean(x), np.log(np.maximum(np.nan_to_num(np.nanstd(x, axis=1)), 0.1))
             age = (old_frame["issue"].max() - old_frame["issue"].to_numpy()) / 24
-            w = np.exp(-age / 45)
-            keep = slice(None, None, max(1, len(y) // 400))
+            b, y, s, w = b[scored], y[scored], np.log(np.maximum(np.nan_to_num(np.nanstd(x, axis=1)), 0.1))[scored], np.exp(-age / 45)[scored]
+            w = w / w.sum()
 
             def loss(t):
-                mu, sigma = t[0] + t[1] * b[keep], np.exp(np.clip(t[2] + t[3] * s[keep], -5, 6))
-                return sum(ww * gaussian_crps(m, sd, yy) for m, sd, yy, ww in zip(mu.tolist(), sigma.tolist(), y[keep].tolist(), w[keep].tolist())) / w[keep].sum()
+                return float(w @ gaussian_crps(t[0] + t[1] * b, np.exp(np.clip(t[2] + t[3] * s, -5, 6)), y))
 
-            theta = simplex_search(loss, np.array([0.0, 1.0, math.log(max(np.std(y - b), 0.1)), 0.1]), 200)
+            theta = simplex_search(loss, np.array([0.0, 1.0, math.log(max(np.std(y - b), 0.1)), 0.1]), 400)
         mu, sigma = theta[0] + theta[1] * base, np.exp(np.clip(theta[2] + theta[3] * spread, -5, 6))
         z = np.array([normal_ppf(v) for v in LEVELS])
         return {"p": mu, "q": list(mu[:, None] + sigma[:, None] * z)}
