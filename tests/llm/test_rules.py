@@ -99,3 +99,18 @@ def test_leaks(spark, docs):
     assert decontam.clean(table, items).columns == table.columns
     assert decontam.leaks(docs([]), items).count() == 0
     assert decontam.leaks(table, items.where("item_id = 4")).count() == 0
+
+
+def test_leaks_of_items_mostly_of_placeholders(spark, docs):
+    texts = [
+        "COMPUTE THE SUM OF ALL ODD PRIME NUMBERS BELOW SOME GIVEN BOUND",
+        "Compute the sum 3 5 7 11 13 17 19 23 29 31 37 41",
+        "Paris London Berlin Madrid Rome Vienna Oslo Prague Warsaw Dublin Lisbon Athens Sofia Riga",
+        "what do these few plain words give 3 5 7 11 13 17 19 23 29 31",
+    ]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    other = ["noise " + texts[3].replace(" 3 5 7 11 13", " 4 6 8 12 14"), "noise 103 105 107 111 113 117 119 123 129 131 137 141", "noise Turin Lyon Bonn Malaga Pisa Graz Bergen Brno Lodz Cork Porto Patras Varna Ventspils"]
+    rows = [*((k, "Noise, " + t + " noise") for k, t in enumerate(texts)), *((10 + k, t.lower()) for k, t in enumerate(texts)), *((20 + k, t) for k, t in enumerate(other))]
+    got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["verbatim"]) for r in decontam.leaks(docs(rows), items).collect()}
+    sizes = [len(t.split()) for t in texts]
+    assert got == {(k + at, k): (n, True) for k, n in enumerate(sizes) for at in (0, 10)} | {(20, 3): (sizes[3], False)}

@@ -4,7 +4,7 @@ Words are lower-cased and freed of punctuation; numbers, names and units become
 placeholders. Names are placeholders in one view of a text and words in another, so that
 a copy in other capitals is met too. Windows of ``width`` canonical words of the benchmark are hashed, and the
 windows of every document joined with them by hash within the task. Windows that meet on
-one diagonal of a document and an item form a run; its slots have to be consistent, each
+one diagonal of a document and an item, and the words beside them that agree, form a run; its slots have to be consistent, each
 item value standing for one document value and the other way round. A run of at least
 ``least`` words (or the item less its first word, if that is shorter) is a leak, be it
 verbatim or re-parameterised.
@@ -16,7 +16,7 @@ shuffled.
 Null and empty texts leak nothing. Items of fewer than 5 words identify nothing and are
 left out; short items have windows of all their words but one, as the first may count as
 a name in one place only. Windows mostly of placeholders
-are left out. Rows that repeat give equal rows; so do repeated items, and items
+are looked up by their very words, so they meet verbatim copies only. Rows that repeat give equal rows; so do repeated items, and items
 and rows with a null id are told of as null. A name is a
 capitalised word that doesn't begin a sentence. Columns besides doc_id, item_id and text
 aren't read.
@@ -24,6 +24,7 @@ aren't read.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -93,8 +94,8 @@ def canonical(texts: Texts):
 
 
 def _viewed(view: int, hashes: np.ndarray, kind: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Canonical hashes, in view 1 with names as words."""
-    return np.where(kind == NAME, own, hashes) if view else hashes
+    """Canonical hashes, in view 1 with names as words; in view 2 the words themselves."""
+    return own if view == 2 else np.where(kind == NAME, own, hashes) if view else hashes
 
 
 class Index:
@@ -108,11 +109,14 @@ class Index:
         size = np.diff(self.first)
         self.widths = sorted({int(min(n - 1, width)) for n in size if n >= 5})
         self.tables = {}
-        for view, w in ((v, w) for v in (0, 1) for w in self.widths):
+        for view, w in ((v, w) for v in (0, 1, 2) for w in self.widths):
             at = np.flatnonzero(window_starts(self.first, w))
             item = np.searchsorted(self.first, at, "right") - 1
             slots = np.append(0, np.cumsum(self.kind > 0))
-            ok = (size[item] >= 5) & (np.minimum(size[item] - 1, width) == w) & (2 * (slots[at + w] - slots[at]) <= w)
+            mostly = 2 * (slots[at + w] - slots[at]) > w
+            ok = (size[item] >= 5) & (np.minimum(size[item] - 1, width) == w) & (mostly == (view == 2))
+            if not ok.any():
+                continue
             at, item = at[ok], item[ok]
             key = window_hash(_viewed(view, self.hash, self.kind, self.own), w)[at]
             order = np.argsort(key, kind="stable")
@@ -134,19 +138,16 @@ class Index:
         best: dict[tuple[int, int], tuple] = {}
         for (r, item, shift), windows in met.items():
             need = min(self.least, max(int(self.first[item + 1] - self.first[item]) - 1, 4))
-            for a, b, slots, differ in self._runs(windows, shift, kind, own):
+            for a, b, slots, differ in self._runs(windows, shift, kind, own, max(int(first[r]), int(self.first[item]) + shift), min(int(first[r + 1]), int(self.first[item + 1]) + shift)):
                 if b - a >= need and b - a > best.get((r, item), (0, 0, 0, 0, 0, 0))[3]:
                     best[r, item] = (r, item, int(a - first[r]), b - a, slots, differ)
         return list(best.values())
 
-    def _runs(self, windows, shift, kind, own):
-        """Stretches of a diagonal that windows cover without a gap and whose slots are consistent."""
-        spans: list[list[int]] = []
-        for p, w in sorted(windows):
-            if spans and p <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], p + w)
-            else:
-                spans.append([p, p + w])
+    def _runs(self, windows, shift, kind, own, low, high):
+        """Stretches of a diagonal, from ``low`` to ``high`` at most, that hold a window, agree word by word and whose slots are consistent."""
+        same = (own[low:high] == self.own[low - shift : high - shift]) | (kind[low:high] > 0) & (kind[low:high] == self.kind[low - shift : high - shift])
+        breaks = [low - 1, *(low + np.flatnonzero(~same)).tolist(), high]
+        spans = sorted({(breaks[k - 1] + 1, breaks[k]) for k in (bisect.bisect(breaks, p) for p, _ in windows)})
         for a, b in spans:
             start, there, back, differ, slots = a, {}, {}, 0, 0
             for p in range(a, b):
