@@ -114,3 +114,17 @@ def test_leaks_of_items_mostly_of_placeholders(spark, docs):
     got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["verbatim"]) for r in decontam.leaks(docs(rows), items).collect()}
     sizes = [len(t.split()) for t in texts]
     assert got == {(k + at, k): (n, True) for k, n in enumerate(sizes) for at in (0, 10)} | {(20, 3): (sizes[3], False)}
+
+
+def test_leaks_of_short_items_and_of_values_that_coincide(spark, docs):
+    texts = ["What is the capital of France", "A farmer has 3 cows and 5 goats and sells them all for some money there", "Alice has 5 apples and eats 2 of them"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [
+        (1, "Tell me what is the capital of a company in law"),
+        (2, "So what is the capital of france then"),
+        (3, "x. A farmer has 4 cows and 4 goats and sells them all for some money there, x"),
+        (4, "x. Robert has 7 apples and eats 3 of them, x"),
+        (5, "x. she has 7 apples and eats 3 of them, x"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["verbatim"]) for r in decontam.leaks(docs(rows), items).collect()}
+    assert got == {(2, 0): (6, True), (3, 1): (16, False), (4, 2): (9, False)}

@@ -5,9 +5,10 @@ placeholders. Names are placeholders in one view of a text and words in another,
 a copy in other capitals is met too. Windows of ``width`` canonical words of the benchmark are hashed, and the
 windows of every document joined with them by hash within the task. Windows that meet on
 one diagonal of a document and an item, and the words beside them that agree, form a run; its slots have to be consistent, each
-item value standing for one document value and the other way round. A run of at least
-``least`` words (or the item less its first word, if that is shorter) is a leak, be it
-verbatim or re-parameterised.
+item value standing for one document value (two may stand for the same). A run of at least
+``least`` words (or the whole item, if that is shorter) is a leak, be it
+verbatim or re-parameterised. The first word of such a short item may be a name: capitals
+there agree with those of a document.
 
 The benchmark is broadcast in blocks of at most ``limit`` windows, each block a pass over
 the documents; it is one pass unless the benchmark is that large. Documents are never
@@ -65,11 +66,11 @@ def _in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def canonical(texts: Texts):
-    """For each word: the canonical hash, the kind, the hash of the word itself; and each row's first word. Words of punctuation alone are dropped."""
+    """For each word: the canonical hash, the kind, the hash of the word itself; each row's first word; and for each word whether it has a capital. Words of punctuation alone are dropped."""
     data, (starts, ends, first) = texts.data, words(texts)
     if not starts.size:
         none = np.empty(0, np.uint64)
-        return none, np.empty(0, np.int8), none, np.zeros(texts.n + 1, np.int64)
+        return none, np.empty(0, np.int8), none, np.zeros(texts.n + 1, np.int64), np.empty(0, bool)
     solid = np.append(0, np.cumsum(~_punct[data]))
     n_solid = solid[ends] - solid[starts]
     places = np.flatnonzero(~_punct[data])
@@ -87,10 +88,11 @@ def canonical(texts: Texts):
     sums = [np.append(0, np.cumsum(t[data])) for t in (_digit, _number_mark)]
     digits, marks = (s[core_end] - s[core_start] for s in sums)
     kind = np.zeros(starts.size, np.int8)
-    kind[_upper[data[core_start]] & ~opens] = NAME
+    capital = _upper[data[core_start]]
+    kind[capital & ~opens] = NAME
     kind[_in(_units, own)] = UNIT
     kind[((digits > 0) & (marks == core_end - core_start)) | _in(_number_words, own)] = NUMBER
-    return np.where(kind > 0, _placeholder[kind], own), kind, own, np.searchsorted(row, np.arange(texts.n + 1))
+    return np.where(kind > 0, _placeholder[kind], own), kind, own, np.searchsorted(row, np.arange(texts.n + 1)), capital
 
 
 def _viewed(view: int, hashes: np.ndarray, kind: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], width: int = 8, least: int = 13):
         self.width, self.least = width, least
         texts = whole(pa.array([t for _, t in items], pa.string()))
-        self.hash, self.kind, self.own, self.first = canonical(texts)
+        self.hash, self.kind, self.own, self.first, self.capital = canonical(texts)
         self.item_id = [i for i, _ in items]
         size = np.diff(self.first)
         self.widths = sorted({int(min(n - 1, width)) for n in size if n >= 5})
@@ -124,7 +126,7 @@ class Index:
 
     def leaks(self, texts: Texts) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, first word in the text, words, slots, values that differ) of every leak, one for a row and item."""
-        hashes, kind, own, first = canonical(texts)
+        hashes, kind, own, first, capital = canonical(texts)
         met: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
         for (view, w), (key, item, at) in self.tables.items():
             where = np.flatnonzero(window_starts(first, w))
@@ -137,27 +139,30 @@ class Index:
                     met.setdefault((r, int(item[k]), p - int(at[k])), []).append((p, w))
         best: dict[tuple[int, int], tuple] = {}
         for (r, item, shift), windows in met.items():
-            need = min(self.least, max(int(self.first[item + 1] - self.first[item]) - 1, 4))
-            for a, b, slots, differ in self._runs(windows, shift, kind, own, max(int(first[r]), int(self.first[item]) + shift), min(int(first[r + 1]), int(self.first[item + 1]) + shift)):
+            begin, end = int(self.first[item]), int(self.first[item + 1])
+            need, low = min(self.least, end - begin), max(int(first[r]), begin + shift)
+            name = end - begin <= self.least and low == begin + shift and capital[low] and self.capital[begin] and kind[low] in (WORD, NAME) and self.kind[begin] == WORD
+            for a, b, slots, differ in self._runs(windows, shift, kind, own, low, min(int(first[r + 1]), end + shift), name):
                 if b - a >= need and b - a > best.get((r, item), (0, 0, 0, 0, 0, 0))[3]:
                     best[r, item] = (r, item, int(a - first[r]), b - a, slots, differ)
         return list(best.values())
 
-    def _runs(self, windows, shift, kind, own, low, high):
-        """Stretches of a diagonal, from ``low`` to ``high`` at most, that hold a window, agree word by word and whose slots are consistent."""
+    def _runs(self, windows, shift, kind, own, low, high, name):
+        """Stretches of a diagonal, from ``low`` to ``high`` at most, that hold a window, agree word by word and whose slots are consistent; the first word is a slot if ``name``."""
         same = (own[low:high] == self.own[low - shift : high - shift]) | (kind[low:high] > 0) & (kind[low:high] == self.kind[low - shift : high - shift])
+        same[0] |= name
         breaks = [low - 1, *(low + np.flatnonzero(~same)).tolist(), high]
         spans = sorted({(breaks[k - 1] + 1, breaks[k]) for k in (bisect.bisect(breaks, p) for p, _ in windows)})
         for a, b in spans:
-            start, there, back, differ, slots = a, {}, {}, 0, 0
+            start, there, differ, slots = a, {}, 0, 0
             for p in range(a, b):
-                if kind[p] == WORD and self.kind[p - shift] == WORD:
-                    continue
                 mine, its = int(own[p]), int(self.own[p - shift])
-                if there.get(its, mine) != mine or back.get(mine, its) != its:
+                if mine == its and kind[p] == WORD and self.kind[p - shift] == WORD:
+                    continue
+                if there.get(its, mine) != mine:
                     yield start, p, slots, differ
-                    start, there, back, differ, slots = p, {}, {}, 0, 0
-                there[its], back[mine] = mine, its
+                    start, there, differ, slots = p, {}, 0, 0
+                there[its] = mine
                 slots += 1
                 differ += mine != its
             yield start, b, slots, differ
