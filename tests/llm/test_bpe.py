@@ -81,3 +81,18 @@ def test_token_files(spark, docs, monkeypatch):
     segments = tokenbin.write_token_files(docs(ODD), P.path("byte_bpe_50k.json"), 2, files=2)
     assert tokenbin.read_token_files(segments).count() == len(ODD)
     assert tokenbin.read_token_files(tokenbin.write_token_files(docs([]), P.path("byte_bpe_50k.json"), 2)).count() == 0
+
+
+def test_added_tokens_in_texts(spark, docs):
+    import zlib
+
+    end, tokenizer = "<|endoftext|>", Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [end, f"a {end} b", f"a  {end}{end}\n{end}é's", "<|endof", f"text|>{end}", "", f"{end}'s x  ", None, "plain", f"<|endoftext{end}|>", f"x{end}"]
+    texts += [end.join(noise(4, k)) for k in range(50)]
+    got = sorted(map(tuple, tokenbin.token_digests(tokenbin.write_token_files(docs(list(enumerate(texts))), P.path("byte_bpe_50k.json"), 2, files=2)).collect()))
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want

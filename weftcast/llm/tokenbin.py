@@ -10,13 +10,16 @@ count over the whole corpus comes first and a task holds one segment. Segments k
 how many ids stand before them in their file, so only one number a file is ever
 summed up on the driver.
 
-Null and empty texts have the end id alone. Rows with equal doc_id are ordered by
+Strings of a text that the definition lists as added tokens are one id each, as in the
+library. Null and empty texts have the end id alone. Rows with equal doc_id are ordered by
 text; null ids come first. Columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, shuffle_parts, stored
 from .pretoken import PieceEncoder
-from .scan import chunks
+from .scan import Texts, chunks
 
 SEGMENT_TOKENS = 1 << 21
 SEGMENT_SCHEMA = "file int, segment int, before long, n_tokens long, doc_ids array<long>, lengths array<int>, ranked binary, control binary, data binary"
@@ -91,7 +94,51 @@ class LibraryPieces:
         return out
 
 
-_encoders: dict[int, PieceEncoder] = {}
+class AddedTokenEncoder:
+    """Takes a definition's added tokens out of the texts first, as the library does, and encodes the stretches between them by pre-tokens."""
+
+    def __init__(self, definition: str):
+        listed = [t for t in json.loads(definition).get("added_tokens") or [] if t["content"]]
+        for t in listed:
+            if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+                raise ValueError(f"added token {t['content']!r} takes its surroundings into account")
+        self.id_of = {t["content"].encode(): t["id"] for t in listed}
+        self.pattern = re.compile(b"|".join(map(re.escape, sorted(self.id_of, key=len, reverse=True))))
+        self.encoder = PieceEncoder(LibraryPieces(definition).pieces)
+
+    def found(self, texts: Texts) -> list[tuple[int, int]]:
+        """The end in ``texts.data`` and the length of every added token, the longest of those that begin first; none lies in two rows."""
+        blob, rows = texts.data.tobytes(), set()
+        for token in self.id_of:
+            p = blob.find(token)
+            while p >= 0:
+                rows.add(int(np.searchsorted(texts.at, p, "right")) - 1)
+                p = blob.find(token, p + 1)
+        return [(int(texts.at[row]) + m.end(), m.end() - m.start()) for row in sorted(rows) for m in self.pattern.finditer(texts.text(row))]
+
+    def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, joined, and how many each row has."""
+        found = self.found(texts)
+        if not found:
+            return self.encoder.ids(texts)
+        ends, sizes = np.array(found, np.int64).T
+        inside = np.zeros(texts.data.size + 1, np.int64)
+        inside[ends - sizes] += 1
+        np.subtract.at(inside, ends, 1)
+        kept = np.cumsum(inside[:-1]) == 0
+        # A stretch begins with each row and behind each token; a token that ends a row comes before the next row.
+        cuts = np.concatenate([ends, texts.at])
+        is_row = np.arange(cuts.size) >= ends.size
+        order = np.lexsort((is_row, cuts))
+        cuts, is_row = cuts[order], is_row[order]
+        got, lens = self.encoder.ids(Texts(texts.data[kept], np.append(0, np.cumsum(kept))[cuts]))
+        token = ~is_row[:-1]
+        own = np.array([self.id_of[texts.data[e - n : e].tobytes()] for e, n in found], np.uint32)
+        sums = np.append(0, np.cumsum(lens + token))
+        return np.insert(got, (np.cumsum(lens) - lens)[token], own), np.diff(sums[is_row])
+
+
+_encoders: dict[int, AddedTokenEncoder] = {}
 
 
 def _segment(file: int, number: int, before: int, doc_ids: list, counts: list, ids: list) -> pa.RecordBatch:
@@ -118,7 +165,7 @@ def write_token_files(docs: DataFrame, definition: str, end_id: int, files: int
         key = id(shared.value)
         if key not in _encoders:
             _encoders.clear()
-            _encoders[key] = PieceEncoder(LibraryPieces(shared.value).pieces)
+            _encoders[key] = AddedTokenEncoder(shared.value)
         encoder = _encoders[key]
         file, number, before, held = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids, counts, ids = [], [], []
