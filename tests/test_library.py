@@ -116,6 +116,21 @@ def test_emos_fits_on_every_row(spark):
     assert len(p) == 3 and max(p) < 3  # a third of the rows has the bias, each third one
 
 
+def test_thin_buckets_are_served_by_the_global_fit(spark):
+    rng = np.random.default_rng(5)
+    at = [(0, k, k + lead, lead, bucket, float(k % 7 + rng.normal()), "a", float(k % 7)) for k in range(220) for lead, bucket in ((1, "x"), (2, "y")) if lead == 1 or k % 10 == 0]
+    df = spark.createDataFrame(at, "fold int, issue long, valid long, lead long, bucket string, y double, source string, x double")
+    pred = sequential.or_global(df.where("issue < 200"), df.where("issue >= 200"), sequential.isotonic_distribution)
+    assert {r["bucket"]: r["n"] for r in pred.where("q is not null and p is not null").groupBy("bucket").agg(F.count("*").alias("n")).collect()} == {"x": 20, "y": 2}
+
+
+def test_queries_of_distributions_serve_every_bucket(spark):
+    from weftcast.plans import registry
+
+    of = lambda name: {(r["fold"], r["bucket"], r["n"]) for r in registry.queries()[name](spark, "/root/testdata/sf0.001").collect()}
+    assert of("e32_emos") == of("e35_idr_bucket_subsampled") == of("e36_idr_calibrated")
+
+
 def test_future_truth_changes_nothing(spark):
     df = frame(spark, 2, 400)
     origin = matrix.fold_origins(df, 240, 400)

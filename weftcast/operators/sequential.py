@@ -176,6 +176,14 @@ def isotonic_distribution(train: DataFrame, test: DataFrame, least: int = 100) -
     return per_bucket(train, test, fit, QUANTILES)
 
 
+def or_global(train: DataFrame, test: DataFrame, method) -> DataFrame:
+    """A method's rows; those of a bucket too thin for a law of its own are served by one fitted on all buckets of the fold."""
+    cell = ["fold", "issue", "valid", "lead"]
+    whole = method(*(df.withColumn("bucket", F.lit("all")) for df in (train, test))).select(*cell, F.col("p").alias("whole_p"), F.col("q").alias("whole_q"))
+    served = method(train, test).join(whole, cell, "left")
+    return served.select(*CELL, "y", F.when(F.col("q").isNull(), F.col("whole_p")).otherwise(F.col("p")).alias("p"), F.coalesce("q", "whole_q").alias("q"))
+
+
 def conformal(train: DataFrame, test: DataFrame) -> DataFrame:
     """The base with offsets tracked online over the later 30 % of the training issues: each level's offset starts at an empirical quantile and steps by what it missed."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import inference as I
+from ..operators import methods as X
 from ..operators import relations as R
 from ..operators import sequential as Q
 from .base import E, events, query, r6, read
@@ -190,19 +191,25 @@ def spread(pred):
     return scored.groupBy("fold", "bucket").agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("p") - F.col("y"))), "mae"), r6(F.avg(inside), "coverage80"))
 
 
+def grounded_split(spark, d):
+    """Training and test rows with each source's bias added, as bases of the distributional methods."""
+    train, test = split(spark, d)
+    return X.grounded(train, train), X.grounded(train, test)
+
+
 @query("e32_emos")
 def e32(spark, d):
-    return spread(Q.emos(*split(spark, d)))
+    return spread(Q.emos(*grounded_split(spark, d)))
 
 
 @query("e34_idr")
 def e34(spark, d):
-    return spread(Q.isotonic_distribution(*split(spark, d)))
+    return spread(Q.or_global(*grounded_split(spark, d), Q.isotonic_distribution))
 
 
 @query("e37_conformal")
 def e37(spark, d):
-    return spread(Q.conformal(*split(spark, d)))
+    return spread(Q.conformal(*grounded_split(spark, d)))
 
 
 @query("e39_pop_platt")

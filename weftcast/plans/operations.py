@@ -13,7 +13,7 @@ from ..operators import methods as X
 from ..operators import sequential as Q
 from .base import E, events, query, r6
 from .forecasts import BASE, BASEP, BIAS, CAP, PATH, SCORE, matrix, minutes, observed, relations, score, split
-from .inference import losses, spread
+from .inference import grounded_split, losses, spread
 from .reports import BOARD, pair
 
 BINS = (0, 1, 2, 3, 6, 12, 24)
@@ -112,7 +112,7 @@ def e35(spark, d):
         base, at = Q._mean(x), Q._mean(new)
         if len(y) < 100:
             return {"p": at, "q": [None] * len(at)}
-        rng, grid = np.random.default_rng(len(y)), np.unique(np.quantile(y, np.linspace(0.02, 0.98, 25)))
+        rng, grid = np.random.default_rng(len(y)), np.unique(np.quantile(y, np.linspace(0.02, 0.98, 49)))
         total = np.zeros((len(at), len(grid)))
         for _ in range(50):
             pick = rng.permutation(len(y))[: len(y) // 2]
@@ -123,7 +123,7 @@ def e35(spark, d):
         q = [np.interp(Q.LEVELS, r + np.arange(len(r)) * 1e-12, grid) for r in rows]
         return {"p": np.array([v[3] for v in q]), "q": q}
 
-    return spread(Q.per_bucket(*split(spark, d), fit, Q.QUANTILES))
+    return spread(Q.or_global(*grounded_split(spark, d), lambda train, test: Q.per_bucket(train, test, fit, Q.QUANTILES)))
 
 
 @query("e36_idr_calibrated")
@@ -146,7 +146,7 @@ def e36(spark, d):
         q = [np.interp(levels, r + np.arange(len(r)) * 1e-12, grid) for r in of(at)]
         return {"p": np.array([v[3] for v in q]), "q": q}
 
-    return spread(Q.per_bucket(*split(spark, d), fit, Q.QUANTILES))
+    return spread(Q.or_global(*grounded_split(spark, d), lambda train, test: Q.per_bucket(train, test, fit, Q.QUANTILES)))
 
 
 @query("e38_conformal_ewma")
