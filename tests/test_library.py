@@ -241,3 +241,12 @@ def test_streams(spark, tmp_path):
     assert max(r["e_value"] for r in e) > 20
     last = ran(live.newest(stream().select("k", "ts", "value"), ["k"], "ts", "10 hours"), "update", "newest")
     assert max(r["value"] for r in last) == 299
+
+
+def test_resampling_keeps_serial_correlation():
+    index = inference.block_index(125)
+    assert index.shape == (500, 125) and ((index[:, 1:5] - index[:, :4]) % 125 == 1).all()
+    wave = np.repeat(np.random.default_rng(6).normal(0, 1, 50), 10)
+    assert inference.mean_error(wave) > 1.5 * wave.std() / math.sqrt(len(wave))
+    both = np.stack([wave, -wave], axis=1) + [0, 2 * wave.mean()]  # equal means
+    assert inference.chosen_bias(both) < -0.05

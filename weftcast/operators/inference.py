@@ -61,13 +61,27 @@ def dm_moments(differences: DataFrame, by: list[str], lags: int, time: str = "va
     return c.groupBy(*by).agg(n.alias("n"), F.avg("d").alias("mean_diff"), F.when((n >= 8) & (variance > 0), F.avg("d") / F.sqrt(F.when(variance > 0, variance) / n) * small).alias("stat"))
 
 
+def block_index(n: int, draws: int = 500, seed: int = 20260718) -> np.ndarray:
+    """Rows of resampled series of length n, in circular blocks of the cube root of n."""
+    block = max(1, round(n ** (1 / 3)))
+    starts = np.random.default_rng(seed).integers(0, n, (draws, -(-n // block)))
+    return ((starts[:, :, None] + np.arange(block)) % n).reshape(draws, -1)[:, :n]
+
+
+def chosen_bias(losses: np.ndarray) -> float:
+    """By how much the least mean of resampled losses lies under the least mean (columns are methods)."""
+    return float(losses[block_index(len(losses))].mean(axis=1).min(axis=1).mean() - losses.mean(axis=0).min())
+
+
+def mean_error(series: np.ndarray) -> float:
+    """Standard error of the mean of a series with serial correlation."""
+    return float(series[block_index(len(series))].mean(axis=1).std())
+
+
 def confidence_set(losses: np.ndarray, alpha: float = 0.1, draws: int = 500, seed: int = 20260718) -> np.ndarray:
     """p-values of the model confidence set (columns are methods): the worst by the largest t is dropped while its bootstrap p is under alpha; circular blocks of the cube root of n."""
     n, k = losses.shape
-    block = max(1, round(n ** (1 / 3)))
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(0, n, (draws, -(-n // block)))
-    index = ((starts[:, :, None] + np.arange(block)) % n).reshape(draws, -1)[:, :n]
+    index = block_index(n, draws, seed)
     out, left, reached = np.ones(k), list(range(k)), 0.0
     while len(left) > 1:
         d = losses[:, left] - losses[:, left].mean(axis=1, keepdims=True)

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import inference as I
 from ..operators import matrix as M
 from ..operators import methods as X
 from ..operators import sequential as Q
@@ -200,16 +201,14 @@ def t12(spark, d):
 
 @query("t13_winners_curse")
 def t13(spark, d):
-    """By bucket: how much the least mean loss is too low by being chosen, from resampled valid times."""
+    """By bucket: how much the least mean loss is too low by being chosen, from valid times resampled in blocks."""
 
     def run(key, pdf):
         wide = pdf.pivot_table(index="valid", columns="method", values="loss").dropna().sort_index().to_numpy()
         if len(wide) < 8:
             return pd.DataFrame(columns=range(4))
-        rng = np.random.default_rng(20260718)
-        means = wide[rng.integers(0, len(wide), (400, len(wide)))].mean(axis=1)
         best = wide.mean(axis=0).min()
-        bias = means.min(axis=1).mean() - best
+        bias = I.chosen_bias(wide)
         return pd.DataFrame([[key[0], len(wide), float(best), float(best - bias)]])
 
     return losses(spark, d).groupBy("bucket").applyInPandas(run, "bucket string, n long, winner_mae double, corrected_mae double")
@@ -224,8 +223,7 @@ def t14(spark, d):
         if len(wide) < 8 or wide.shape[1] < 2:
             return pd.DataFrame(columns=range(4))
         diff = (wide["equal_weight"] - wide["grounded_equal_weight"]).to_numpy()
-        rng = np.random.default_rng(20260718)
-        error = diff[rng.integers(0, len(diff), (400, len(diff)))].mean(axis=1).std()
+        error = I.mean_error(diff)
         return pd.DataFrame([[key[0], len(diff), float(diff.mean()), bool(diff.mean() <= error)]])
 
     return losses(spark, d).groupBy("bucket").applyInPandas(run, "bucket string, n long, advantage double, retained boolean")
