@@ -5,7 +5,8 @@ itself a vocabulary entry with one probe. Any other pre-token is merged over its
 linked bytes, a heap giving the pair of least rank and, among equals, the leftmost;
 so a pre-token of n bytes costs O(n log n).
 
-Null and empty texts have no tokens. Repeated rows each give a row. Columns of the
+Null and empty texts have no tokens. Very long texts are encoded whole, each as a chunk of its
+own. Repeated rows each give a row, and so does a null doc_id. Columns of the
 input besides doc_id and text aren't read, whatever their names.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import docs_of
-from .pretoken import PieceEncoder
+from .pretoken import PieceEncoder, flattened
 from .scan import U64, chunks, gathered, mixed, slice_hash
 
 
@@ -120,11 +121,12 @@ class ByteBpe:
         self.table = PerfectHash(slice_hash(self.flat, self.at[:-1], self.at[1:]))
         self.ranks: dict[bytes, int] | None = None
 
-    def pieces(self, pieces: list[bytes], keys: np.ndarray) -> list[list[int]]:
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.ranks is None:
             self.ranks = {t: i for i, t in enumerate(self.tokens)}
         tokens, ranks = self.tokens, self.ranks
-        return [[r] if r >= 0 and tokens[r] == p else merged(p, ranks) for p, r in zip(pieces, self.table.find(keys).tolist())]
+        flat, at = slices(pieces)
+        return flattened([[r] if r >= 0 and tokens[r] == p else merged(p, ranks) for p, r in zip(pieces, self.table.find(slice_hash(flat, at[:-1], at[1:])).tolist())])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, joined, and the length of each."""

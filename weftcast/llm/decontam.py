@@ -14,7 +14,7 @@ The benchmark is broadcast in blocks of at most ``limit`` windows, each block a
 the documents; it is one pass unless the benchmark is that large. Documents are never
 shuffled.
 
-Null and empty texts leak nothing. Items of fewer than 5 words identify nothing and are
+Null and empty texts leak nothing; very long ones are looked at whole. Items of fewer than 5 words identify nothing and are
 left out; short items have windows of all their words but one, as the first may count as
 a name in one place only. Windows mostly of placeholders
 are looked up by their very words, so they meet verbatim copies only. Rows that repeat give equal rows; so do repeated items, and items
@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, small_batches
-from .scan import Slices, Texts, byte_set, chunks, slice_hash, whole, window_hash, window_starts, words
+from .common import docs_of
+from .scan import Texts, byte_set, chunks, slice_hash, whole, window_hash, window_starts, words
 
 #: Number words and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
@@ -83,8 +83,7 @@ def canonical(texts: Texts):
     starts, ends, row, opens = starts[keep], ends[keep], row[keep], opens[keep]
     core_start = places[solid[starts]]
     core_end = places[solid[ends] - 1] + 1
-    slices = Slices(_lower[data])
-    own = slices.hash(core_start, core_end)
+    own = slice_hash(_lower[data], core_start, core_end)
     sums = [np.append(0, np.cumsum(t[data])) for t in (_digit, _number_mark)]
     digits, marks = (s[core_end] - s[core_start] for s in sums)
     kind = np.zeros(starts.size, np.int8)
@@ -202,7 +201,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, that leak nothing."""
     text = docs.columns.index("text")
-    small_batches(docs.sparkSession)
     for shared in blocks(benchmark, **how):
 
         def run(batches, shared=shared):

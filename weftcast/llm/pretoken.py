@@ -8,10 +8,11 @@ evaluated on arrays of code points instead of by a regular-expression engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
-from .scan import Texts, gathered, slice_hash
+from .scan import U64, Texts, gathered, same_slices, slice_hash
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 _classes: np.ndarray | None = None
@@ -80,24 +81,47 @@ def pretokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (starts, ends, first) if byte_at is None else (byte_at[starts], byte_at[ends], first)
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct slice, and which of them every slice is. Hashes tell the slices apart and their bytes decide: what has the hash of another slice without being equal to it becomes one of its own."""
+    n = starts.size
+    places = U64((1 << int(n).bit_length()) - 1)
+    ordered = np.sort(slice_hash(data, starts, ends) & ~places | np.arange(n, dtype=U64))  # of one value: the hash without its last bits, the place in their stead
+    order = (ordered & places).astype(np.int64)
+    new = np.append(True, ordered[1:] & ~places != ordered[:-1] & ~places)[:n]
+    where, inverse = order[new], np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    size, first = ends - starts, where[inverse]
+    odd = np.flatnonzero((size != size[first]) | ~same_slices(data, starts, starts[first], np.minimum(size, size[first])))
+    if odd.size:
+        own: dict[bytes, int] = {}
+        for k in odd.tolist():
+            inverse[k] = own.setdefault(data[starts[k] : ends[k]].tobytes(), where.size + len(own))
+        some, at = np.unique(inverse[odd], return_index=True)
+        where = np.append(where, odd[at])
+    return where, inverse
+
+
+def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids, joined, and their lengths."""
+    return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+
 class PieceEncoder:
-    """Encodes texts pre-token by pre-token; what a pre-token gives is kept until ``limit`` of them are held.
+    """Encodes texts pre-token by pre-token; what a pre-token gives is kept, by its bytes, until ``limit`` of them are held.
 
-    ``encode`` takes distinct pre-tokens with their hashes and returns the ids of each.
+    ``encode`` takes distinct pre-tokens and returns the ids of all, joined, and how many each has.
     """
 
-    def __init__(self, encode: Callable[[list[bytes], np.ndarray], list], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.ends = np.zeros(1 << 14, np.int64)  # ends[k + 1] is the end of slot k
 
-    def _add(self, keys: list[int], found: list) -> None:
-        ids = np.fromiter((i for x in found for i in x), np.uint32)
-        lens = np.fromiter(map(len, found), np.int64, len(found))
+    def _add(self, keys: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         have, used = len(self.slot), self.used
         while self.flat.size < used + ids.size:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -113,18 +137,17 @@ class PieceEncoder:
         starts, ends, first = pretokens(texts)
         if not starts.size:
             return np.empty(0, np.uint32), np.zeros(texts.n, np.int64)
-        keys, where, inverse = np.unique(slice_hash(texts.data, starts, ends), return_index=True, return_inverse=True)
+        where, inverse = distinct(texts.data, starts, ends)
         if len(self.slot) > self.limit:
             self.clear()
-        listed = keys.tolist()
-        get = self.slot.get
-        slots = np.fromiter((get(k, -1) for k in listed), np.int64, len(listed))
+        blob = texts.data.tobytes()
+        pieces = [blob[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+        slots = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(slots < 0)
         if new.size:
-            blob = texts.data.tobytes()
-            pieces = [blob[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
+            fresh = [pieces[k] for k in new.tolist()]
             have = len(self.slot)
-            self._add([listed[k] for k in new.tolist()], self.encode(pieces, keys[new]))
+            self._add(fresh, *self.encode(fresh))
             slots[new] = np.arange(have, have + new.size)
         ids, lens = gathered(self.flat, self.ends, slots[inverse])
         sums = np.zeros(lens.size + 1, np.int64)

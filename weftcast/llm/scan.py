@@ -9,6 +9,7 @@ one text if it is longer).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,26 +18,11 @@ import pyarrow as pa
 U64 = np.uint64
 #: Texts are taken together up to this size; one longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
-#: Odd multipliers (3 modulo 4), so that windows that swap words keep apart.
-BYTE_BASE = 0x9E3779B97F4A7C1B
-WORD_BASES = (0xD1B54A32D192ED03, 0xA0761D6478BD642F)
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i below n at least."""
-    have = _powers.get(base)
-    if have is None or have[0].size < n:
-        size = max(1024, 1 << int(n - 1).bit_length())
-        up, down = np.empty(size, U64), np.empty(size, U64)
-        up[0] = down[0] = 1
-        up[1:] = U64(base)
-        down[1:] = U64(pow(base, -1, 1 << 64))
-        have = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have
+#: Odd multipliers of the hashes, one for each kind of window hash.
+BYTE_FACTOR = U64(0x9E3779B97F4A7C15)
+WINDOW_FACTORS = (U64(0xD1B54A32D192ED03), U64(0xA0761D6478BD642F))
+#: Words over this many bytes are hashed one by one; shorter ones together, eight bytes at a time.
+LONG_WORD = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -120,32 +106,69 @@ def words(texts: Texts, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, texts.at)
 
 
-class Slices:
-    """64-bit hashes of slices of ``data``; equal slices have equal hashes wherever they stand."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one little-endian number, zeros behind the end; a view of a copy, not eight times the size."""
+    padded = np.zeros(data.size + 8, np.uint8)
+    padded[: data.size] = data
+    return np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view("<u8"), (data.size + 1,), (1,))
 
-    def __init__(self, data: np.ndarray, base: int = BYTE_BASE):
-        up, self.down = powers(base, data.size + 1)
-        self.sums = np.empty(data.size + 1, U64)
-        self.sums[0] = 0
-        np.cumsum((data.astype(U64) + U64(1)) * up[: data.size], out=self.sums[1:])
 
-    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
+#: For a length of 0 to 8 bytes: the bits that belong to it.
+_of_length = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Slices(data).hash(starts, ends)
-
-
-def window_hash(hashes: np.ndarray, n: int, base: int = WORD_BASES[0]) -> np.ndarray:
-    """Hashes of every n consecutive entries."""
-    if hashes.size < n:
+    """64-bit hashes of slices of ``data``; equal slices have equal hashes wherever they stand. Slices of at most eight bytes and equal length never collide; in longer ones every block is mixed into what stands before it, so no pattern of their bytes makes two hashes meet."""
+    size = ends - starts
+    at8 = eights(data)
+    out = mixed(size.astype(U64) * BYTE_FACTOR + U64(1))
+    if not size.size:
+        return out
+    out = mixed(out ^ (at8[starts] & _of_length[np.minimum(size, 8)]))
+    live = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while live.size:
+        part = at8[starts[live] + done] & _of_length[np.minimum(size[live] - done, 8)]
+        out[live] = mixed(out[live] * BYTE_FACTOR + part)
+        done += 8
+        live = live[size[live] > done]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_slices(data: np.ndarray, starts: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``starts`` and from ``others`` on agree over ``size`` bytes."""
+    at8 = eights(data)
+    out = np.ones(size.size, bool)
+    live, done = np.flatnonzero((starts != others) & (size > 0)), 0
+    while live.size:
+        if done >= LONG_WORD:
+            for k in live.tolist():
+                out[k] = np.array_equal(data[starts[k] + done : starts[k] + size[k]], data[others[k] + done : others[k] + size[k]])
+            break
+        differ = (at8[starts[live] + done] ^ at8[others[live] + done]) & _of_length[np.minimum(size[live] - done, 8)]
+        out[live] &= differ == 0
+        done += 8
+        live = live[size[live] > done]
+    return out
+
+
+def window_hash(hashes: np.ndarray, n: int, kind: int = 0) -> np.ndarray:
+    """Hashes of every n consecutive entries, put together from windows of 1, 2, 4 and so on entries, each mixed."""
+    size, factor = hashes.size - n + 1, WINDOW_FACTORS[kind]
+    if size <= 0:
         return np.empty(0, U64)
-    up, down = powers(base, hashes.size + 1)
-    sums = np.empty(hashes.size + 1, U64)
-    sums[0] = 0
-    np.cumsum(hashes * up[: hashes.size], out=sums[1:])
-    return mixed((sums[n:] - sums[:-n]) * down[: hashes.size - n + 1])
+    out, part, length, at = None, hashes, 1, 0  # part: windows of ``length`` entries
+    while True:
+        if n & length:
+            own = part[at : at + size]
+            out = mixed(own ^ factor) if out is None else mixed(out * factor + own)
+            at += length
+        if 2 * length > n:
+            return out
+        part = mixed(part[:-length] * factor + part[length:])
+        length *= 2
 
 
 def window_starts(first: np.ndarray, n: int) -> np.ndarray:

@@ -13,8 +13,9 @@ third of all rows share gives its bucket one entry a chunk, not one a row, and n
 is ever paired. A chunk's own record says which of its windows equal which. Text moves
 only for documents that have an anchor.
 
-Null and empty texts have no words. Texts shorter than a window lose nothing. Rows that
-repeat, even with the same doc_id, are separate places and lose their passages alike.
+Null and empty texts have no words. Texts shorter than a window lose nothing; very long ones
+are chunks of their own and repeat within themselves too. Rows that repeat, even with the same
+or a null doc_id, are separate places and lose their passages alike.
 Columns besides doc_id and text aren't read.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import docs_of, shuffle_parts, stored
-from .scan import U64, WORD_BASES, chunks, slice_hash, window_hash, window_starts, words
+from .scan import U64, chunks, slice_hash, window_hash, window_starts, words
 from .tokenbin import pack, unpack
 
 CHUNK = 4 << 20
@@ -60,7 +61,7 @@ def _packed_windows(words_of: np.ndarray, first: np.ndarray, n: int, allowed: np
     by = np.lexsort((lead, bucket))
     lead, many, block, value, bucket = lead[by], many[by], block[by], value[by] // U64(buckets), bucket[by]
     if wide:
-        second = window_hash(words_of, n, WORD_BASES[1])[lead]
+        second = window_hash(words_of, n, 1)[lead]
         keys = np.concatenate([value.astype("<u8").view(np.uint8).reshape(-1, 8), second.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
     else:
         keys = value.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -238,7 +239,8 @@ def repeated_windows(docs: DataFrame, block: int = 18) -> tuple[DataFrame, DataF
     some = anchored.where(F.size("hits") > 0).dropDuplicates(key).select("doc_id", "text_key", "n_words", "hits")
     left, right = keyed.alias("l"), some.alias("r")
     same = F.col("l.text_key").eqNullSafe(F.col("r.text_key")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-    joined = left.join(right, same).select("l.doc_id", "l.text", "l.text_key", "r.n_words", "r.hits")
+    # Stored, so that a task that runs again sees its rows in the same order: places in a chunk are told by it.
+    joined = stored(left.join(right, same).select("l.doc_id", "l.text", "l.text_key", "r.n_words", "r.hits"), "anchored-texts")
     full = _repeats(joined, length, wide=True, candidates=block).dropDuplicates(key).select("doc_id", "text_key", F.col("hits").alias("starts"))
     left, right = joined.alias("l"), full.alias("r")
     return plain, left.join(right, same).select("l.doc_id", "l.text", "l.n_words", F.col("r.starts").alias("hits"))

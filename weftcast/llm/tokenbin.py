@@ -11,7 +11,7 @@ how many ids stand before them in their file, so only one number a file is ever
 summed up on the driver.
 
 Strings of a text that the definition lists as added tokens are one id each, as in the
-library. Null and empty texts have the end id alone. Rows with equal doc_id are ordered by
+library. Null and empty texts have the end id alone; a very long one is a segment. Rows with equal doc_id are ordered by
 text; null ids come first. Columns besides doc_id and text aren't read.
 """
 
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import docs_of, shuffle_parts, stored
-from .pretoken import PieceEncoder
-from .scan import Texts, chunks
+from .pretoken import PieceEncoder, flattened
+from .scan import Texts, chunks, gathered
 
 SEGMENT_TOKENS = 1 << 21
+#: Pre-tokens that go to the library as one text.
+RUN = 2000
 SEGMENT_SCHEMA = "file int, segment int, before long, n_tokens long, doc_ids array<long>, lengths array<int>, ranked binary, control binary, data binary"
 
 #: For every control byte: the lengths of its four values, where each starts, and their sum.
@@ -76,22 +78,23 @@ class LibraryPieces:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
 
-    def pieces(self, pieces: list[bytes], keys: np.ndarray) -> list[list[int]]:
-        texts = [p.decode() for p in pieces]
-        out: list = [None] * len(texts)
-        joined = [k for k, t in enumerate(texts) if len(t) > 1 and t[0] == " " and not t[1].isspace()]
-        runs = [joined[a : a + 2000] for a in range(0, len(joined), 2000)]
-        for run, done in zip(runs, self.tokenizer.encode_batch(["".join([texts[k] for k in run]) for run in runs], add_special_tokens=False)):
-            ids, word = done.ids, np.array(done.word_ids)
-            if word[-1] + 1 != len(run):
-                continue  # each by itself, below
-            cuts = np.searchsorted(word, np.arange(len(run) + 1)).tolist()
-            for k, a, b in zip(run, cuts, cuts[1:]):
-                out[k] = ids[a:b]
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, done in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
-            out[k] = done.ids
-        return out
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # A space and a visible ASCII character: nothing that stands before or behind changes where the library cuts.
+        joined = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == 32 and 32 < p[1] < 127]
+        order, ids, lens = [], [], []
+        runs = [joined[a : a + RUN] for a in range(0, len(joined), RUN)]
+        for run, done in zip(runs, self.tokenizer.encode_batch([b"".join([pieces[k] for k in run]).decode() for run in runs], add_special_tokens=False)):
+            count = np.bincount(np.array(done.word_ids))
+            if count.size == len(run):  # else each by itself, below
+                order += run
+                ids.append(np.array(done.ids, np.uint32))
+                lens.append(count)
+        rest = sorted(set(range(len(pieces))).difference(order))
+        more, count = flattened([d.ids for d in self.tokenizer.encode_batch_fast([pieces[k].decode() for k in rest], add_special_tokens=False)])
+        place = np.empty(len(pieces), np.int64)
+        place[np.array(order + rest, np.int64)] = np.arange(len(pieces))
+        at = np.append(0, np.cumsum(np.concatenate([*lens, count])))
+        return gathered(np.concatenate([*ids, more]), at, place)
 
 
 class AddedTokenEncoder:

@@ -6,11 +6,11 @@ words and their first letters that labelled toxic texts have far oftener than ot
 A bounded sample of labelled rows (``sample``, those of least hash) is cross-fitted in
 four parts by hash: a row's features come from a lexicon, and its raw score for the
 isotonic calibration from trees, that haven't seen its part, so that nothing judges its
-own evidence. Lexicon counts are Spark aggregates, of which at most ``entries`` come to
-the driver.
+own evidence. Lexicon counts are Spark aggregates; the driver gets the entries alone, of which
+each stands in three toxic texts of the sample at least.
 
-Null and empty texts have features of zero and a score as the trees give it. Rows that
-repeat score alike. Without both labels every score is the sample's share, or 0.5.
+Null and empty texts have features of zero and a score as the trees give it; very long texts
+count whole. Rows that repeat, and ties, score alike; a null doc_id is scored and never held out. Without both labels every score is the sample's share, or 0.5.
 Columns besides doc_id and text aren't read.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, fold, stored
 from .quality import labelled
-from .scan import Slices, Texts, byte_set, chunks, slice_hash, words
+from .scan import Texts, byte_set, chunks, slice_hash, words
 
 #: Second-person words of the languages of the corpus.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deiner deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os vuestro".split()
@@ -61,11 +61,11 @@ def _found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def word_keys(texts: Texts):
     """Starts, ends and first words of each row; hashes of the folded words, and of their beginnings (each kind its own)."""
     starts, ends, first = words(texts, _split)
-    slices = Slices(_fold[texts.data])
-    keys = [slices.hash(starts, ends)]
+    folded = _fold[texts.data]
+    keys = [slice_hash(folded, starts, ends)]
     for k, n in enumerate(PREFIXES):
         long_ = ends - starts > n
-        part = slices.hash(starts, np.minimum(starts + n, ends)) + np.uint64(k + 1)
+        part = slice_hash(folded, starts, np.minimum(starts + n, ends)) + np.uint64(k + 1)
         keys.append(np.where(long_, part, np.uint64(0)))
     return starts, ends, first, keys
 
@@ -203,7 +203,7 @@ class Model:
 FOLDS = 4
 
 
-def learned_lexicons(rows: DataFrame, entries: int = 20_000, least: int = 3, ratio: float = 6.0) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+def learned_lexicons(rows: DataFrame, least: int = 3, ratio: float = 6.0) -> list[list[tuple[np.ndarray, np.ndarray]]]:
     """Lexicons that leave out each part of the rows, and last that of all rows. A lexicon has, for whole words and each kind of beginning, sorted hashes and log odds. rows: doc_id, text, label, part."""
     n = {(r["part"], r["label"]): r["n"] for r in rows.groupBy("part", "label").agg(F.count("*").alias("n")).collect()}
 
@@ -231,7 +231,7 @@ def learned_lexicons(rows: DataFrame, entries: int = 20_000, least: int = 3, rat
         return F.when((one >= least) & (value > float(np.log(ratio))), value)
 
     told = counted.select("kind", "key", *[odds(f).alias(f"o{f}") for f in range(FOLDS + 1)])
-    best = told.withColumn("most", F.greatest(*[f"o{f}" for f in range(FOLDS + 1)])).where("most is not null").orderBy(F.desc("most"), "kind", "key").limit(entries).collect()
+    best = told.where(F.coalesce(*[f"o{f}" for f in range(FOLDS + 1)]).isNotNull()).collect()
     out = []
     for f in range(FOLDS + 1):
         tables = []
