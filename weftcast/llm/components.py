@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -17,9 +17,12 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         next_ = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         own = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         next_ = stored(next_.join(own, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
+        dropped(labels)
         labels = next_.select("node", "label")
+        labels._stored_at = next_._stored_at
         if not next_.where("label <> old").limit(1).count():
             break
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+    dropped(both)
     return labels

@@ -9,7 +9,8 @@ sort is Spark's and spills. A trie that holds over ``TRIE_BYTES`` is emptied sub
 subtree at the next change of length or hash, so equal texts always meet in one trie and
 memory holds that many bytes and one text.
 
-Null counts as empty; empty texts are equal. A null doc_id never owns a group that has
+Null counts as empty; empty texts are equal. Very long texts are keys as any other, and memory
+holds one of them at least. A null doc_id never owns a group that has
 another. Rows that repeat a doc_id and its text stay or go together. Columns besides
 doc_id and text aren't read.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, shuffle_parts
+from .common import as_rows, docs_of, shuffle_parts
 from .scan import chunks
 
 
@@ -164,7 +165,7 @@ def normalised_digest(text: Column) -> Column:
 
 def deduplicated(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs``, all columns, that own their text."""
-    left = docs.withColumn("__digest", normalised_digest(docs["text"]))
-    kept = owners(docs, keep).select(F.col("digest").alias("__owner_digest"), F.col("keep_id").alias("__keep_id"))
-    same = (F.col("__digest") == F.col("__owner_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id"))
-    return left.join(kept, same, "left_semi").select(*[left[f"`{c}`"] for c in docs.columns])
+    left = as_rows(docs).select("doc_id", normalised_digest(F.col("text")).alias("digest"), "row").alias("d")
+    kept = owners(docs, keep).select("digest", "keep_id").alias("k")
+    same = (F.col("d.digest") == F.col("k.digest")) & F.col("d.doc_id").eqNullSafe(F.col("k.keep_id"))
+    return left.join(kept, same, "left_semi").select("row.*")

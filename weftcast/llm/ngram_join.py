@@ -8,26 +8,31 @@ shingle). Texts with equal sets are one class from the start and are compared on
    pairs compare them eight at a time and are dropped as soon as the posterior
    probability of reaching the threshold, under a flat prior, falls below ``tolerance``.
 2. Within a band, surviving pairs link classes into clusters. Only links along a tree
-   leave a task, never pairs. A band too large for that (over ``most`` classes) links all
-   its classes: its cluster is coarser and costs more later, but loses nothing.
+   leave a task, never pairs. A band of over ``most`` classes isn't gathered: a grouped
+   minimum links all its classes to the least, so its cluster is coarser and is pruned in
+   the next step.
 3. Connected components are the clusters. A cluster's classes are dealt into blocks by
-   hash; every two blocks meet in one task, which prunes all their pairs by the same
-   posterior and verifies the rest exactly on the shingle sets. It returns the number
-   of links of each class and again only a tree of them.
+   hash and every two blocks meet in one task. Where there are many blocks, MinHash values
+   meet first, and shingles travel only for classes that have a surviving pair there. The
+   rest is verified exactly on the shingle sets. It returns the number of links of each
+   class and again only a tree of them.
 
 So the join's output is linear in the classes while every link is counted. The work on a
 cluster of n near copies, all different, is n * n / block rows and n * n / 2 comparisons:
 counting links among them costs no less. A pair at the threshold shares no band with
 probability (1 - threshold**rows)**bands, 3e-6 by default, and is pruned with about
-``tolerance``.
+``tolerance``. A class is told by 128 bits of a cryptographic hash of its shingles, which are
+64-bit hashes of words that no pattern in the text brings together.
 
-Null and empty texts have no shingles, no links and are classes of their own. Rows that
-repeat are members of one class; a null doc_id is a member as any other, but never names
-the class if another can. Columns besides doc_id and text aren't read.
+Null and empty texts have no shingles, no links and are classes of their own. Very long texts
+are whole: a text is one set, in the memory of one task. Rows that repeat are members of one
+class; a null doc_id is a member as any other, but never names the class if another can. Ties
+of similarity at the threshold are links. Columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, shuffle_parts, stored
+from .common import as_rows, docs_of, shuffle_parts, stored
 from .components import components
 from .scan import U64, chunks, groups, mixed, slice_hash, window_hash, window_starts, words
 
@@ -114,6 +119,11 @@ class Forest:
                 self.up[max(a, b)] = min(a, b)
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    """What tells a set from others: 128 bits of a hash of its sorted members."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _classes(n_words: int, bands: int, rows: int, probes: int):
     """doc_id and text_key, a key of the shingle set, and the values of both kinds; null for texts without shingles."""
 
@@ -125,7 +135,7 @@ def _classes(n_words: int, bands: int, rows: int, probes: int):
                     if not s.size:
                         keys.append(None), band.append(None), probe.append(None)
                         continue
-                    keys.append(int(mixed(np.array([np.bitwise_xor.reduce(mixed(s)) + U64(s.size)]))[0].view(np.int64)))
+                    keys.append(set_key(s))
                     values = min_hashes(s, 0, bands * rows + probes)
                     lanes = values[: bands * rows].astype(np.uint64).reshape(bands, rows)
                     key = mixed(np.arange(bands, dtype=np.uint64) + U64(77))
@@ -133,7 +143,7 @@ def _classes(n_words: int, bands: int, rows: int, probes: int):
                         key = mixed(key ^ lanes[:, r])
                     band.append(key.view(np.int64).tolist())
                     probe.append(values[bands * rows :].tobytes())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(texts.first, texts.n) for c in (0, 2)), pa.array(keys, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(probe, pa.binary())], names=["doc_id", "text_key", "set_key", "bands", "probes"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(texts.first, texts.n) for c in (0, 2)), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(probe, pa.binary())], names=["doc_id", "text_key", "set_key", "bands", "probes"])
 
     return run
 
@@ -143,22 +153,40 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(b.as_py(), np.uint32) for b in blob]) if len(blob) else np.empty((0, 0), np.uint32)
 
 
-def _linked(needed: dict[int, int], most: int):
+def _linked(needed: dict[int, int]):
     """Within each band key: edges of a tree over the classes that survive pruning."""
 
     def run(batches):
         for table in groups(batches, ["band"]):
-            nodes = table.column("set_key").to_numpy()
-            if nodes.size > most:
-                a, b = nodes[1:], np.repeat(nodes[:1], nodes.size - 1)
-            else:
-                values, forest = _matrix(table.column("probes")), Forest(nodes.size)
-                forest.join(*surviving(values, values, needed, True))
-                roots = np.array([forest.root(k) for k in range(nodes.size)])
-                some = np.flatnonzero(roots != np.arange(nodes.size))
-                a, b = nodes[some], nodes[roots[some]]
-            if a.size:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            nodes = table.column("node").to_numpy()
+            values, forest = _matrix(table.column("probes")), Forest(nodes.size)
+            forest.join(*surviving(values, values, needed, True))
+            roots = np.array([forest.root(k) for k in range(nodes.size)])
+            some = np.flatnonzero(roots != np.arange(nodes.size))
+            if some.size:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[roots[some]])], names=["a", "b"])
+
+    return run
+
+
+def _sides(table: pa.Table) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """The two blocks that meet, and which rows belong to either."""
+    one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    mine = table.column("block").to_numpy()
+    return one, two, np.flatnonzero(mine == one), np.flatnonzero(mine == two)
+
+
+def _alive(needed: dict[int, int]):
+    """For each two blocks of a cluster: the classes that have a pair which pruning leaves."""
+
+    def run(batches):
+        for table in groups(batches, ["cluster", "one", "two"]):
+            one, two, a, b = _sides(table)
+            values = _matrix(table.column("probes"))
+            i, j = surviving(values[a], values[b], needed, one == two)
+            some = np.unique(np.concatenate([a[i], b[j]]))
+            if some.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(some.size, table.column("cluster")[0].as_py())), pa.array(np.full(some.size, one, np.int32)), pa.array(np.full(some.size, two, np.int32)), table.column("node").combine_chunks().take(pa.array(some))], names=["cluster", "one", "two", "node"])
 
     return run
 
@@ -189,11 +217,10 @@ def _verified(threshold: float, needed: dict[int, int]):
 
     def run(batches):
         for table in groups(batches, ["cluster", "one", "two"]):
-            one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-            nodes, mine, members = (table.column(c).to_numpy() for c in ("set_key", "block", "members"))
+            one, two, a, b = _sides(table)
+            nodes, members = table.column("node").to_numpy(), table.column("members").to_numpy()
             values = _matrix(table.column("probes"))
-            sets = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("shingles").combine_chunks()]
-            a, b = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles").combine_chunks()]
             i, j = surviving(values[a], values[b], needed, one == two)
             left, right = [sets[k] for k in a], [sets[k] for k in b]
             both = overlaps(left, right, i, j) if i.size else np.empty(0, np.int64)
@@ -207,7 +234,7 @@ def _verified(threshold: float, needed: dict[int, int]):
             roots = nodes[[forest.root(k) for k in range(nodes.size)]]
             some = np.flatnonzero(links > 0)
             if some.size:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some].astype(np.int64)), pa.array(roots[some])], names=["set_key", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some].astype(np.int64)), pa.array(roots[some])], names=["node", "links", "root"])
 
     return run
 
@@ -223,40 +250,46 @@ def joined(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, bands: int
     parts = shuffle_parts(spark)
     needed = least_matches(threshold, tolerance, probes)
     narrow = docs_of(docs)
-    every = stored(narrow.withColumn("text_key", F.xxhash64("text")).mapInArrow(_classes(n_words, bands, rows, probes), "doc_id long, text_key long, set_key long, bands array<long>, probes binary"), "min-hashes")
-    classes = stored(every.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("members"), F.first("bands").alias("bands"), F.first("probes").alias("probes")), "classes")
+    every = stored(narrow.withColumn("text_key", F.xxhash64("text")).mapInArrow(_classes(n_words, bands, rows, probes), "doc_id long, text_key long, set_key binary, bands array<long>, probes binary"), "min-hashes")
+    # A class gets a number when it is written; from then on the number stands for it.
+    classes = stored(every.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("members"), F.first("bands").alias("bands"), F.first("probes").alias("probes")).withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("set_key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
-    pairs = banded.join(shared, "band").join(classes.select("set_key", "probes"), "set_key")
-    edges = pairs.repartition(parts, "band").sortWithinPartitions("band", "set_key").mapInArrow(_linked(needed, most), "a long, b long")
-    cluster = components(edges).select(F.col("node").alias("set_key"), F.col("label").alias("cluster"))
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1")
+    pairs = banded.join(shared.where(F.col("k") <= most).select("band"), "band").join(classes.select("node", "probes"), "node")
+    pruned = pairs.repartition(parts, "band").sortWithinPartitions("band", "node").mapInArrow(_linked(needed), "a long, b long")
+    starred = banded.join(shared.where(F.col("k") > most), "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    cluster = components(pruned.unionByName(starred)).select("node", F.col("label").alias("cluster"))
 
     sizes = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    clustered = cluster.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    clustered = stored(clustered.join(classes.select("set_key", "owner", "members", "probes"), "set_key"), "clusters")
+    clustered = cluster.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    clustered = stored(clustered.join(classes.select("node", "set_key", "owner", "members", "probes"), "node"), "clusters")
 
-    owners = every.join(clustered.select("set_key", "owner"), "set_key").where(F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "set_key").dropDuplicates(["set_key"])
+    # One row of each class gives its text: shingles are made again from it, not kept for all classes.
+    owners = every.join(clustered.select("set_key", "owner", "node"), "set_key").where(F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "set_key", "node").dropDuplicates(["node"])
 
     def shingled(batches):
         for batch in batches:
             for texts in chunks(batch.column(1)):
                 own = batch.slice(texts.first, texts.n)
-                sets = [s.tobytes() for s in shingle_sets(texts, n_words)]
-                keys = [int(mixed(np.array([np.bitwise_xor.reduce(mixed(np.frombuffer(s, np.uint64))) + U64(len(s) // 8)]))[0].view(np.int64)) if s else None for s in sets]
-                same = np.array([k == w for k, w in zip(keys, own.column(2).to_pylist())])
-                yield pa.RecordBatch.from_arrays([own.column(2), pa.array(sets, pa.binary())], names=["set_key", "shingles"]).filter(pa.array(same))
+                sets = list(shingle_sets(texts, n_words))
+                same = np.array([bool(s.size) and set_key(s) == k for s, k in zip(sets, own.column(2).to_pylist())], bool)
+                yield pa.RecordBatch.from_arrays([own.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]).filter(pa.array(same))
 
-    texts = narrow.alias("d").join(owners.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))).select("d.doc_id", "d.text", "o.set_key")
-    sets = texts.mapInArrow(shingled, "set_key long, shingles binary").dropDuplicates(["set_key"])
-    meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("one"), F.greatest(k, F.col("block")).alias("two"))))
-    dealt = clustered.join(sets, "set_key").select("cluster", "set_key", "block", "members", "probes", "shingles", meeting.alias("at")).select("*", "at.one", "at.two").drop("at")
-    dealt = dealt.repartition(parts, "cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "set_key")
-    links = stored(dealt.mapInArrow(_verified(threshold, needed), "set_key long, links long, root long"), "links")
+    texts = narrow.alias("d").join(owners.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))).select("d.doc_id", "d.text", "o.set_key", "o.node")
+    sets = texts.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"])
 
-    labels = components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
-    totals = links.groupBy("set_key").agg(F.sum("links").alias("links"))
-    told = classes.select("set_key", "owner", "members").join(totals, "set_key", "left").join(labels.select(F.col("node").alias("set_key"), "label"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("one"), F.greatest(k, F.col("block")).alias("two"))))
+    grouped = lambda df: df.repartition(parts, "cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "node")
+    met = grouped(clustered.where("blocks > 1").select("cluster", "node", "block", "probes", meeting.alias("at")).select("cluster", "node", "block", "probes", "at.one", "at.two"))
+    alive = met.mapInArrow(_alive(needed), "cluster long, one int, two int, node long")
+    alive = alive.unionByName(clustered.where("blocks = 1").select("cluster", F.lit(0).alias("one"), F.lit(0).alias("two"), "node"))
+    dealt = grouped(alive.join(clustered.select("node", "block", "members", "probes"), "node").join(sets, "node"))
+    links = stored(dealt.mapInArrow(_verified(threshold, needed), "node long, links long, root long"), "links")
+
+    labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    totals = links.groupBy("node").agg(F.sum("links").alias("links"))
+    told = classes.select("node", "set_key", "owner", "members").join(totals, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = told.groupBy("label").agg(F.min("owner").alias("class_id"))
     told = told.join(names, "label").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     # The members of a class are many rows of one key; classes go out to them, which Spark can split.
@@ -267,6 +300,7 @@ def joined(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, bands: int
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id names their class; rows that repeat such a doc_id and its text stay with it."""
-    gone = joined(docs, **how).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__text"))
-    return docs.join(gone, same, "left_anti")
+    gone = joined(docs, **how).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_key").distinct().alias("g")
+    left = as_rows(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "row").alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_key") == F.col("g.text_key"))
+    return left.join(gone, same, "left_anti").select("row.*")
