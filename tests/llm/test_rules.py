@@ -37,11 +37,45 @@ def test_a_map_is_edited():
     assert set(three.placed) == set(sizes) and set(three.placed.values()) <= set(range(16))
 
 
-def test_heavy_slots_fall_into_parts():
-    sums = {(1, p): (1000, 10) for p in range(32)} | {(k, p): (10, 1) for k in range(2, 100) for p in range(4)}
-    placed = sharding.balanced(sharding.units(sums, 16), 16).placed
-    assert {u for u in placed if u[1] >= 0} == {(1, p) for p in range(32)}
-    assert len({placed[1, p] for p in range(32)}) == 16
+def test_heavy_texts_leave_their_slot(spark, docs):
+    heavy = "the same words over and over " * 8
+    rows = [(k, heavy) for k in range(400)] + [(1000 + k, f"{k % 150} words of a small group") for k in range(600)]
+    got = [r.asDict() for r in sharding.shard_assignment(docs(rows), 16).collect()]
+    text = dict(rows)
+    shards = {}
+    for r in got:
+        shards.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(shards.pop(heavy)) > 8
+    assert all(len(s) == 1 for s in shards.values())  # no other group is torn, whatever slot it shares
+    loads = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert max(loads) < 1.1 * sum(loads) / 16
+
+
+def test_groups_in_the_slot_of_a_heavy_text_stay_whole(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOTS", 1)
+    rows = [(k, "x" * 500) for k in range(200)] + [(1000 + k, f"group {k % 40}") for k in range(400)]
+    got = sharding.shard_assignment(docs(rows), 4).collect()
+    text, shards = dict(rows), {}
+    for r in got:
+        shards.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(shards.pop("x" * 500)) == 4
+    assert all(len(s) == 1 for s in shards.values())
+
+
+def test_maps_are_stored_and_edited(spark, docs, tmp_path):
+    rnd, maps = random.Random(8), str(tmp_path / "maps")
+    rows = [(k, f"{k} " * rnd.randint(20, 40)) for k in range(3000)]
+    place = lambda rows, n: {r["doc_id"]: (r["shard"], r["map_version"], r["moves"]) for r in sharding.shard_assignment(docs(rows), n, maps).collect()}
+    one = place(rows, 8)
+    assert {v for _, v, _ in one.values()} == {1}
+    assert place(rows, 8) == one  # the map that is there is read, not made anew
+    nine = place(rows, 9)
+    assert {v for _, v, _ in nine.values()} == {2} and sharding.latest_map(spark, maps).shards == 9
+    moved = {i for i in one if one[i][0] != nine[i][0]}
+    assert moved == {i for i, (_, _, moves) in one.items() if moves}
+    assert sum(nine[i][0] == 8 for i in moved) > 0.8 * len(moved) and len(moved) < len(rows) / 9 * 1.3
+    with_more = place(rows + [(5000 + k, f"new {k}") for k in range(50)], 9)
+    assert all(with_more[i][0] == nine[i][0] for i in nine)
 
 
 def brute_license(text):
@@ -55,9 +89,9 @@ def brute_license(text):
         if at:
             base.add(label)
     line = " " + "".join(w + " " for w in words)
-    accepted = {label for label, t in licenses.TEMPLATES if re.search(f"(?<= ){licenses.template_regex(t)}", line)}
-    labels = base | accepted
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if accepted else 0.9 if base else 0.0
+    accepted = {(label, score) for score, kind in ((1.0, licenses.LICENSES), (0.95, licenses.NOTICES)) for label, t in kind if re.search(f"(?<= ){licenses.template_regex(t)}", line)}
+    labels = base | {label for label, _ in accepted}
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), max((s for _, s in accepted), default=0.9 if base else 0.0)
 
 
 def test_license_scan(spark, docs):
@@ -69,6 +103,38 @@ def test_license_scan(spark, docs):
     assert licenses.license_scan(docs([])).count() == 0
 
 
+MIT = """Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+
+
+def test_whole_licences(spark, docs):
+    def spelled(template):
+        """A text that the template accepts: replaceable regions filled, optional ones kept, the first of alternatives."""
+        t = re.sub(r"<(\d+)-(\d+)>", lambda m: " ".join(f"Name{k}" for k in range(int(m[1]))), template)
+        return re.sub(r"[\[\]]", "", re.sub(r"\{([^|}]*)[^}]*\}", r"\1", t)).upper()
+
+    rows = [(1, MIT), (2, MIT.replace("free of charge", "for a charge")), (3, MIT.replace("CONNECTION WITH", "connection to")), (4, "words before " + MIT + " words behind")]
+    rows += [(100 + k, "Noise. " + spelled(t) + ", noise") for k, (_, t) in enumerate(licenses.LICENSES)]
+    rows += [(200 + k, spelled(t).rsplit(" ", 3)[0]) for k, (_, t) in enumerate(licenses.LICENSES)]  # the end is missing
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(docs(rows)).collect()}
+    assert got[1] == got[4] == ("mit", 1.0)
+    assert got[2] == ("", 0.0) and got[3] == ("mit", 0.95)
+    for k, (label, _) in enumerate(licenses.LICENSES):
+        assert label in got[100 + k][0].split(",") and got[100 + k][1] == 1.0
+        assert got[200 + k][1] < 1.0
+    assert {i: v for i, v in got.items()} == {i: brute_license(t)[5:] for i, t in rows}
+
+
 ITEMS = [(1, "If Alice buys 12 apples for 3 dollars and sells 12 pears, how many apples does Alice still have then"), (2, "plain words without any slot at all that go on for quite a while until the end"), (3, "too short"), (4, None), (5, "alpha beta gamma delta epsilon zeta"), (None, "north wind and sun were arguing over which one was the stronger of them")]
 
 

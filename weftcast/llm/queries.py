@@ -83,20 +83,21 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sql() -> str:
-    from .licenses import BASE, TEMPLATES, template_regex
+    from .licenses import BASE, LICENSES, NOTICES, template_regex
 
     phrases = "\n".join(f"UNION ALL SELECT rid, i - 1 AS pos, '{label}' AS label FROM w, unnest(range(1, len(ws) - {len(p.split()) - 2})) AS u(i) WHERE ws[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in BASE)
-    templates = "\n".join(f"UNION ALL SELECT rid, '{label}' FROM w WHERE regexp_matches(line, ' {template_regex(t)}')" for label, t in TEMPLATES)
+    templates = "\n".join(f"UNION ALL SELECT rid, '{label}', {score} FROM w WHERE regexp_matches(line, ' {template_regex(t)}')" for score, kind in ((1.0, LICENSES), (0.95, NOTICES)) for label, t in kind)
     return f"""
 WITH words AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents),
 w AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM words),
 place(rid, pos, label) AS (SELECT 0::BIGINT, 0::BIGINT, '' WHERE false {phrases}),
-accepted(rid, label) AS (SELECT 0::BIGINT, '' WHERE false {templates}),
+accepted(rid, label, score) AS (SELECT 0::BIGINT, '', 0.0 WHERE false {templates}),
+s AS (SELECT rid, max(score) AS score FROM accepted GROUP BY rid),
 b AS (SELECT rid, count(*) AS n, min(pos) AS low, max(pos) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY rid),
 a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM place UNION SELECT rid, label FROM accepted) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low::BIGINT AS first_word, high::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
-CASE WHEN rid IN (SELECT rid FROM accepted) THEN 1.0 WHEN n > 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS score
-FROM w LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
+coalesce(s.score, CASE WHEN n > 0 THEN 0.9 ELSE 0.0 END)::DOUBLE AS score
+FROM w LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN s USING (rid)
 """
 
 
