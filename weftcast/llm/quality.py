@@ -9,18 +9,21 @@ document is multiplied with all of them, in blocks; the nearest vote with a weig
 falls with the angle.
 
 Null and empty texts have no terms: their score is the sample's share of label 1, or 0.5
-without labels. Rows that repeat score alike. Rows of labels without a document, with a
+without labels. Very long texts count whole. Rows that repeat score alike; a null doc_id is
+scored and never held out. Rows of labels without a document, with a
 null id or label, count for nothing. Columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, fold
+from .common import docs_of, fold, stored
 from .scan import U64, Texts, byte_set, chunks, mixed, slice_hash, words
 
 SHAPES, PAIRS, WORDS, REPEATS = 640, 512, 512, 8
@@ -78,7 +81,7 @@ def term_counts(texts: Texts) -> np.ndarray:
 
 
 class Neighbours:
-    """A latent space and the labelled vectors in it."""
+    """A latent space and the labelled vectors in it: all of it within ``sample`` x ``rank`` and TERMS x ``rank`` floats."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = 48, nearest: int = 15, sharpness: float = 12.0):
         self.nearest, self.sharpness = nearest, sharpness
@@ -88,13 +91,22 @@ class Neighbours:
         if labels.size < 2 or labels.min() == labels.max():
             return
         share = counts**2
-        share = share / np.maximum(share.sum(axis=0), 1e-9)
-        entropy = -(share * np.log(np.maximum(share, 1e-12))).sum(axis=0)
+        share /= np.maximum(share.sum(axis=0), 1e-9)
+        entropy = -(share * np.log(np.maximum(share, 1e-12))).sum(axis=0, dtype=np.float64)
+        del share
         weight = 1.05 - entropy / np.log(len(labels))
         weight[-REPEATS:] = 3.0
         self.mean = counts.mean(axis=0)
-        _, _, right = np.linalg.svd((counts - self.mean) * weight, full_matrices=False)
-        self.space = (right[:rank] * weight).T.astype(np.float32)
+        # The right singular vectors are the eigenvectors of the terms' products, TERMS x TERMS whatever the sample.
+        weighted = (counts - self.mean) * weight.astype(np.float32)
+        products = np.zeros((TERMS, TERMS))
+        for k in range(0, len(weighted), 256):
+            part = weighted[k : k + 256].astype(np.float64)
+            products += part.T @ part
+        del weighted
+        _, vectors = np.linalg.eigh(products)
+        self.space = (vectors[:, ::-1][:, :rank] * weight[:, None]).astype(np.float32)
+        del products, vectors
         self.vectors = self.latent(counts)
         self.cut = 0.5
         own = self.votes(self.vectors, np.arange(len(labels)))
@@ -146,18 +158,27 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, learn, sample: int
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held_part: int = 2, parts: int = 4, sample: int = 4096) -> Neighbours:
-    """Learns from the labelled rows whose fold isn't ``held_part``."""
+    """Learns from the labelled rows whose fold isn't ``held_part``. Terms are counted where the documents are; one task, of at most ``sample`` rows of TERMS floats, decomposes them, and the driver gets the model alone."""
+    counted = "doc_id long, label int, counts binary"
 
-    def run(batches):
+    def count(batches):
         for batch in batches:
             for texts in chunks(batch.column(1)):
                 counts = term_counts(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, texts.n), batch.column(2).slice(texts.first, texts.n), pa.array([c.astype(np.float32).tobytes() for c in counts], pa.binary())], names=["doc_id", "label", "counts"])
 
-    rows = labelled(docs, labels, "quality", lambda i: fold(i, parts) != held_part, sample).mapInArrow(run, "doc_id long, label int, counts binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["counts"])))
-    counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows], np.float32).reshape(len(rows), TERMS)
-    return Neighbours(counts, np.array([r["label"] for r in rows]))
+    def learn(batches):
+        counts, labels_ = [np.empty((0, TERMS), np.float32)], [np.empty(0, np.int64)]
+        for batch in batches:
+            counts.append(np.array([np.frombuffer(c.as_py(), np.float32) for c in batch.column(2)], np.float32).reshape(-1, TERMS))
+            labels_.append(batch.column(1).to_numpy().astype(np.int64))
+        model = Neighbours(np.concatenate(counts), np.concatenate(labels_))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    rows = labelled(docs, labels, "quality", lambda i: fold(i, parts) != held_part, sample).mapInArrow(count, counted)
+    ordered = stored(rows, "quality-sample").repartition(1).sortWithinPartitions("doc_id", "label", "counts")
+    got = ordered.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else Neighbours(np.empty((0, TERMS), np.float32), np.empty(0, np.int64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_part: int = 2, parts: int = 4, threshold: float = 0.7, sample: int = 4096) -> DataFrame:
