@@ -160,6 +160,6 @@ def t6(spark, d):
 def b6(spark, d):
     """What a model trained ten days before the last snapshot could know."""
     rows = matrix(spark, d)
-    now = events(spark, d).select(F.floor(F.col("us") / 3_600_000_000).cast("long").alias("h")).where("h % 6 = 0").agg((F.max("h") - 240).alias("now"))
+    now = events(spark, d).select(F.floor(F.col("us") / 3_600_000_000).cast("long").alias("h")).agg((F.max("h") - 240).alias("now"))
     known = rows.join(F.broadcast(now), (F.col("issue") <= F.col("now")) & (F.col("valid") + 2 <= F.col("now"))).where("y is not null")  # one row
     return known.groupBy("source", "bucket").agg(F.count("*").alias("n"), r6(F.avg(F.col("y") - F.col("x")), "bias"))

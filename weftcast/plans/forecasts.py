@@ -20,7 +20,7 @@ BASE = f"""{E},
 cyc AS (SELECT event_type AS source, us // 3600000000 AS fetched, avg(value) AS v FROM e GROUP BY 1, 2),
 fx AS (SELECT source, fetched, fetched + l AS valid, v * (1 + l / 97.0) AS x FROM cyc, generate_series(1, {LEADS}) AS g(l)),
 truth AS (SELECT us // 3600000000 AS valid, avg(value) AS y FROM e GROUP BY 1),
-snaps AS (SELECT DISTINCT us // 3600000000 AS issue FROM e WHERE (us // 3600000000) % 6 = 0),
+snaps AS (SELECT DISTINCT us // 3600000000 AS issue FROM e),
 sel AS (SELECT issue, source, max(fetched) AS fetched FROM snaps JOIN cyc ON fetched <= issue AND issue - fetched <= {CAP} GROUP BY 1, 2),
 matrix AS (SELECT *, {BUCKET} AS bucket FROM (SELECT issue, valid, valid - issue AS lead, source, x, y FROM sel JOIN fx USING (source, fetched) LEFT JOIN truth USING (valid) WHERE valid >= issue)),
 folds AS (SELECT k::INTEGER AS fold, lo + {INITIAL} + {STEP} * k AS origin FROM (SELECT min(issue) AS lo, max(issue) AS hi FROM matrix), range(0, 100) AS r(k) WHERE lo + {INITIAL} + {STEP} * k < hi),
@@ -43,7 +43,7 @@ def relations(spark, d):
     cycles = e.groupBy(F.col("event_type").alias("source"), F.col("h").alias("fetched")).agg(F.avg("value").alias("v"))
     forecasts = cycles.withColumn("l", F.explode(F.sequence(F.lit(1), F.lit(LEADS)))).select("source", "fetched", (F.col("fetched") + F.col("l")).alias("valid"), (F.col("v") * (1 + F.col("l") / 97.0)).alias("x"))
     truth = e.groupBy(F.col("h").alias("valid")).agg(F.avg("value").alias("y"))
-    snapshots = e.where("h % 6 = 0").select(F.col("h").alias("issue")).distinct()
+    snapshots = e.select(F.col("h").alias("issue")).distinct()
     return cycles, forecasts, truth, snapshots
 
 
@@ -78,10 +78,7 @@ def j2(spark, d):
     e = events(spark, d)
     snaps = e.select((F.floor(F.col("us") / HOUR) * HOUR).cast("long").alias("issue")).distinct()
     obs = e.groupBy("us").agg(F.max_by("value", "event_id").alias("obs"))
-    # the key is the day, so that the window is split; the tolerance reaches back over midnight by copies of the last half hour
-    day = lambda t: F.floor(F.col(t) / (24 * HOUR))
-    near = obs.withColumn("day", day("us")).unionByName(obs.where(F.col("us") % (24 * HOUR) >= 24 * HOUR - 1_800_000_000).withColumn("day", day("us") + 1))
-    return P.asof_join(snaps.withColumn("day", day("issue")), near, "issue", "us", ["day"], 1_800_000_000, ["obs"]).select("issue", r6(F.col("obs"), "obs"))
+    return P.asof_join(snaps, obs, "issue", "us", [], 1_800_000_000, ["obs"], width=24 * HOUR).select("issue", r6(F.col("obs"), "obs"))
 
 
 @query("j3_trend", f"WITH {E}, a AS (SELECT event_id, event_type, us, value, us - 600000000 AS t FROM e), o AS (SELECT event_type, us, max_by(value, event_id) AS old FROM e GROUP BY 1, 2) SELECT event_id, round(CASE WHEN t - o.us <= 7200000000 THEN value - old END, 6) AS trend FROM a ASOF LEFT JOIN o ON a.event_type = o.event_type AND t >= o.us")

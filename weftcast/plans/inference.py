@@ -119,13 +119,13 @@ def b9(spark, d):
     return m.where("past is not null and live is not null").select("source", "bucket", "n", r6(F.col("live") / F.col("past"), "ratio"), ((F.col("live") > 1.05 * F.col("past")) & (F.col("n") >= 24)).alias("demoted"))
 
 
-@query("b10_residual_dressing", f"WITH {BASE}, r AS (SELECT bucket, count(*) AS n, quantile_cont(y - x, 0.1) AS lo, quantile_cont(y - x, 0.9) AS hi FROM matrix WHERE y IS NOT NULL GROUP BY 1), g AS (SELECT quantile_cont(y - x, 0.1) AS lo, quantile_cont(y - x, 0.9) AS hi FROM matrix WHERE y IS NOT NULL) SELECT issue, valid, source, round(x + CASE WHEN n >= 24 THEN r.lo ELSE g.lo END, 6) AS low, round(x + CASE WHEN n >= 24 THEN r.hi ELSE g.hi END, 6) AS high FROM matrix LEFT JOIN r USING (bucket), g WHERE issue % 24 = 0")
+@query("b10_residual_dressing", f"WITH {BASE}, r AS (SELECT bucket, count(*) AS n, quantile_cont(y - x, 0.1) AS lo, quantile_cont(y - x, 0.9) AS hi FROM matrix WHERE y IS NOT NULL GROUP BY 1), g AS (SELECT quantile_cont(y - x, 0.1) AS lo, quantile_cont(y - x, 0.9) AS hi FROM matrix WHERE y IS NOT NULL) SELECT issue, valid, source, round(x + CASE WHEN n >= 24 THEN r.lo ELSE g.lo END, 6) AS low, round(x + CASE WHEN n >= 24 THEN r.hi ELSE g.hi END, 6) AS high FROM matrix LEFT JOIN r USING (bucket), g")
 def b10(spark, d):
     m = matrix(spark, d)
     e = m.where("y is not null").withColumn("e", F.col("y") - F.col("x"))
     q = F.percentile("e", F.array(F.lit(0.1), F.lit(0.9)))
     pools, whole = e.groupBy("bucket").agg(F.count("*").alias("n"), q.alias("q")), e.agg(q.alias("g"))
-    rows = m.where("issue % 24 = 0").join(pools, "bucket", "left").crossJoin(F.broadcast(whole))  # one row
+    rows = m.join(pools, "bucket", "left").crossJoin(F.broadcast(whole))  # one row
     used = F.when(F.col("n") >= 24, F.col("q")).otherwise(F.col("g"))
     return rows.select("issue", "valid", "source", r6(F.col("x") + used[0], "low"), r6(F.col("x") + used[1], "high"))
 

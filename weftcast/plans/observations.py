@@ -130,8 +130,7 @@ def w5(spark, d):
 
 @query("w6_range_median", f"WITH {E} SELECT event_id, round(median(value) OVER w, 6) AS med, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)")
 def w6(spark, d):
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-(T.HOUR - 1), 0)
-    return events(spark, d).select("event_id", r6(P.range_median("value", ["event_type"], "us", T.HOUR), "med"), F.count("*").over(w).alias("n"))
+    return P.rolling_median(events(spark, d), "value", ["event_type"], "us", T.HOUR, "med", "n").select("event_id", r6(F.col("med"), "med"), "n")
 
 
 @query("w7_rolling_correlation", f"""WITH {E}, h AS (SELECT us // 3600000000 AS hour, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM e GROUP BY 1),
@@ -140,7 +139,9 @@ SELECT hour, round(CASE WHEN n >= 36 AND NOT isnan(r) THEN r END, 6) AS r FROM c
 def w7(spark, d):
     pick = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
     hours = events(spark, d).groupBy(F.floor(F.col("us") / T.HOUR).cast("long").alias("hour")).agg(pick("click").alias("a"), pick("view").alias("b"))
-    return hours.select("hour", r6(P.rolling_correlation("a", "b", Window.orderBy("hour").rowsBetween(-71, 0), 36), "r"))  # one row an hour: a century is a million
+    rows = P.in_slices(P.numbered(hours, "hour", 24 * 365), "__number", 4096, 72)
+    r = P.rolling_correlation("a", "b", Window.partitionBy("__slice").orderBy("__number").rowsBetween(-71, 0), 36)
+    return rows.withColumn("r", r).where("__own").select("hour", r6(F.col("r"), "r"))
 
 
 @query("w8_forward_fill", f"WITH {E} SELECT event_id, round(last_value(CASE WHEN value > 60 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), 6) AS filled FROM e")
@@ -161,8 +162,9 @@ SELECT run::BIGINT AS run, min(leader) AS leader, min(hour) AS start, count(*) A
 def w12(spark, d):
     hours = events(spark, d).groupBy(F.floor(F.col("us") / T.HOUR).cast("long").alias("hour"), "event_type").agg(F.sum("value").alias("v"))
     leader = hours.groupBy("hour").agg(F.max_by("event_type", F.struct("v", "event_type")).alias("leader"))
-    breaks = ~F.lag("leader").over(Window.orderBy("hour")).eqNullSafe(F.col("leader"))
-    runs = leader.withColumn("new", breaks).withColumn("run", F.sum(F.col("new").cast("long")).over(Window.orderBy("hour")))
+    rows = P.in_slices(P.numbered(leader, "hour", 24 * 365), "__number", 4096, 1)
+    breaks = ~F.lag("leader").over(Window.partitionBy("__slice").orderBy("__number")).eqNullSafe(F.col("leader"))
+    runs = P.cumulative(rows.withColumn("new", breaks).where("__own"), "__slice", ["__number"], F.col("new").cast("long"), "run")
     return runs.groupBy("run").agg(F.min("leader").alias("leader"), F.min("hour").alias("start"), F.count("*").alias("hours")).where("hours >= 2")
 
 

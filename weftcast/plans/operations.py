@@ -12,6 +12,7 @@ from ..operators import inference as I
 from ..operators import matrix as M
 from ..operators import methods as X
 from ..operators import sequential as Q
+from ..operators import temporal as P
 from .base import E, events, query, r6
 from .forecasts import BASE, BASEP, BIAS, CAP, PATH, SCORE, matrix, minutes, observed, relations, score, split
 from .inference import grounded_split, losses, spread
@@ -67,8 +68,9 @@ def e21(spark, d):
     """The anchored base plus a share of the recent trend of observations, of least error in training."""
     train, test = split(spark, d)
     obs = observed(spark, d)
-    w = Window.orderBy("issue").rowsBetween(-3, -3)  # hours
-    trend = obs.withColumn("old", F.first("obs").over(w)).select("issue", ((F.col("obs") - F.col("old")) / 3).alias("trend"))
+    rows = P.in_slices(P.numbered(obs, "issue", 24 * 365), "__number", 4096, 3)
+    old = F.lag("obs", 3).over(Window.partitionBy("__slice").orderBy("__number"))
+    trend = rows.withColumn("old", old).where("__own").select("issue", ((F.col("obs") - F.col("old")) / 3).alias("trend"))
     rows = {k: X.anchored(train, part, obs).join(trend, "issue", "left") for k, part in (("train", train), ("test", test))}
     gain = F.try_divide(F.sum(F.col("trend") * (F.col("y") - F.col("p"))), F.sum(F.col("trend") * F.col("trend")))
     fit = rows["train"].where("lead < 6 and trend is not null").groupBy("fold").agg(S.clipped(gain, 0, 3).alias("g"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import base, elements, forecasts, inference, observations, operations, reports, serving  # noqa: F401
+from . import archives, base, elements, forecasts, inference, observations, operations, reports, serving  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -233,12 +233,6 @@ def t2(spark, d):
     return q.groupBy("bucket").agg(F.count("*").alias("n"), *[r6(F.avg(v), k) for k, v in loss.items()], r6(F.avg(2 * (0.3 * loss["p10"] + 0.4 * loss["p50"] + 0.3 * loss["p90"])), "crps"), r6(F.avg(inside), "coverage80"))
 
 
-@query("src12_ensemble_statistics", f"WITH {BASE} SELECT issue, valid, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.9), 6) AS p90, count(*) AS n_members FROM matrix GROUP BY 1, 2")
-def src12(spark, d):
-    g = matrix(spark, d).groupBy("issue", "valid")
-    return g.agg(r6(F.avg("x"), "mean"), r6(F.stddev_samp("x"), "sd"), r6(F.percentile("x", 0.1), "p10"), r6(F.percentile("x", 0.9), "p90"), F.count("*").alias("n_members"))
-
-
 @query("ag26_last_then_mean", f"WITH {E}, l AS (SELECT user_id, us // 3600000000 AS hour, arg_max(value, (us, event_id)) AS v FROM e GROUP BY 1, 2) SELECT hour, round(avg(v), 6) AS v FROM l GROUP BY 1")
 def ag26(spark, d):
     last = events(spark, d).groupBy("user_id", F.floor(F.col("us") / 3_600_000_000).cast("long").alias("hour")).agg(F.max_by("value", F.struct("us", "event_id")).alias("v"))
@@ -302,7 +296,8 @@ def dz6(spark, d):
 @query("dz9_source_ages", f"WITH {BASE} SELECT source, max(issue) - max(fetched) AS age FROM sel WHERE issue = (SELECT max(issue) FROM sel) GROUP BY 1")
 def dz9(spark, d):
     m = matrix(spark, d).select("issue", "source", "fetched").distinct()
-    return m.withColumn("last", F.max("issue").over(Window.partitionBy(F.lit(0)))).where("issue = last").select("source", (F.col("issue") - F.col("fetched")).alias("age"))
+    last = m.agg(F.max("issue").alias("issue"))
+    return m.join(F.broadcast(last), "issue").select("source", (F.col("issue") - F.col("fetched")).alias("age"))  # one row
 
 
 @query("grouping_sets", "SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS qty, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")

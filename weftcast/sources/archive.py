@@ -1,4 +1,4 @@
-"""Reading SQLite archives as Spark tables, and the scans made of them.
+"""Reading SQLite archives as Spark tables, and the scans made of them. Scans work on tables of any origin; those that take a path load them from a SQLite file.
 
 A SQLite file is read by a Python data source: the driver learns the range of rowids, and
 each partition reads its own range through a read-only connection. The file has to lie
@@ -8,15 +8,18 @@ joins and expressions.
 
 from __future__ import annotations
 
+import contextlib
+import os
 import sqlite3
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ..functions.scalars import converted, source_slug
+from ..functions.scalars import converted, haversine_km, source_slug
 
 _TYPES = {"INT": LongType(), "REAL": DoubleType(), "FLOA": DoubleType(), "DOUB": DoubleType()}
 
@@ -70,7 +73,8 @@ class SqliteReader(DataSourceReader):
         casts = [float if isinstance(f.dataType, DoubleType) else int if isinstance(f.dataType, LongType) else str for f in self.schema]
         with _connect(self.path) as con:
             have = {c[1] for c in con.execute(f"PRAGMA table_info({_quoted(self.table)})")}
-            names = ", ".join(_quoted(f.name) if f.name in have else "NULL" for f in self.schema)
+            # The implicit rowid is no listed column, but can be asked for by name.
+            names = ", ".join(_quoted(f.name) if f.name in have else "rowid" if f.name == "rowid" else "NULL" for f in self.schema)
             for row in con.execute(f"SELECT {names} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high)):
                 yield tuple(None if v is None else c(v) for v, c in zip(row, casts))
 
@@ -87,50 +91,168 @@ def utc(text: str):
     return F.try_to_timestamp(F.col(text))
 
 
+def frozen(path: str, folder: str) -> str:
+    """A copy of a SQLite file as it stands at one moment, page by page, for reads of many tables in many tasks that have to agree. ``folder`` is one that driver and executors mount."""
+    to = os.path.join(folder, f"snapshot-{uuid.uuid4().hex}.db")
+    with contextlib.closing(_connect(path)) as source, contextlib.closing(sqlite3.connect(to)) as copy:
+        source.backup(copy)
+    return to
+
+
 def station(spark: SparkSession, path: str, channels: dict[str, tuple[str, str]], name: str = "observations") -> DataFrame:
-    """The observation log: ts and each channel (name to column and unit) in canonical units; rows without a time go, of equal times the first row's stays."""
+    """The observation log of a SQLite file, by ``observation_log``; columns that it lacks are null."""
     schema = "rowid long, ts string, " + ", ".join(f"`{c}` double" for c in dict.fromkeys(c for c, _ in channels.values()))
-    raw = table(spark, path, name, schema)
+    return observation_log(table(spark, path, name, schema), channels)
+
+
+def observation_log(raw: DataFrame, channels: dict[str, tuple[str, str]]) -> DataFrame:
+    """ts and each channel (name to column and unit) in canonical units, out of rowid, ts as text and columns; rows without a time go, of equal times the row with the least rowid stays."""
     rows = raw.select("rowid", utc("ts").alias("ts"), *[converted(F.col(f"`{c}`"), unit).alias(channel) for channel, (c, unit) in channels.items()]).where("ts is not null")
     first = Window.partitionBy("ts").orderBy(F.col("rowid").asc_nulls_last())
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "rowid")
 
 
 POINTS = "source_forecast_id long, timestamp_unix long, temperature double, humidity double, dew_point double, wind_speed double, wind_gust double, pressure_sea double, precipitation double, precipitation_probability double"
+DAILY_POINTS = "source_forecast_id long, forecast_date string, temperature_max double, temperature_min double, precipitation_sum double, precipitation_probability_max double"
+MINUTELY_POINTS = "source_forecast_id long, timestamp_unix long, precipitation_intensity double, precipitation_probability double"
 
 
-def hourly_forecasts(spark: SparkSession, path: str, latitude: float, longitude: float, tolerance: float = 1e-4, allowed: list[str] | None = None, points: str = "hourly_points", schema: str = POINTS) -> DataFrame:
-    """Long forecasts: source, fetched, valid and the variables, of successful results at the place. The lead is computed anew from the fetch time."""
+def at_place(rows: DataFrame, latitude: float, longitude: float, tolerance: float = 1e-4) -> DataFrame:
+    return rows.where((F.abs(F.col("latitude") - latitude) <= tolerance) & (F.abs(F.col("longitude") - longitude) <= tolerance))
+
+
+def sourced(points: DataFrame, forecasts: DataFrame, results: DataFrame, runs: DataFrame, latitude: float, longitude: float, tolerance: float = 1e-4, allowed: list[str] | None = None) -> DataFrame:
+    """Points with the source and fetch time of their forecast, of successful results at the place; a result without a fetch time gives none."""
+    here = at_place(runs, latitude, longitude, tolerance).select(F.col("id").alias("run_id"))
+    good = results.where("status = 'success'").join(here, "run_id").select(F.col("id").alias("provider_result_id"), "provider", F.to_timestamp("fetched_at").alias("fetched"))
+    named = forecasts.join(good, "provider_result_id").where("fetched is not null").select(F.col("id").alias("source_forecast_id"), source_slug(F.col("provider"), F.col("model")).alias("source"), "fetched")
+    if allowed is not None:
+        named = named.where(F.col("source").isin(allowed))
+    return points.join(named, "source_forecast_id")
+
+
+def with_lead(rows: DataFrame) -> DataFrame:
+    """The lead from the fetch time; what a provider says of its horizon isn't trusted."""
+    return rows.withColumn("lead_hours", (F.unix_micros("valid") - F.unix_micros("fetched")) / 3.6e9)
+
+
+def _rest(rows: DataFrame, *used: str) -> list[str]:
+    return [c for c in rows.columns if c not in ("source", "fetched", "source_forecast_id", *used)]
+
+
+def hourly_long(rows: DataFrame) -> DataFrame:
+    """``sourced`` points as source, fetched, valid, the variables and lead_hours."""
+    return with_lead(rows.select("source", "fetched", F.timestamp_seconds("timestamp_unix").alias("valid"), *_rest(rows, "timestamp_unix")))
+
+
+def daily_long(rows: DataFrame) -> DataFrame:
+    """``sourced`` days as source, fetched, valid_date and the variables; a date that can't be read drops its row."""
+    return rows.select("source", "fetched", F.col("forecast_date").try_cast("date").alias("valid_date"), *_rest(rows, "forecast_date")).where("valid_date is not null")
+
+
+def minutely_long(rows: DataFrame) -> DataFrame:
+    """``sourced`` minutes: precipitation's intensity and chance alone."""
+    return with_lead(rows.select("source", "fetched", F.timestamp_seconds("timestamp_unix").alias("valid"), "precipitation_intensity", "precipitation_probability"))
+
+
+def _archived(spark: SparkSession, path: str, points: str, schema: str, latitude: float, longitude: float, tolerance: float, allowed: list[str] | None) -> DataFrame:
     p = table(spark, path, points, schema)
     s = table(spark, path, "source_forecasts", "id long, provider_result_id long, model string")
     r = table(spark, path, "provider_results", "id long, run_id long, provider string, status string, fetched_at string")
     runs = table(spark, path, "forecast_runs", "id long, latitude double, longitude double")
-    here = runs.where((F.abs(F.col("latitude") - latitude) <= tolerance) & (F.abs(F.col("longitude") - longitude) <= tolerance)).select(F.col("id").alias("run_id"))
-    good = r.where("status = 'success'").join(here, "run_id").select(F.col("id").alias("provider_result_id"), "provider", F.to_timestamp("fetched_at").alias("fetched"))
-    named = s.join(good, "provider_result_id").where("fetched is not null").select(F.col("id").alias("source_forecast_id"), source_slug(F.col("provider"), F.col("model")).alias("source"), "fetched")
-    if allowed is not None:
-        named = named.where(F.col("source").isin(allowed))
-    rest = [c.split()[0] for c in schema.split(", ") if c.split()[0] not in ("source_forecast_id", "timestamp_unix")]
-    out = p.join(named, "source_forecast_id").select("source", "fetched", F.timestamp_seconds("timestamp_unix").alias("valid"), *rest)
-    return out.withColumn("lead_hours", (F.unix_micros("valid") - F.unix_micros("fetched")) / 3.6e9)
+    return sourced(p, s, r, runs, latitude, longitude, tolerance, allowed)
 
 
-def completions(spark: SparkSession, path: str, latitude: float, longitude: float, tolerance: float = 1e-4) -> DataFrame:
+def hourly_forecasts(spark: SparkSession, path: str, latitude: float, longitude: float, tolerance: float = 1e-4, allowed: list[str] | None = None, points: str = "hourly_points", schema: str = POINTS) -> DataFrame:
+    return hourly_long(_archived(spark, path, points, schema, latitude, longitude, tolerance, allowed))
+
+
+def daily_forecasts(spark: SparkSession, path: str, latitude: float, longitude: float, tolerance: float = 1e-4, allowed: list[str] | None = None) -> DataFrame:
+    return daily_long(_archived(spark, path, "daily_points", DAILY_POINTS, latitude, longitude, tolerance, allowed))
+
+
+def minutely_forecasts(spark: SparkSession, path: str, latitude: float, longitude: float, tolerance: float = 1e-4, allowed: list[str] | None = None) -> DataFrame:
+    return minutely_long(_archived(spark, path, "minutely_points", MINUTELY_POINTS, latitude, longitude, tolerance, allowed))
+
+
+def completed_at(runs: DataFrame, latitude: float, longitude: float, tolerance: float = 1e-4) -> DataFrame:
     """When the place's runs completed: the anchors of snapshots."""
-    runs = table(spark, path, "forecast_runs", "id long, latitude double, longitude double, completed_at string")
-    return runs.where((F.abs(F.col("latitude") - latitude) <= tolerance) & (F.abs(F.col("longitude") - longitude) <= tolerance)).select(F.to_timestamp("completed_at").alias("completed")).where("completed is not null")
+    return at_place(runs, latitude, longitude, tolerance).select(F.to_timestamp("completed_at").alias("completed")).where("completed is not null")
 
 
-def latest_location(spark: SparkSession, path: str) -> DataFrame:
-    runs = table(spark, path, "forecast_runs", "id long, latitude double, longitude double")
+def newest_place(runs: DataFrame) -> DataFrame:
+    """Where the run with the largest id was made."""
     return runs.agg(F.max_by(F.struct("latitude", "longitude"), "id").alias("p")).select("p.*")
 
 
+def completions(spark: SparkSession, path: str, latitude: float, longitude: float, tolerance: float = 1e-4) -> DataFrame:
+    return completed_at(table(spark, path, "forecast_runs", "id long, latitude double, longitude double, completed_at string"), latitude, longitude, tolerance)
+
+
+def latest_location(spark: SparkSession, path: str) -> DataFrame:
+    return newest_place(table(spark, path, "forecast_runs", "id long, latitude double, longitude double"))
+
+
+def date_chunks(start: Column, end: Column, days: int) -> Column:
+    """The windows, both ends inclusive, in which a span of dates is asked for: an array of (first, last)."""
+    firsts = F.sequence(start, end, F.make_dt_interval(F.lit(days)))
+    return F.transform(firsts, lambda a: F.struct(a.alias("first"), F.least(F.date_add(a, days - 1), end).alias("last")))
+
+
+def _vintages(payload: DataFrame, cells: list[tuple[str, int, dict[str, str]]]) -> DataFrame:
+    """Rows of archived answers: for each (source, days back, name of an array by column) and each of hourly.time, the values that stand there; a place whose first column is null gives no row."""
+    names = sorted({n for _, _, columns in cells for n in columns.values()})
+    parsed = payload.select(F.from_json("json", f"hourly STRUCT<time ARRAY<STRING>, {', '.join(f'`{n}` ARRAY<DOUBLE>' for n in names)}>").alias("j"))
+    rows = parsed.select(F.posexplode("j.hourly.time").alias("i", "time"), "j.hourly")
+    parts = [F.struct(F.lit(source).alias("source"), F.lit(k).alias("k"), *[F.get(F.col(f"hourly.`{n}`"), F.col("i")).alias(c) for c, n in columns.items()]) for source, k, columns in cells]
+    first = next(iter(cells[0][2]))
+    long = rows.select(F.to_timestamp("time").alias("valid"), F.explode(F.array(*parts)).alias("p")).select("valid", "p.*").where(F.col(first).isNotNull())
+    return long.select("source", (F.col("valid") - F.make_dt_interval(F.col("k"))).alias("fetched"), "valid", *cells[0][2], F.lit("synthetic").alias("source_kind"))
+
+
 def previous_runs(payload: DataFrame, models: list[str], variable: str = "temperature_2m", days: int = 7) -> DataFrame:
     """Backfilled forecasts out of archived API answers (json string: hourly.time and, per model and day offset, hourly.<variable>_previous_day<k>_<model>): what was valid at a time was fetched k days before it."""
-    cells = [f"`{variable}_previous_day{k}_{m}` ARRAY<DOUBLE>" for m in models for k in range(1, days + 1)]
-    parsed = payload.select(F.from_json("json", f"hourly STRUCT<time ARRAY<STRING>, {', '.join(cells)}>").alias("j"))
-    rows = parsed.select(F.posexplode("j.hourly.time").alias("i", "time"), "j.hourly")
-    parts = [F.struct(F.lit(f"open_meteo_{m}").alias("source"), F.lit(k).alias("k"), F.get(F.col(f"hourly.`{variable}_previous_day{k}_{m}`"), F.col("i")).alias("x")) for m in models for k in range(1, days + 1)]
-    long = rows.select(F.to_timestamp("time").alias("valid"), F.explode(F.array(*parts)).alias("p")).select("valid", "p.*").where("x is not null")
-    return long.select("source", (F.col("valid") - F.make_dt_interval(F.col("k"))).alias("fetched"), "valid", "x", F.lit("synthetic").alias("source_kind"))
+    return _vintages(payload, [(f"open_meteo_{m}", k, {"x": f"{variable}_previous_day{k}_{m}"}) for m in models for k in range(1, days + 1)])
+
+
+def ensemble_mean_runs(payload: DataFrame, model: str, variable: str = "temperature_2m", days: int = 7) -> DataFrame:
+    """Archived means and spreads of an ensemble as vintages; what the archive doesn't have, percentiles and the number of members, stays null."""
+    rows = _vintages(payload, [(model, k, {"mean": f"{variable}_previous_day{k}", "sd": f"{variable}_spread_previous_day{k}"}) for k in range(1, days + 1)])
+    return rows.select(F.col("source").alias("model"), "fetched", "valid", "mean", "sd", *[F.lit(None).cast("double").alias(f"p{q}") for q in (10, 25, 50, 75, 90)], F.lit(None).cast("long").alias("n_members"))
+
+
+def ensemble_statistics(members: DataFrame, key: list[str], value: str = "value") -> DataFrame:
+    """Mean, sample deviation (null for one member), percentiles and the number of members of each key."""
+    levels = (10, 25, 50, 75, 90)
+    q = F.percentile(value, F.array(*[F.lit(v / 100) for v in levels]))
+    stats = members.where(F.col(value).isNotNull()).groupBy(*key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), q.alias("q"), F.count("*").alias("n_members"))
+    return stats.select(*key, "mean", "sd", *[F.col("q")[k].alias(f"p{v}") for k, v in enumerate(levels)], "n_members")
+
+
+def nearest_cell(cells: DataFrame, latitude: float, longitude: float) -> DataFrame:
+    """The distinct grid cell nearest to a place on each axis; longitudes run from 0 to 360. One row."""
+    east = longitude % 360.0
+    axis = lambda c, at: F.min_by(c, F.struct(F.abs(F.col(c) - at), F.col(c))).alias(c)
+    return cells.agg(axis("latitude", latitude), axis("longitude", east))
+
+
+def cycle_long(cells: DataFrame, latitude: float, longitude: float, source: str, lag_hours: int = 6) -> DataFrame:
+    """Whole cycles of a gridded archive (init, lead_hours, latitude, longitude, member, u, v, temperature, pressure_pa; NaN where missing) as forecasts of a place: the nearest cell, the mean over members, the wind's speed out of its components, hPa. A cycle counts as fetched ``lag_hours`` after its start, and nothing before that is a forecast."""
+    plain = lambda c: F.when(~F.isnan(c), F.col(c))
+    here = cells.join(F.broadcast(nearest_cell(cells, latitude, longitude)), ["latitude", "longitude"])  # one row
+    mean = here.groupBy("init", "lead_hours").agg(*[F.avg(plain(c)).alias(c) for c in ("u", "v", "temperature", "pressure_pa")])
+    rows = mean.select(F.lit(source).alias("source"), (F.col("init") + F.make_dt_interval(hours=F.lit(lag_hours))).alias("fetched"), (F.col("init") + F.make_dt_interval(hours=F.col("lead_hours"))).alias("valid"), "temperature", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")).alias("wind_speed"), (F.col("pressure_pa") / 100).alias("pressure_sea"))
+    return with_lead(rows).where("lead_hours >= 0").withColumn("source_kind", F.lit("synthetic"))
+
+
+def neighbours(stations: DataFrame, latitude: float, longitude: float, elevation: float, radius_km: float, band_m: float, most: int = 8) -> DataFrame:
+    """The stations nearest to a site, ``most`` of them, within a radius and a band of elevation, with their distance in km. The cap is the feature: a report on the nearest eight."""
+    km = haversine_km(F.col("latitude"), F.col("longitude"), F.lit(latitude), F.lit(longitude))
+    near = stations.withColumn("km", km).where((F.col("km") <= radius_km) & (F.abs(F.col("elevation") - elevation) <= band_m))
+    return near.orderBy("km", "stid").limit(most)
+
+
+def lapse_adjusted(observations: DataFrame, near: DataFrame, elevation: float, per_km: float = 6.5) -> DataFrame:
+    """Temperatures of the near stations as they would be at the site's elevation."""
+    rows = observations.join(F.broadcast(near.select("stid", "elevation", "km")), "stid")  # ``most`` rows
+    return rows.withColumn("temperature", F.col("temperature") + per_km * (F.col("elevation") - elevation) / 1000)

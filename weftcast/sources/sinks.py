@@ -1,16 +1,92 @@
-"""Writing tables: manifests, append-only ledgers, history, pruning. Parquet's committer makes each write whole or nothing; a version folder and a pointer make a table's change so."""
+"""Writing tables: manifests, append-only ledgers, history, states, pruning.
+
+A table's change is a new version: its files are written first, and a manifest with the
+next number makes it count. Manifests are never rewritten, so there is always one to read,
+and a writer whose base is no longer the newest is told so instead of undoing another's work.
+"""
 
 from __future__ import annotations
 
+import contextlib
 import json
+import logging
+import re
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relations import novel, pruned
 
+_log = logging.getLogger(__name__)
+
+
+class Conflict(RuntimeError):
+    """Another writer was there first."""
+
+
+class _Files:
+    """Small files in a folder of whatever file system Hadoop knows."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.folder = spark._jvm, folder
+        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def names(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.path(""))) if self.fs.exists(self.path("")) else []
+
+    def claim(self, name: str) -> None:
+        """Makes an empty file that nobody has made yet."""
+        try:
+            self.fs.create(self.path(name), False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e):
+                raise Conflict(f"{self.folder}/{name}") from None
+            raise
+
+    def write(self, name: str, text: str) -> None:
+        """All of a file or none of it."""
+        staged = self.path(f".{uuid.uuid4().hex}")
+        out = self.fs.create(staged)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self.fs.rename(staged, self.path(name)):
+            raise Conflict(f"{self.folder}/{name}")
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+
+def safe_segment(name: str) -> str:
+    """A name that is one part of a path and no way out of it."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._=-]*", name) or ".." in name:
+        raise ValueError(f"not a safe name: {name!r}")
+    return name
+
+
+@contextlib.contextmanager
+def lock(spark: SparkSession, folder: str, name: str = "pipeline") -> Iterator[None]:
+    """Keeps other writers of a folder out; one that is busy raises Conflict at once."""
+    files = _Files(spark, folder)
+    files.claim(f"{safe_segment(name)}.lock")
+    try:
+        yield
+    finally:
+        files.remove(f"{name}.lock")
+
 
 def content_fingerprint(df: DataFrame) -> str:
     """Sixteen digits over the rows whatever their order: the sum of row hashes, which is one aggregate."""
@@ -19,57 +95,122 @@ def content_fingerprint(df: DataFrame) -> str:
     return f"{(int(got['s'] or 0) * 1_000_003 + got['n']) % (1 << 64):016x}"
 
 
-def _text(spark: SparkSession, path: str, text: str | None = None) -> str | None:
-    """Reads a small file through Hadoop's file system, or writes one by rename."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if text is None:
-        return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()) if fs.exists(at) else None
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(staged)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(at, False)
-    fs.rename(staged, at)
-    return text
-
-
-def write_dataset(tables: dict[str, DataFrame], path: str) -> dict:
-    """Writes tables under a new version and then points to it; the manifest has rows and fingerprints."""
+def newest_manifest(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """The number and content of the newest manifest; 0 and None without any."""
+    files = _Files(spark, f"{path}/manifests")
+    numbers = [int(n[:9]) for n in files.names() if n.endswith(".json") and not n.startswith(".")]
+    return (max(numbers), json.loads(files.read(f"{max(numbers):09d}.json"))) if numbers else (0, None)
+
+
+def write_dataset(tables: dict[str, DataFrame], path: str, base: int | None = None) -> dict:
+    """Writes tables as a new version; the manifest has rows and fingerprints. ``base`` is the version that the tables were made from: if another has come since, that is a Conflict and nothing changes."""
     spark = next(iter(tables.values())).sparkSession
+    files = _Files(spark, f"{path}/manifests")
+    base = newest_manifest(spark, path)[0] if base is None else base
     version = uuid.uuid4().hex
     manifest = {"version": version, "tables": {}}
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{version}/{name}")
-        back = spark.read.parquet(f"{path}/{version}/{name}")
+        at = f"{path}/{version}/{safe_segment(name)}"
+        df.write.parquet(at)
+        back = spark.read.parquet(at)
         manifest["tables"][name] = {"rows": back.count(), "fingerprint": content_fingerprint(back)}
-    _text(spark, f"{path}/latest.json", json.dumps(manifest, sort_keys=True))
+    manifest["fingerprint"] = reduce(lambda a, b: f"{(int(a, 16) * 31 + int(b, 16)) % (1 << 64):016x}", [manifest["tables"][n]["fingerprint"] for n in sorted(manifest["tables"])], "0")
+    # Numbers that were claimed by a writer who then died are passed over.
+    number = 1 + max([base, *[int(n[:9]) for n in files.names() if n.endswith(".claim")]])
+    files.claim(f"{number:09d}.claim")
+    if newest_manifest(spark, path)[0] != base:
+        raise Conflict(f"{path}: version {base} is no longer the newest")
+    files.write(f"{number:09d}.json", json.dumps(manifest, sort_keys=True))
     return manifest
 
 
 def read_dataset(spark: SparkSession, path: str, name: str) -> DataFrame:
-    pointer = _text(spark, f"{path}/latest.json")
-    if pointer is None:
+    _, manifest = newest_manifest(spark, path)
+    if manifest is None:
         raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/{json.loads(pointer)['version']}/{name}")
+    return spark.read.parquet(f"{path}/{manifest['version']}/{name}")
 
 
 def append_ledger(rows: DataFrame, path: str, keys: list[str], time: str | None = None, now: int = 0, age: int = 0, keep: int = 0) -> int:
     """Appends the rows whose keys (null equals null) the ledger lacks; with ``time``, what is too old or too much goes. Returns the number appended."""
     spark = rows.sparkSession
-    old = None
-    pointer = _text(spark, f"{path}/latest.json")
-    if pointer is not None:
-        old = read_dataset(spark, path, "ledger")
+    base, manifest = newest_manifest(spark, path)
+    old = None if manifest is None else spark.read.parquet(f"{path}/{manifest['version']}/ledger")
     fresh = rows.dropDuplicates(keys)
     fresh = fresh if old is None else novel(fresh, old, keys)
     n = fresh.count()
     every = fresh if old is None else old.unionByName(fresh, allowMissingColumns=True)
-    write_dataset({"ledger": pruned(every, time, now, age, keep) if time else every}, path)
+    write_dataset({"ledger": pruned(every, time, now, age, keep) if time else every}, path, base)
     return n
 
 
+def append_run(rows: DataFrame, path: str, keys: list[str], time: str, now: int, age: int, keep: int = 50_000) -> int:
+    """A ledger of runs: a failure to write it is logged and stops nobody. Returns -1 then."""
+    try:
+        return append_ledger(rows, path, keys, time, now, age, keep)
+    except Exception:
+        _log.exception("the run ledger at %s wasn't written", path)
+        return -1
+
+
+def append_scores(scores: DataFrame, path: str, evaluation: str) -> None:
+    """The scores of one evaluation, in a partition of their own; an evaluation that is there already is never overwritten."""
+    scores_to_rows(scores).write.mode("error").parquet(f"{path}/evaluation={safe_segment(evaluation)}")
+
+
+def append_history(documents: DataFrame, path: str, release: str) -> None:
+    """The values of forecast documents, one a row, with the release they came from."""
+    forecast_to_history(documents).withColumn("release_id", F.lit(release)).write.mode("append").parquet(path)
+
+
+def archive_document(spark: SparkSession, path: str, issued: str, text: str) -> None:
+    """Keeps a served document as it was; one that is kept already stays."""
+    files = _Files(spark, path)
+    name = safe_segment(issued)
+    files.claim(f"{name}.claim")
+    files.write(f"{name}.json", text)
+
+
+def archived_document(spark: SparkSession, path: str, issued: str) -> str:
+    """The very text that was served."""
+    return _Files(spark, path).read(f"{safe_segment(issued)}.json")
+
+
+class States:
+    """Small states by slot (a method, a variable, a bucket): each save is a file of its own, checked before the slot's pointer names it; old ones can be reclaimed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _files(self, slot: str) -> _Files:
+        return _Files(self.spark, f"{self.path}/{'/'.join(map(safe_segment, slot.split('/')))}")
+
+    def save(self, slot: str, state: dict) -> int:
+        files = self._files(slot)
+        number = 1 + max([0, *[int(n[:9]) for n in files.names() if n.endswith(".json")]])
+        text = json.dumps(state, sort_keys=True, allow_nan=False)
+        files.claim(f"{number:09d}.claim")
+        files.write(f"{number:09d}.json", text)
+        return number
+
+    def load(self, slot: str) -> dict | None:
+        """The newest state that can be read whole."""
+        files = self._files(slot)
+        for name in reversed([n for n in files.names() if n.endswith(".json")]):
+            with contextlib.suppress(ValueError):
+                return json.loads(files.read(name))
+        return None
+
+    def reclaim(self, slot: str, keep: int = 3) -> int:
+        """Removes all but the newest; returns how many went."""
+        files = self._files(slot)
+        old = [n for n in files.names() if n.endswith(".json")][:-keep]
+        for name in old:
+            files.remove(name)
+            files.remove(name.replace(".json", ".claim"))
+        return len(old)
+
+
 def scores_to_rows(scores: DataFrame) -> DataFrame:
     """Scores for storage: no NaN, quantiles as JSON with null for what isn't finite."""
     def plain(c):
@@ -91,11 +232,12 @@ def forecast_to_history(document: DataFrame) -> DataFrame:
     return points.select("issued_at", "product", F.col("p.valid").alias("valid"), F.explode("p.values").alias("variable", "value")).where("value is not null")
 
 
-def removable_scores(files: DataFrame, released: DataFrame, keep: int = 3) -> DataFrame:
-    """Catalogued score files (group, evaluation, created) that are neither among the newest of their group nor in a release."""
+def removable_scores(files: DataFrame, released: DataFrame, keep: int = 3, now: int | None = None, age: int = 7) -> DataFrame:
+    """Catalogued score files (group, evaluation, created) that are neither among the newest of their group nor in a release (evaluation, and with ``now`` the day ``released``, no older than ``age`` days). It lists; removing is the caller's, so a dry run is the default."""
     newest = Window.partitionBy("group").orderBy(F.desc("created"), F.desc("evaluation"))
     old = files.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") > keep).drop("__n")
-    return old.join(released.select("evaluation"), "evaluation", "left_anti")
+    held = released if now is None else released.where(F.col("released") >= now - age)
+    return old.join(held.select("evaluation"), "evaluation", "left_anti")
 
 
 def changed_keys(one: DataFrame, two: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
