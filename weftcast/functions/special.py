@@ -95,6 +95,44 @@ def gaussian_crps(mu, sigma, y):
     return sigma * (z * erf(z / math.sqrt(2)) + math.sqrt(2 / math.pi) * np.exp(-z * z / 2) - 1 / math.sqrt(math.pi))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for positive numbers: Stirling's series beyond 8, after steps up to there."""
+    x = np.array(x, float)
+    down = np.zeros_like(x)
+    for _ in range(8):
+        small = x < 8
+        down = np.where(small, down + np.log(np.where(small, x, 1.0)), down)
+        x = np.where(small, x + 1, x)
+    z = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / x - down
+
+
+def gamma_below(a: np.ndarray, x: np.ndarray, most: int = 500) -> np.ndarray:
+    """Regularised lower incomplete gamma function by its power series, of arrays."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    x = np.maximum(x, 0.0)
+    term = np.ones(a.shape)
+    total = term.copy()
+    for k in range(1, most):
+        term = term * x / (a + k)
+        total += term
+        if (term <= 1e-14 * total).all():
+            break
+    front = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - log_gamma(a + 1))
+    return np.where(x > 0, np.clip(front * total, 0, 1), 0.0)
+
+
+def gamma_quantile(p: np.ndarray, a: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Where the lower incomplete gamma function reaches p, by halving."""
+    p, a = np.broadcast_arrays(np.asarray(p, float), np.asarray(a, float))
+    low, high = np.zeros(a.shape), a + 12 * np.sqrt(a) + 40
+    for _ in range(rounds):
+        middle = (low + high) / 2
+        under = gamma_below(a, middle) < p
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return (low + high) / 2
+
+
 def simplex_search(f, start: np.ndarray, most: int = 400, step: float = 0.1, tolerance: float = 1e-7) -> np.ndarray:
     """Minimum of f by reflection, expansion, contraction and shrinkage of a simplex."""
     points = [np.array(start, float)]
@@ -125,16 +163,20 @@ def simplex_search(f, start: np.ndarray, most: int = 400, step: float = 0.1, tol
 
 
 def isotonic(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
-    """The non-decreasing fit of a sequence, by pooling adjacent violators."""
-    w = np.ones(len(y)) if w is None else np.asarray(w, float)
-    value, weight, count = [], [], []
-    for a, b in zip(np.asarray(y, float).tolist(), w.tolist()):
-        value.append(a)
-        weight.append(b)
-        count.append(1)
-        while len(value) > 1 and value[-2] > value[-1]:
-            total = weight[-2] + weight[-1]
-            value[-2:] = [(value[-2] * weight[-2] + value[-1] * weight[-1]) / total]
-            weight[-2:] = [total]
-            count[-2:] = [count[-2] + count[-1]]
-    return np.repeat(value, count)
+    """The non-decreasing fit of a sequence, or of each column of an array, by pooling adjacent violators. Neighbours in the wrong order end in one pool whatever is pooled first, so all falling runs of all columns are pooled at once, again and again until none is left."""
+    y = np.asarray(y, float)
+    columns = y.reshape(len(y), -1).T
+    m, n = columns.shape
+    if not n:
+        return y.copy()
+    value = columns.ravel().copy()
+    weight = np.tile(np.ones(n) if w is None else np.asarray(w, float), m)
+    size, column = np.ones(m * n, np.int64), np.repeat(np.arange(m), n)
+    while True:
+        falls = (value[:-1] > value[1:]) & (column[:-1] == column[1:])
+        if not falls.any():
+            return np.repeat(value, size).reshape(m, n).T.reshape(y.shape)
+        first = np.flatnonzero(np.append(True, ~falls))
+        total = np.add.reduceat(weight, first)
+        value = np.add.reduceat(value * weight, first) / total
+        weight, size, column = total, np.add.reduceat(size, first), column[first]

@@ -204,23 +204,59 @@ def damped(train, test):
     return rows.withColumn("p", F.col("c") + F.col("a") * (F.col("p") - F.col("c"))).select(*CELL, "y", "p")
 
 
-def climatology(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Ridge on harmonics of the hour. The normal equations of all folds are one aggregate; only they reach the driver."""
+def normal_equations(rows: DataFrame, sets: list[list[str]], keys: list[str], terms: list[Column], target: Column, more: list[Column] | None = None) -> list:
+    """Sums of products of all terms and of terms with the target for each grouping, as rows on the driver: a small system each, of which there are as many as folds, sources and buckets. ``whole`` marks the rows that aren't by bucket."""
+    n = len(terms)
+    products = [F.sum(terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(n) for j in range(i, n)]
+    return rows.groupingSets(sets, *keys).agg((F.grouping("bucket") == 1 if "bucket" in keys else F.lit(True)).alias("whole"), F.count("*").alias("n"), *products, *[F.sum(terms[i] * target).alias(f"b{i}") for i in range(n)], *(more or [])).collect()
+
+
+def system(row, n: int):
+    """The matrix and the right side out of such a row."""
     import numpy as np
 
-    terms = [F.lit(1.0), *[f(2 * 3.141592653589793 * k * F.pmod("valid", F.lit(24)) / 24) for k in (1, 2) for f in (F.sin, F.cos)]]
+    return np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]), np.array([row[f"b{i}"] for i in range(n)])
+
+
+def ridge_solution(row, n: int, ridge: float = 1.0) -> list[float]:
+    """Ridge coefficients; the first term is a constant and isn't penalised."""
+    import numpy as np
+
+    a, b = system(row, n)
+    return np.linalg.solve(a + np.diag([1e-12, *[ridge] * (n - 1)]), b).tolist()
+
+
+def of_year(valid: Column, harmonic: int = 1) -> tuple[Column, Column]:
+    """Sine and cosine of the day of the year of an hour since 1970."""
+    angle = 2 * 3.141592653589793 * harmonic * F.dayofyear(F.timestamp_seconds(valid * 3600)) / 365.25
+    return F.sin(angle), F.cos(angle)
+
+
+def climatology(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Ridge on a harmonic of the month and two of the hour. The normal equations of all folds are one aggregate; only they reach the driver."""
+    month = 2 * 3.141592653589793 * F.month(F.timestamp_seconds(F.col("valid") * 3600)) / 12
+    terms = [F.lit(1.0), F.sin(month), F.cos(month), *[f(2 * 3.141592653589793 * k * F.pmod("valid", F.lit(24)) / 24) for k in (1, 2) for f in (F.sin, F.cos)]]
     cells = train.select("fold", "valid", "y").distinct()
-    n = len(terms)
-    sums = cells.groupBy("fold").agg(*[F.sum(terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(n) for j in range(i, n)], *[F.sum(terms[i] * F.col("y")).alias(f"b{i}") for i in range(n)]).collect()
-    rows = []
-    for r in sums:
-        a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) + np.diag([0.0, *[1.0] * (n - 1)])
-        rows.append((r["fold"], np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(n)])).tolist()))
+    rows = [(r["fold"], ridge_solution(r, len(terms))) for r in normal_equations(cells, [["fold"]], ["fold"], terms, F.col("y"))]
     coefficients = train.sparkSession.createDataFrame(rows, "fold int, c array<double>")
     point = sum((F.element_at("c", i + 1) * t for i, t in enumerate(terms)), F.lit(0.0))
     return test.groupBy(*CELL).agg(F.first("y").alias("y")).join(F.broadcast(coefficients), "fold").withColumn("p", point).select(*CELL, "y", "p")  # a row a fold
 
 
+def harmonic_grounded(train: DataFrame, test: DataFrame, elevation: Column, least: int = 48) -> DataFrame:
+    """Each source with its residual added, a ridge on the sun's elevation (its sine and the square of that) and two harmonics of the year: a bucket's own curve from ``least`` rows on, else the source's, else none."""
+    sine = F.sin(F.radians(elevation))
+    terms = [F.lit(1.0), sine, sine * sine, *of_year(F.col("valid")), *of_year(F.col("valid"), 2)]
+    n = len(terms)
+    systems = normal_equations(train, [[*KEY, "bucket"], KEY], [*KEY, "bucket"], terms, F.col("y") - F.col("x"))
+    rows = [(r["fold"], r["source"], None if r["whole"] else r["bucket"], ridge_solution(r, n)) for r in systems if r["n"] >= least]
+    fit = train.sparkSession.createDataFrame(rows, "fold int, source string, bucket string, c array<double>")
+    local, whole = fit.where("bucket is not null"), fit.where("bucket is null").select(*KEY, F.col("c").alias("g"))
+    out = test.join(F.broadcast(whole), KEY, "left").join(F.broadcast(local), [*KEY, "bucket"], "left").withColumn("c", F.coalesce("c", "g"))  # a row a fold, source and bucket
+    shift = sum((F.element_at("c", i + 1) * t for i, t in enumerate(terms)), F.lit(0.0))
+    return mean_of(out.withColumn("x", F.col("x") + F.coalesce(shift, F.lit(0.0))))
+
+
 def clustered(train: DataFrame, test: DataFrame, limit: float = 0.9, least: int = 24) -> DataFrame:
     """Equal weight over sources whose errors aren't nearly those of a better one; the correlations are one aggregate, the choice among few sources is made on the driver."""
     e = train.select("fold", "issue", "valid", "source", (F.col("x") - F.col("y")).alias("e"))

@@ -13,7 +13,7 @@ from ..operators import methods as X
 from ..operators import relations as R
 from ..operators import sequential as Q
 from .base import E, events, query, r6, read
-from .forecasts import BASE, BIAS, matrix, score, split  # noqa: F401
+from .forecasts import BASE, BIAS, matrix, observed, score, split  # noqa: F401
 from .reports import BOARD, pair
 
 
@@ -43,15 +43,6 @@ def t7(spark, d):
     return I.confidence_sets(losses(spark, d), ["bucket"])
 
 
-@query("t8_e_process")
-def t8(spark, d):
-    def run(key, pdf):
-        path = I.e_value_path(pdf.sort_values("valid")["d"].to_numpy())
-        return pd.DataFrame([[key[0], len(path), float(path[-1]), float(path.max())]])
-
-    return differences(spark, d).groupBy("bucket").applyInPandas(run, "bucket string, n long, e_value double, highest double")
-
-
 @query("t11_benjamini_hochberg", "WITH p AS (SELECT l_returnflag AS g, l_partkey AS k, ((sum(l_quantity) * 37) % 1009 / 1009)::DOUBLE AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, p * count(*) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g ORDER BY p) AS raw FROM p) SELECT g, k, round(least(1, min(raw) OVER (PARTITION BY g ORDER BY p DESC)), 6) AS adjusted FROM r")
 def t11(spark, d):
     p = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_partkey").alias("k")).agg(((F.sum("l_quantity") * 37) % 1009 / 1009).cast("double").alias("p"))
@@ -60,45 +51,6 @@ def t11(spark, d):
     return raw.select("g", "k", r6(F.least(F.lit(1.0), F.min("raw").over(w.orderBy(F.desc("p")))), "adjusted"))
 
 
-@query("t16_page_hinkley")
-def t16(spark, d):
-    e = matrix(spark, d).where("y is not null").select("source", "issue", "lead", (F.col("x") - F.col("y")).alias("e"))
-
-    def run(key, pdf):
-        first, top = I.page_hinkley(pdf.sort_values(["issue", "lead"])["e"].to_numpy())
-        return pd.DataFrame([[key[0], len(pdf), first, top]])
-
-    return e.groupBy("source").applyInPandas(run, "source string, n long, alarm_at long, highest double")
-
-
-DAY = "e AS (SELECT event_type, epoch_us(ts) // 86400000000 AS day, avg(value) AS v FROM events GROUP BY 1, 2)"
-
-
-def days(spark, d):
-    return events(spark, d).groupBy("event_type", F.floor(F.col("us") / 86_400_000_000).cast("long").alias("day")).agg(F.avg("value").alias("v"))
-
-
-@query("t18_homogeneity", f"""WITH {DAY}, z AS (SELECT *, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS z FROM e WINDOW w AS (PARTITION BY event_type)), k AS (SELECT *, row_number() OVER o AS k, sum(z) OVER o AS s, count(*) OVER (PARTITION BY event_type) AS n, sum(z) OVER (PARTITION BY event_type) AS a FROM z WINDOW o AS (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING)),
-t AS (SELECT *, s * s / k + (a - s) * (a - s) / (n - k) AS t FROM k WHERE k < n) SELECT event_type, round(max(t), 6) AS t, arg_max(day, (round(t, 9), -k)) AS at, any_value(n) AS n FROM t GROUP BY 1""")
-def t18(spark, d):
-    return I.snht(days(spark, d), ["event_type"], "day", "v").select("event_type", r6(F.col("t"), "t"), "at", "n")
-
-
-@query("t18_pettitt", f"""WITH {DAY}, r AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2.0 AS r FROM e),
-k AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY event_type) AS n, sum(r) OVER o AS s FROM r WINDOW o AS (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING)), u AS (SELECT *, abs(2 * s - k * (n + 1)) AS u FROM k)
-SELECT event_type, max(u)::DOUBLE AS u, arg_max(day, (u, -k)) AS at, any_value(n) AS n, round(least(1, 2 * exp(-6 * max(u) ** 2 / (any_value(n) ** 2 * (any_value(n) + 1)))), 6) AS p_value FROM u GROUP BY 1""")
-def t18p(spark, d):
-    return I.pettitt(days(spark, d), ["event_type"], "day", "v").select("event_type", F.col("u").cast("double").alias("u"), "at", "n", r6(F.col("p_value"), "p_value"))
-
-
-@query("t15_consensus_shift", f"WITH {DAY}, w AS (SELECT event_type, avg(v) FILTER (day > 19750) AS recent, avg(v) FILTER (day <= 19750 AND day > 19729) AS past, median(v) AS med, count(*) FILTER (day > 19750) AS n FROM e GROUP BY 1), a AS (SELECT event_type, median(abs(v - med)) AS mad FROM e JOIN w USING (event_type) GROUP BY 1) SELECT event_type, round((recent - past) / greatest(1.4826 * mad, 1e-6), 6) AS z FROM w JOIN a USING (event_type) WHERE n >= 2")
-def t15(spark, d):
-    e = days(spark, d)
-    w = e.groupBy("event_type").agg(F.avg(F.when(F.col("day") > 19750, F.col("v"))).alias("recent"), F.avg(F.when(F.col("day").between(19730, 19750), F.col("v"))).alias("past"), F.median("v").alias("med"), F.count_if(F.col("day") > 19750).alias("n"))
-    a = e.join(w, "event_type").groupBy("event_type").agg(F.median(F.abs(F.col("v") - F.col("med"))).alias("mad"))
-    return w.where("n >= 2").join(a, "event_type").select("event_type", r6((F.col("recent") - F.col("past")) / F.greatest(1.4826 * F.col("mad"), F.lit(1e-6)), "z"))
-
-
 @query("t20_t21_slopes", "SELECT o_custkey % 25 AS g, count(*) AS n, round(regr_slope(o_totalprice, o_orderkey), 6) AS slope, round(regr_intercept(o_totalprice, o_orderkey), 3) AS intercept FROM orders GROUP BY 1 HAVING count(*) >= 4")
 def t20(spark, d):
     return read(spark, d, "orders").groupBy((F.col("o_custkey") % 25).alias("g")).agg(F.count("*").alias("n"), r6(F.regr_slope("o_totalprice", "o_orderkey"), "slope"), F.round(F.regr_intercept("o_totalprice", "o_orderkey"), 3).alias("intercept")).where("n >= 4")
@@ -167,17 +119,17 @@ def b18(spark, d):
 
 @query("e30_ewa")
 def e30(spark, d):
-    return score(Q.experts(*split(spark, d)))
+    return score(Q.experts(*grounded_split(spark, d)))
 
 
 @query("e31_boa")
 def e31(spark, d):
-    return score(Q.experts(*split(spark, d), second_order=True))
+    return score(Q.experts(*grounded_split(spark, d), second_order=True))
 
 
 @query("e23_seamless_regression")
 def e23(spark, d):
-    return score(Q.seamless(*split(spark, d)))
+    return score(Q.seamless(*split(spark, d), observed(spark, d)))
 
 
 @query("e24_inverse_covariance")
@@ -191,6 +143,15 @@ def spread(pred):
     return scored.groupBy("fold", "bucket").agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("p") - F.col("y"))), "mae"), r6(F.avg(inside), "coverage80"))
 
 
+def daylight():
+    """Whether the sun is up at the site when a row is valid."""
+    return sun() > 0
+
+
+def sun():
+    return S.solar_elevation_deg(F.timestamp_seconds(F.col("valid") * 3600), 34.2768, -117.1692)
+
+
 def grounded_split(spark, d):
     """Training and test rows with each source's bias added, as bases of the distributional methods."""
     train, test = split(spark, d)
@@ -209,19 +170,25 @@ def e34(spark, d):
 
 @query("e37_conformal")
 def e37(spark, d):
-    return spread(Q.conformal(*grounded_split(spark, d)))
+    return spread(Q.conformal(*split(spark, d), X.grounded, daylight()))
+
+
+def calibration(spark, d, beta):
+    """Probabilities of quality by length, recalibrated by source; brier scores before and after on the third of the rows that is held out."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("source", F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("p"), F.col("quality").cast("double").alias("y"), F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("part"))
+    out = Q.recalibrated(rows, "source", "p", "y", "part", beta)
+    brier = lambda c: r6(F.avg((F.col(c) - F.col("y")) ** 2), "b")
+    return out.groupBy("source").agg(F.count("*").alias("n"), brier("p").alias("before"), brier("after").alias("after"))
 
 
 @query("e39_pop_platt")
 def e39(spark, d):
-    s = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("lang", F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("p"), F.col("quality").cast("double").alias("y"), F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("part"))
-    return Q.recalibrated(s, ["lang"], "p", "y", "part")
+    return calibration(spark, d, beta=False)
 
 
 @query("e40_pop_beta")
 def e40(spark, d):
-    s = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("lang", F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("p"), F.col("quality").cast("double").alias("y"), F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("part"))
-    return Q.recalibrated(s, ["lang"], "p", "y", "part", beta=True)
+    return calibration(spark, d, beta=True)
 
 
 @query("t3_pit_uniformity")

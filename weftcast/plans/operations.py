@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import boosting as G
 from ..operators import inference as I
 from ..operators import matrix as M
 from ..operators import methods as X
@@ -15,7 +16,7 @@ from ..operators import sequential as Q
 from ..operators import temporal as P
 from .base import E, events, query, r6
 from .forecasts import BASE, BASEP, BIAS, CAP, PATH, SCORE, matrix, minutes, observed, relations, score, split
-from .inference import grounded_split, losses, spread
+from .inference import daylight, grounded_split, losses, spread, sun
 from .reports import BOARD, pair
 
 BINS = (0, 1, 2, 3, 6, 12, 24)
@@ -48,19 +49,7 @@ def e19(spark, d):
 
 @query("e16_harmonic_grounding")
 def e16(spark, d):
-    """Each source's residual as a ridge on harmonics of the hour; the moments of all folds and sources are one aggregate, a small system each is solved on the driver."""
-    train, test = split(spark, d)
-    terms = [F.lit(1.0), *[f(2 * np.pi * F.pmod("valid", F.lit(24)) / 24) for f in (F.sin, F.cos)]]
-    n = len(terms)
-    sums = train.groupBy("fold", "source").agg(F.count("*").alias("n"), *[F.sum(terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(n) for j in range(i, n)], *[F.sum(terms[i] * (F.col("y") - F.col("x"))).alias(f"b{i}") for i in range(n)]).collect()
-    rows = []
-    for r in sums:
-        a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) + np.eye(n)
-        c = np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(n)])) if r["n"] >= 48 else np.zeros(n)
-        rows.append((r["fold"], r["source"], c.tolist()))
-    fit = spark.createDataFrame(rows, "fold int, source string, c array<double>")
-    shift = sum((F.element_at("c", i + 1) * t for i, t in enumerate(terms)), F.lit(0.0))
-    return score(X.mean_of(test.join(F.broadcast(fit), ["fold", "source"], "left").withColumn("x", F.col("x") + F.coalesce(shift, F.lit(0.0)))))  # a row a fold and source
+    return score(X.harmonic_grounded(*split(spark, d), sun()))
 
 
 @query("e21_anchored_trend")
@@ -80,82 +69,32 @@ def e21(spark, d):
 
 @query("e28_gbt_stack")
 def e28(spark, d):
-    """Spark's boosted trees on the sources, their mean and spread, the lead and the hour; missing sources are imputed and marked. Not the reference's learner: squared loss, no monotone constraint."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    return score(G.stacked(*split(spark, d)))
 
-    train, test = split(spark, d)
-    names = sorted(r["source"] for r in train.select("source").distinct().collect())  # a few sources
-    if not names:
-        return score(X.equal_weight(train, test))
-
-    def features(rows):
-        wide = rows.groupBy(*X.CELL).agg(F.first("y").alias("y"), F.avg("x").alias("mean"), F.coalesce(F.stddev_pop("x"), F.lit(0.0)).alias("sd"), *[F.max(F.when(F.col("source") == s, F.col("x"))).alias(f"s{k}") for k, s in enumerate(names)])
-        for k in range(len(names)):
-            wide = wide.withColumn(f"m{k}", F.col(f"s{k}").isNull().cast("double")).withColumn(f"s{k}", F.coalesce(f"s{k}", "mean"))
-        hour = 2 * np.pi * F.pmod("valid", F.lit(24)) / 24
-        wide = wide.withColumn("hs", F.sin(hour)).withColumn("hc", F.cos(hour)).withColumn("l", F.col("lead").cast("double"))
-        return VectorAssembler(inputCols=["mean", "sd", "hs", "hc", "l", *[f"{p}{k}" for p in "sm" for k in range(len(names))]], outputCol="features").transform(wide)
-
-    old, new = features(train).cache(), features(test)
-    out = None
-    for f in sorted(r["fold"] for r in test.select("fold").distinct().collect()):
-        model = GBTRegressor(labelCol="y", maxIter=8, maxDepth=4, seed=1).fit(old.where(F.col("fold") == f))
-        part = model.transform(new.where(F.col("fold") == f)).select(*X.CELL, "y", F.col("prediction").alias("p"))
-        out = part if out is None else out.unionByName(part)
-    return score(out)
+
+@query("e29_gbt_quantile")
+def e29(spark, d):
+    return spread(G.stacked_quantiles(*split(spark, d)))
 
 
 @query("e35_idr_bucket_subsampled")
 def e35(spark, d):
-    """Isotonic distributions averaged over fifty halves of the rows, drawn by a generator seeded with their number."""
-    from ..functions.special import isotonic
-
-    def fit(x, y, new, *_):
-        base, at = Q._mean(x), Q._mean(new)
-        if len(y) < 100:
-            return {"p": at, "q": [None] * len(at)}
-        rng, grid = np.random.default_rng(len(y)), np.unique(np.quantile(y, np.linspace(0.02, 0.98, 49)))
-        total = np.zeros((len(at), len(grid)))
-        for _ in range(50):
-            pick = rng.permutation(len(y))[: len(y) // 2]
-            order = pick[np.argsort(base[pick], kind="stable")]
-            cdf = np.stack([1 - isotonic(1 - (y[order] <= t).astype(float)) for t in grid], axis=1)
-            total += cdf[np.clip(np.searchsorted(base[order], at), 0, len(order) - 1)]
-        rows = np.maximum.accumulate(total / 50, axis=1)
-        q = [np.interp(Q.LEVELS, r + np.arange(len(r)) * 1e-12, grid) for r in rows]
-        return {"p": np.array([v[3] for v in q]), "q": q}
-
-    return spread(Q.or_global(*grounded_split(spark, d), lambda train, test: Q.per_bucket(train, test, fit, Q.QUANTILES)))
+    return spread(Q.or_global(*grounded_split(spark, d), Q.subsampled_isotonic))
 
 
 @query("e36_idr_calibrated")
 def e36(spark, d):
-    """Isotonic distributions whose levels are replaced by order statistics of the last quarter's probability transforms."""
-    from ..functions.special import isotonic
-
-    def fit(x, y, new, *_):
-        base, at = Q._mean(x), Q._mean(new)
-        cut = len(y) - max(25, len(y) // 4)
-        if cut < 75:
-            return {"p": at, "q": [None] * len(at)}
-        order = np.argsort(base[:cut], kind="stable")
-        grid = np.unique(np.quantile(y[:cut], np.linspace(0.02, 0.98, 49)))
-        cdf = np.stack([1 - isotonic(1 - (y[:cut][order] <= t).astype(float)) for t in grid], axis=1)
-        of = lambda b: np.maximum.accumulate(cdf[np.clip(np.searchsorted(base[:cut][order], b), 0, cut - 1)], axis=1)
-        pit = np.sort([np.interp(v, grid, r, left=0, right=1) for v, r in zip(y[cut:], of(base[cut:]))])
-        n = len(pit)
-        levels = np.array([pit[min(n, int(np.ceil((n + 1) * t))) - 1] for t in Q.LEVELS])
-        q = [np.interp(levels, r + np.arange(len(r)) * 1e-12, grid) for r in of(at)]
-        return {"p": np.array([v[3] for v in q]), "q": q}
-
-    return spread(Q.or_global(*grounded_split(spark, d), lambda train, test: Q.per_bucket(train, test, fit, Q.QUANTILES)))
+    return spread(Q.or_global(*grounded_split(spark, d), Q.calibrated_isotonic))
 
 
 @query("e38_conformal_ewma")
 def e38(spark, d):
-    train, test = split(spark, d)
-    return spread(Q.conformal(X.ewma_corrected(train, train), X.ewma_corrected(train, test)))
+    return spread(Q.conformal(*split(spark, d), X.ewma_corrected, daylight()))
+
+
+@query("e26_analog_ensemble")
+def e26(spark, d):
+    return spread(Q.analogs(*split(spark, d)))
 
 
 @query("e42_daily_path_extreme", f"""WITH {BASE}, dm AS (SELECT issue, source, valid // 24 AS day, max(x) AS px, max(y) AS py, count(*) AS n FROM matrix WHERE y IS NOT NULL GROUP BY 1, 2, 3), w AS (SELECT * FROM dm WHERE n >= 20), b AS (SELECT source, avg(py - px) AS b FROM w WHERE day <= 19734 GROUP BY 1)
@@ -201,21 +140,6 @@ def t12(spark, d):
     return m.groupBy("bucket").agg(r6(gap, "gap"), (gap > 0.15).alias("wide"))
 
 
-@query("t13_winners_curse")
-def t13(spark, d):
-    """By bucket: how much the least mean loss is too low by being chosen, from valid times resampled in blocks."""
-
-    def run(key, pdf):
-        wide = pdf.pivot_table(index="valid", columns="method", values="loss").dropna().sort_index().to_numpy()
-        if len(wide) < 8:
-            return pd.DataFrame(columns=range(4))
-        best = wide.mean(axis=0).min()
-        bias = I.chosen_bias(wide)
-        return pd.DataFrame([[key[0], len(wide), float(best), float(best - bias)]])
-
-    return losses(spark, d).groupBy("bucket").applyInPandas(run, "bucket string, n long, winner_mae double, corrected_mae double")
-
-
 @query("t14_incumbent_retention")
 def t14(spark, d):
     """The incumbent stays while the challenger's mean advantage is within one bootstrap standard error."""
@@ -238,15 +162,6 @@ def t17(spark, d):
     return z.groupBy("issue").agg(F.count("*").alias("sources"), off.alias("off"), ((F.count("*") >= 3) & (off >= F.count("*") * 2 / 3)).alias("common"))
 
 
-@query("t19_break_attribution", f"WITH {E}, d AS (SELECT user_id % 10 AS st, us // 86400000000 AS day, avg(value) AS v FROM e GROUP BY 1, 2), j AS (SELECT st, day, v - lag(v) OVER (PARTITION BY st ORDER BY day) AS j FROM d), b AS (SELECT st, arg_max(day, (round(abs(j), 9), -day)) AS day FROM j WHERE j IS NOT NULL GROUP BY 1), a AS (SELECT day FROM b WHERE st = 0) SELECT count(*) AS stations, count(*) FILTER (abs(b.day - a.day) <= 2) AS together FROM b, a WHERE st <> 0")
-def t19(spark, d):
-    day = events(spark, d).groupBy((F.col("user_id") % 10).alias("st"), F.floor(F.col("us") / 86_400_000_000).cast("long").alias("day")).agg(F.avg("value").alias("v"))
-    jump = day.withColumn("j", F.col("v") - F.lag("v").over(Window.partitionBy("st").orderBy("day"))).where("j is not null")
-    breaks = jump.groupBy("st").agg(F.max_by("day", F.struct(F.round(F.abs("j"), 9), -F.col("day"))).alias("day"))
-    own = breaks.where("st = 0").select(F.col("day").alias("own"))
-    return breaks.where("st <> 0").crossJoin(F.broadcast(own)).agg(F.count("*").alias("stations"), F.count_if(F.abs(F.col("day") - F.col("own")) <= 2).alias("together"))  # one row
-
-
 @query("t23_recalibration_split", f"""WITH {BASE}, e1 AS (SELECT bucket, issue, y - x AS e FROM matrix WHERE y IS NOT NULL), c AS (SELECT min(issue) + 0.7 * (max(issue) - min(issue)) AS cut FROM e1), q AS (SELECT bucket, count(*) AS n, quantile_cont(e, 0.1) AS lo, quantile_cont(e, 0.9) AS hi FROM e1, c WHERE issue <= cut GROUP BY 1 HAVING count(*) >= 50)
 SELECT bucket, count(*) AS n, round(avg(CASE WHEN e BETWEEN lo AND hi THEN 1.0 ELSE 0 END), 6) AS coverage FROM e1 JOIN q USING (bucket), c WHERE issue > cut GROUP BY 1 HAVING count(*) >= 20""")
 def t23(spark, d):
@@ -318,19 +233,6 @@ def dz12(spark, d):
     return rows.unpivot(["issue", "valid", "source"], ["x", "lead"], "variable", "value")
 
 
-@query("pf14_truth_quarantine", f"WITH {BASE} SELECT valid, round(CASE WHEN valid // 24 BETWEEN 19730 AND 19733 THEN NULL ELSE y END, 6) AS y FROM truth")
-def pf14(spark, d):
-    day = F.floor(F.col("valid") / 24)
-    return relations(spark, d)[2].select("valid", r6(F.when(~day.between(19730, 19733), F.col("y")), "y"))
-
-
-@query("ag12_daily_drift", f"WITH {E}, h AS (SELECT us // 3600000000 AS hour, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM e GROUP BY 1) SELECT hour // 24 AS day, round(median(a - b), 6) AS diff, count(*) AS hours FROM h WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1 HAVING count(*) >= 6")
-def ag12(spark, d):
-    pick = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
-    h = events(spark, d).groupBy(F.floor(F.col("us") / 3_600_000_000).cast("long").alias("hour")).agg(pick("click").alias("a"), pick("view").alias("b")).where("a is not null and b is not null")
-    return h.groupBy(F.floor(F.col("hour") / 24).cast("long").alias("day")).agg(r6(F.median(F.col("a") - F.col("b")), "diff"), F.count("*").alias("hours")).where("hours >= 6")
-
-
 @query("rs4_explode_minutes", f"WITH {E} SELECT us // 3600000000 AS hour, m::INTEGER AS m, round(avg(value) * (1 + m / 61.0), 6) AS v FROM e, range(1, 61) AS r(m) WHERE event_type = 'view' GROUP BY 1, m")
 def rs4(spark, d):
     h = events(spark, d).where("event_type = 'view'").groupBy(F.floor(F.col("us") / 3_600_000_000).cast("long").alias("hour")).agg(F.avg("value").alias("v"))
@@ -341,5 +243,3 @@ def rs4(spark, d):
 def rs5(spark, d):
     wide = matrix(spark, d).groupBy("issue", "valid").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return wide.select("issue", "valid", F.size("xs").cast("long").alias("k"), r6(S.masked_mean(F.col("xs")), "mean"))
-
-

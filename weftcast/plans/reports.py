@@ -245,14 +245,6 @@ def ag11(spark, d):
     return s.groupBy("hour").agg(r6(F.median("v"), "v"), F.count("*").alias("stations")).where("stations >= 3")
 
 
-@query("ag16_alignment", f"WITH {E}, h AS (SELECT us // 3600000000 AS hour, avg(value) AS m, avg(value) FILTER (us % 3600000000 < 600000000) AS i FROM e GROUP BY 1), f AS (SELECT us // 3600000000 + 1 AS hour, event_type AS source, avg(value) AS x FROM e GROUP BY 1, 2) SELECT source, count(*) AS n, round(corr(x, m), 6) AS r_mean, round(corr(x, i), 6) AS r_inst FROM f JOIN h USING (hour) WHERE i IS NOT NULL GROUP BY 1 HAVING count(*) >= 72")
-def ag16(spark, d):
-    e = events(spark, d).withColumn("hour", F.floor(F.col("us") / 3_600_000_000).cast("long"))
-    h = e.groupBy("hour").agg(F.avg("value").alias("m"), F.avg(F.when(F.col("us") % 3_600_000_000 < 600_000_000, F.col("value"))).alias("i"))
-    f = e.groupBy((F.col("hour") + 1).alias("hour"), F.col("event_type").alias("source")).agg(F.avg("value").alias("x"))
-    return f.join(h, "hour").where("i is not null").groupBy("source").agg(F.count("*").alias("n"), r6(P.safe_correlation("x", "m"), "r_mean"), r6(P.safe_correlation("x", "i"), "r_inst")).where("n >= 72")
-
-
 @query("ag20_selection_churn", f"WITH {E}, d AS (SELECT user_id, us // 86400000000 AS day, arg_max(event_type, (value, event_id)) AS pick FROM e GROUP BY 1, 2), a AS (SELECT user_id, pick FROM d WHERE day = 19725), b AS (SELECT user_id, pick FROM d WHERE day = 19726) SELECT CASE WHEN a.pick IS NULL THEN 'added' WHEN b.pick IS NULL THEN 'dropped' WHEN a.pick = b.pick THEN 'kept' ELSE 'changed' END AS what, count(*) AS n FROM a FULL JOIN b USING (user_id) GROUP BY 1")
 def ag20(spark, d):
     days = events(spark, d).groupBy("user_id", F.floor(F.col("us") / 86_400_000_000).alias("day")).agg(F.max_by("event_type", F.struct("value", "event_id")).alias("pick"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.special import gamma_sf, simplex_search
+from ..operators import methods as X
 from ..operators import quality as Q
+from ..operators import sequential
 from ..operators import temporal as P
 from .base import E, events, query, r6, read
-from .forecasts import BASE, PATH, matrix, minutes, observed
+from .forecasts import BASE, PATH, matrix, minutes, observed, split
+from .inference import spread
 from .observations import QC, log, qc
 from .reports import BOARD, pair
 
@@ -127,22 +125,7 @@ def sc1(spark, d):
 
 @query("e33_censored_gamma")
 def e33(spark, d):
-    """A shifted gamma law, censored at zero, fitted to amounts by least CRPS on a grid; per event type, with the chance of none."""
-    hours = events(spark, d).withColumn("a", F.greatest(F.col("value") - 60, F.lit(0.0))).groupBy("event_type", F.floor(F.col("us") / 3_600_000_000).alias("hour")).agg(F.avg("a").alias("a"))
-
-    def fit(key, pdf):
-        y = np.sort(pdf["a"].to_numpy())
-        if (y > 0).sum() < 10:
-            return pd.DataFrame(columns=range(5))
-        grid = np.linspace(0, y.max() * 1.5 + 1, 60)
-        below = np.searchsorted(y, grid, "right") / len(y)
-
-        def law(t):
-            shape, scale, shift = math.exp(t[0]), math.exp(t[1]), -math.exp(t[2])
-            return np.array([1 - gamma_sf(shape, (g - shift) / scale) for g in grid])
-
-        best = simplex_search(lambda t: float(((law(np.clip(t, -6, 6)) - below) ** 2).sum()), np.array([0.0, math.log(y.mean() + 0.1), 0.0]), 120)
-        best = np.clip(best, -6, 6)
-        return pd.DataFrame([[key[0], len(y), float(math.exp(best[0])), float(math.exp(best[1])), float(law(best)[0])]])
-
-    return hours.groupBy("event_type").applyInPandas(fit, "event_type string, n long, shape double, scale double, p_none double")
+    """Amounts above 60, of truths and grounded sources."""
+    above = lambda rows: rows.withColumn("x", F.greatest(F.col("x") - 60, F.lit(0.0))).withColumn("y", F.greatest(F.col("y") - 60, F.lit(0.0)))
+    train, test = (above(rows) for rows in split(spark, d))
+    return spread(sequential.or_global(X.grounded(train, train), X.grounded(train, test), sequential.censored_gamma))
