@@ -36,6 +36,44 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
+def fresh(age: Column, cap: float) -> Column:
+    """Whether an age is a number from 0 on and under the cap."""
+    return F.coalesce(finite(age) & (age >= 0) & (age < cap), F.lit(False))
+
+
+#: A published fit of the error function, good to 1.2e-7.
+ERF_TERMS = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def erf(x: Column) -> Column:
+    t = 1 / (1 + 0.5 * F.abs(x))
+    poly = F.lit(ERF_TERMS[-1])
+    for c in reversed(ERF_TERMS[:-1]):
+        poly = c + t * poly
+    return F.signum(x) * (1 - t * F.exp(-x * x + poly))
+
+
+def normal_cdf(z: Column) -> Column:
+    return 0.5 * (1 + erf(z / math.sqrt(2)))
+
+
+def normal_pdf(z: Column) -> Column:
+    return F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+
+
+def gaussian_crps(mu: Column, sigma: Column, y: Column) -> Column:
+    z = (y - mu) / sigma
+    return sigma * (z * erf(z / math.sqrt(2)) + math.sqrt(2 / math.pi) * F.exp(-z * z / 2) - 1 / math.sqrt(math.pi))
+
+
+def coherent(low: Column, high: Column) -> tuple[Column, Column]:
+    """Two quantile curves on the same levels, of which the first may nowhere exceed the second, and both rise."""
+    def rising(a: Column) -> Column:
+        return F.transform(a, lambda _, i: F.array_max(F.slice(a, F.lit(1), i + 1)))
+
+    return rising(F.zip_with(low, high, lambda a, b: F.least(a, b))), rising(F.zip_with(low, high, lambda a, b: F.greatest(a, b)))
+
+
 def clipped(value: Column, low: float | None, high: float | None) -> Column:
     """Within bounds; null stays null, which greatest and least alone would not keep."""
     out = value

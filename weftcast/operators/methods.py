@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import anchor_weight, trimmed_mean
+from ..functions.scalars import anchor_weight, interpolated, trimmed_mean
 
 KEY = ["fold", "source"]
 CELL = ["fold", "issue", "valid", "lead", "bucket"]
@@ -182,6 +182,33 @@ def anchored(train: DataFrame, test: DataFrame, observed: DataFrame, base=ground
     return rows.withColumn("p", F.col("p") + weight * F.coalesce("r0", F.lit(0.0))).select(*CELL, "y", "p")
 
 
+#: Left edges of the lead bins of a fitted anchoring curve, and the lead from which nothing of the residual is left.
+BINS, END = (0, 1, 2, 3, 6, 12), 24
+
+
+def fitted_curve(train: DataFrame, test: DataFrame, observed: DataFrame, base=grounded_equal_weight, least: int = 24) -> DataFrame:
+    """The base plus a share of its first residual that falls with the lead as fitted: a share for each bin of ``least`` rows, in [0, 1] and never rising; in between straight lines through the bins' middles, from the first one's share at lead 0 to none at a day. A fold without a fitted bin isn't anchored."""
+    edges = [*BINS, END]
+    number = F.lit(None).cast("int")
+    for k in range(len(BINS)):
+        number = F.when((F.col("lead") >= edges[k]) & (F.col("lead") < edges[k + 1]), k).otherwise(number)
+
+    def with_r(rows: DataFrame) -> DataFrame:
+        points = base(train, rows)
+        return points.join(first_residual(points, observed), ["fold", "issue"], "left")
+
+    share = F.try_divide(F.sum(F.col("r0") * (F.col("y") - F.col("p"))), F.sum(F.col("r0") * F.col("r0")))
+    bins = with_r(train).where("r0 is not null").withColumn("bin", number).where("bin is not null").groupBy("fold", "bin").agg(F.count("*").alias("n"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("w")).where((F.col("n") >= least) & F.col("w").isNotNull())
+    falling = bins.withColumn("w", F.min("w").over(Window.partitionBy("fold").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    middle = F.element_at(F.array(*[F.lit((a + b) / 2) for a, b in zip(edges, edges[1:])]), F.col("bin") + 1)
+    knots = falling.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct(middle.alias("x"), F.col("w").alias("y")))).alias("k"))  # six at most
+    first = F.element_at("k.y", 1)
+    curve = knots.select("fold", F.concat(F.array(F.lit(0.0)), F.col("k.x"), F.array(F.lit(float(END)))).alias("xs"), F.concat(F.array(first), F.col("k.y"), F.array(F.lit(0.0))).alias("ys"))
+    rows = with_r(test).join(F.broadcast(curve), "fold", "left")  # a row a fold
+    w = F.when(F.col("lead") < END, interpolated(F.col("lead").cast("double"), F.col("xs"), F.col("ys")))
+    return rows.select(*CELL, "y", (F.col("p") + F.coalesce(w, F.lit(0.0)) * F.coalesce("r0", F.lit(0.0))).alias("p"))
+
+
 def residual_slope(train: DataFrame, test: DataFrame, observed: DataFrame, low: float = -0.5, high: float = 1.5) -> DataFrame:
     """The base plus a bucket's slope times the first residual: sum(e r0) / sum(r0 r0), shrunk and clipped."""
     with_r = lambda rows: rows.join(first_residual(rows, observed), ["fold", "issue"], "left")
@@ -204,6 +231,14 @@ def damped(train, test):
     return rows.withColumn("p", F.col("c") + F.col("a") * (F.col("p") - F.col("c"))).select(*CELL, "y", "p")
 
 
+def without(rows: DataFrame, excluded: list[tuple], value: str, source: str = "source", variable: str = "variable") -> DataFrame:
+    """Nulls the values of excluded pairs of source and variable; the rows stay."""
+    out = F.lit(False)
+    for s, v in excluded:
+        out = out | ((F.col(source) == s) & (F.col(variable) == v))
+    return rows.withColumn(value, F.when(~out, F.col(value)))
+
+
 def normal_equations(rows: DataFrame, sets: list[list[str]], keys: list[str], terms: list[Column], target: Column, more: list[Column] | None = None) -> list:
     """Sums of products of all terms and of terms with the target for each grouping, as rows on the driver: a small system each, of which there are as many as folds, sources and buckets. ``whole`` marks the rows that aren't by bucket."""
     n = len(terms)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import local_date, local_day_minutes
+from ..functions.scalars import dew_point_c, local_date, local_day_minutes, sea_level_hpa
 
 HOUR, MINUTE = 3_600_000_000, 60_000_000
 
@@ -46,3 +46,12 @@ def daily(df: DataFrame, by: list[str], value: str, ts: str, zone: str, least: f
     out = day.groupBy(*by, "day").agg(F.max(value).alias("high"), F.min(value).alias("low"), F.count_distinct(F.when(F.col(value).isNotNull(), minute)).alias("minutes"))
     out = out.withColumn("coverage", F.col("minutes") / local_day_minutes(F.col("day"), zone))
     return out.select(*by, "day", *[F.when(F.col("coverage") >= least, F.col(c)).alias(c) for c in ("high", "low")], "coverage")
+
+
+def canonical_minutes(df: DataFrame, channels: dict[str, tuple[str, str | None]], elevation_m: float, keep: list[str]) -> DataFrame:
+    """Channels (their column and the column of their flags) as canonical variables, flagged samples null; the dew point and the pressure at sea level follow from what is left."""
+    clean = {name: F.col(c) if flag is None else F.when(F.col(flag) == 0, F.col(c)) for name, (c, flag) in channels.items()}
+    none = F.lit(None).cast("double")
+    temp, humidity = clean.get("temp", none), clean.get("humidity", none)
+    plain = {"wind_speed": "wind_speed_ms", "wind_gust": "wind_gust_ms", "rain_counter": "rain_counter_mm"}
+    return df.select(*keep, temp.alias("temp_c"), humidity.alias("humidity_pct"), dew_point_c(temp, humidity).alias("dew_point_c"), *[clean.get(c, none).alias(n) for c, n in plain.items()], sea_level_hpa(clean.get("pressure_station", none), temp, elevation_m).alias("pressure_sea_hpa"))

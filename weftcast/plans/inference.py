@@ -63,14 +63,6 @@ def b1(spark, d):
     return events(spark, d).select("event_id", (F.floor(F.col("us") / 3_600_000_000) + 2).cast("long").alias("hourly_known"), (F.floor(F.col("us") / 60_000_000) + 5).cast("long").alias("minutely_known"), known.cast("long").alias("daily_known"))
 
 
-@query("b9_live_demotion", f"WITH {BASE}, m AS (SELECT source, bucket, avg(abs(x - y)) FILTER (valid <= 473600) AS past, avg(abs(x - y)) FILTER (valid > 473600) AS live, count(*) FILTER (valid > 473600) AS n FROM matrix WHERE y IS NOT NULL GROUP BY 1, 2) SELECT source, bucket, n, round(live / past, 6) AS ratio, (live > 1.05 * past AND n >= 24) AS demoted FROM m WHERE past IS NOT NULL AND live IS NOT NULL")
-def b9(spark, d):
-    e = F.abs(F.col("x") - F.col("y"))
-    late = F.col("valid") > 473600
-    m = matrix(spark, d).where("y is not null").groupBy("source", "bucket").agg(F.avg(F.when(~late, e)).alias("past"), F.avg(F.when(late, e)).alias("live"), F.count_if(late).alias("n"))
-    return m.where("past is not null and live is not null").select("source", "bucket", "n", r6(F.col("live") / F.col("past"), "ratio"), ((F.col("live") > 1.05 * F.col("past")) & (F.col("n") >= 24)).alias("demoted"))
-
-
 @query("b10_residual_dressing", f"WITH {BASE}, r AS (SELECT bucket, count(*) AS n, quantile_cont(y - x, 0.1) AS lo, quantile_cont(y - x, 0.9) AS hi FROM matrix WHERE y IS NOT NULL GROUP BY 1), g AS (SELECT quantile_cont(y - x, 0.1) AS lo, quantile_cont(y - x, 0.9) AS hi FROM matrix WHERE y IS NOT NULL) SELECT issue, valid, source, round(x + CASE WHEN n >= 24 THEN r.lo ELSE g.lo END, 6) AS low, round(x + CASE WHEN n >= 24 THEN r.hi ELSE g.hi END, 6) AS high FROM matrix LEFT JOIN r USING (bucket), g")
 def b10(spark, d):
     m = matrix(spark, d)
@@ -82,13 +74,6 @@ def b10(spark, d):
     return rows.select("issue", "valid", "source", r6(F.col("x") + used[0], "low"), r6(F.col("x") + used[1], "high"))
 
 
-@query("b12_coherence", "SELECT l_orderkey, l_linenumber, round(CASE WHEN a > b THEN (a + b) / 2 ELSE a END, 6) AS low, round(CASE WHEN a > b THEN (a + b) / 2 ELSE b END, 6) AS high FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS a, (l_extendedprice / 1000)::DOUBLE AS b FROM lineitem)")
-def b12(spark, d):
-    a, b = F.col("l_quantity").cast("double"), (F.col("l_extendedprice") / 1000).cast("double")
-    both = F.when(a > b, (a + b) / 2)
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(F.coalesce(both, a), "low"), r6(F.coalesce(both, b), "high"))
-
-
 @query("sc13_sc15_curves", "WITH q AS (SELECT o_custkey, list_sort(list(o_totalprice::DOUBLE)) AS q FROM orders GROUP BY 1) SELECT o_custkey, round(q[1], 4) AS lowest, round(CASE WHEN len(q) = 1 THEN q[1] WHEN len(q) = 2 THEN q[1] + (q[2] - q[1]) * 0.5 ELSE q[2] + (q[3] - q[2]) * 0.5 END, 4) AS mid FROM q")
 def sc13(spark, d):
     q = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.col("o_totalprice").cast("double"))).alias("q"))
@@ -104,19 +89,6 @@ def snk8(spark, d):
     return R.pruned(o.withColumn("at", F.col("t") * 10_000_000_000 + F.col("o_orderkey")), "at", now * 10_000_000_000, 730 * 10_000_000_000, 500).select("o_orderkey")
 
 
-@query("b18_alerts", f"""WITH {E}, h AS (SELECT event_type, count(*) AS n, max(us) AS last, count(DISTINCT us // 3600000000) AS hours FROM e GROUP BY 1), t AS (SELECT max(us) AS now FROM e)
-SELECT 'silent' AS family, event_type AS subject, round((now - last) / 3.6e9, 6) AS value FROM h, t WHERE now - last > 600000000 UNION ALL SELECT 'sparse', event_type, round(hours / 720.0, 6) FROM h WHERE hours < 700
-UNION ALL SELECT 'extreme', user_id::VARCHAR, round(max(value), 6) FROM e GROUP BY user_id HAVING max(value) > 400""")
-def b18(spark, d):
-    e = events(spark, d)
-    h = e.groupBy("event_type").agg(F.max("us").alias("last"), F.count_distinct(F.floor(F.col("us") / 3_600_000_000)).alias("hours"))
-    now = e.agg(F.max("us").alias("now"))
-    silent = h.crossJoin(F.broadcast(now)).where("now - last > 600000000").select(F.lit("silent").alias("family"), F.col("event_type").alias("subject"), r6((F.col("now") - F.col("last")) / 3.6e9, "value"))  # one row
-    sparse = h.where("hours < 700").select(F.lit("sparse").alias("family"), F.col("event_type").alias("subject"), r6(F.col("hours") / 720, "value"))
-    extreme = e.groupBy("user_id").agg(F.max("value").alias("v")).where("v > 400").select(F.lit("extreme").alias("family"), F.col("user_id").cast("string").alias("subject"), r6(F.col("v"), "value"))
-    return silent.unionByName(sparse).unionByName(extreme)
-
-
 @query("e30_ewa")
 def e30(spark, d):
     return score(Q.experts(*grounded_split(spark, d)))
@@ -189,12 +161,3 @@ def e39(spark, d):
 @query("e40_pop_beta")
 def e40(spark, d):
     return calibration(spark, d, beta=True)
-
-
-@query("t3_pit_uniformity")
-def t3p(spark, d):
-    m = matrix(spark, d).where("y is not null").groupBy("issue", "valid").agg(F.first("y").alias("y"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).where("s > 0")
-    bins = m.select(F.least(F.lit(9), F.floor(10 / (1 + F.exp(-1.702 * (F.col("y") - F.col("m")) / F.col("s"))))).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    counts = {r["bin"]: r["n"] for r in bins.collect()}  # ten rows
-    p = I.pit_uniformity([counts.get(k, 0) for k in range(10)])
-    return spark.createDataFrame([(int(sum(counts.values())), float(np.nan_to_num(p)))], "n long, p_value double")

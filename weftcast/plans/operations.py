@@ -15,36 +15,31 @@ from ..operators import methods as X
 from ..operators import sequential as Q
 from ..operators import temporal as P
 from .base import E, events, query, r6
-from .forecasts import BASE, BASEP, BIAS, CAP, PATH, SCORE, matrix, minutes, observed, relations, score, split
+from .forecasts import BASE, BASEP, BIAS, CAP, EWMA, PATH, SCORE, matrix, minutes, observed, relations, score, split
 from .inference import daylight, grounded_split, losses, spread, sun
 from .reports import BOARD, pair
 
-BINS = (0, 1, 2, 3, 6, 12, 24)
-BIN = "CASE " + " ".join(f"WHEN lead >= {a} AND lead < {b} THEN {a}" for a, b in zip(BINS, BINS[1:])) + " END"
 RESIDUALS = "ra AS (SELECT a.fold, a.issue, o.y - a.p0 AS r0 FROM (SELECT fold, issue, arg_min(p, lead) AS p0 FROM ptrain WHERE lead < 6 GROUP BY ALL) a JOIN truth o ON o.valid = a.issue), rb AS (SELECT a.fold, a.issue, o.y - a.p0 AS r0 FROM (SELECT fold, issue, arg_min(p, lead) AS p0 FROM ptest WHERE lead < 6 GROUP BY ALL) a JOIN truth o ON o.valid = a.issue)"
+EDGES = [*X.BINS, X.END]
+BIN = "CASE " + " ".join(f"WHEN lead >= {a} AND lead < {b} THEN {(a + b) / 2}" for a, b in zip(EDGES, EDGES[1:])) + " END"
 
 
-def lead_bin(lead):
-    out = None
-    for a, b in zip(BINS, BINS[1:]):
-        inside = (lead >= a) & (lead < b)
-        out = F.when(inside, a) if out is None else out.when(inside, a)
-    return out
+def curve_sql(base: str) -> str:
+    """The fitted curve in SQL: knots of every fold as rows, with one at lead 0 and one at the end."""
+    return f"""WITH {BASE}, {base}, {RESIDUALS}, t AS (SELECT *, {BIN} AS at FROM ptrain JOIN ra USING (fold, issue)), c AS (SELECT fold, t.at AS x, greatest(0, least(1, sum(r0 * (y - p)) / sum(r0 * r0))) AS w FROM t WHERE t.at IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 24 AND sum(r0 * r0) > 0),
+m AS (SELECT fold, x, min(w) OVER (PARTITION BY fold ORDER BY x ROWS UNBOUNDED PRECEDING) AS w FROM c), k AS (SELECT * FROM m UNION ALL SELECT fold, 0.0, arg_min(w, x) FROM m GROUP BY 1 UNION ALL SELECT DISTINCT fold, {float(X.END)}, 0.0 FROM m),
+s AS (SELECT *, lead(x) OVER v AS x1, lead(w) OVER v AS w1 FROM k WINDOW v AS (PARTITION BY fold ORDER BY x)),
+pred AS (SELECT t.* REPLACE (p + coalesce(s.w + (t.lead - s.x) / (s.x1 - s.x) * (s.w1 - s.w), 0) * coalesce(r0, 0) AS p) FROM ptest t LEFT JOIN rb USING (fold, issue) LEFT JOIN s ON s.fold = t.fold AND t.lead >= s.x AND t.lead < s.x1) {SCORE}"""
 
 
-@query("e19_anchored_fitted", f"""WITH {BASE}, {BIAS}, {BASEP}, {RESIDUALS}, t AS (SELECT *, {BIN} AS bin FROM ptrain JOIN ra USING (fold, issue)), c AS (SELECT fold, bin, greatest(0, least(1, sum(r0 * (y - p)) / sum(r0 * r0))) AS w FROM t WHERE bin IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 24 AND sum(r0 * r0) > 0),
-m AS (SELECT fold, bin, min(w) OVER (PARTITION BY fold ORDER BY bin ROWS UNBOUNDED PRECEDING) AS w FROM c),
-pred AS (SELECT q.* REPLACE (p + coalesce(w, 0) * coalesce(r0, 0) AS p) FROM (SELECT *, {BIN} AS bin FROM ptest) q LEFT JOIN rb USING (fold, issue) LEFT JOIN m USING (fold, bin)) {SCORE}""")
+@query("e19_anchored_fitted", curve_sql(f"{BIAS}, {BASEP}"))
 def e19(spark, d):
-    """A weight for the first residual by lead bin, fitted, never rising with the lead; none from a day on."""
-    train, test = split(spark, d)
-    obs = observed(spark, d)
-    with_r = lambda base: base.join(X.first_residual(base, obs), ["fold", "issue"], "left").withColumn("bin", lead_bin(F.col("lead")))
-    w = F.try_divide(F.sum(F.col("r0") * (F.col("y") - F.col("p"))), F.sum(F.col("r0") * F.col("r0")))
-    fit = with_r(X.grounded_equal_weight(train, train)).where("r0 is not null and bin is not null").groupBy("fold", "bin").agg(S.clipped(w, 0, 1).alias("w"), F.count("*").alias("n")).where("n >= 24 and w is not null")
-    curve = fit.select("fold", "bin", F.min("w").over(Window.partitionBy("fold").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("w"))
-    rows = with_r(X.grounded_equal_weight(train, test)).join(curve, ["fold", "bin"], "left")
-    return score(rows.withColumn("p", F.col("p") + F.coalesce("w", F.lit(0.0)) * F.coalesce("r0", F.lit(0.0))))
+    return score(X.fitted_curve(*split(spark, d), observed(spark, d)))
+
+
+@query("e20_anchored_fitted_ewma", curve_sql(f"{EWMA}, " + BASEP.replace("gtrain", "etrain").replace("gtest", "etest")))
+def e20(spark, d):
+    return score(X.fitted_curve(*split(spark, d), observed(spark, d), X.ewma_equal))
 
 
 @query("e16_harmonic_grounding")
@@ -97,15 +92,6 @@ def e26(spark, d):
     return spread(Q.analogs(*split(spark, d)))
 
 
-@query("e42_daily_path_extreme", f"""WITH {BASE}, dm AS (SELECT issue, source, valid // 24 AS day, max(x) AS px, max(y) AS py, count(*) AS n FROM matrix WHERE y IS NOT NULL GROUP BY 1, 2, 3), w AS (SELECT * FROM dm WHERE n >= 20), b AS (SELECT source, avg(py - px) AS b FROM w WHERE day <= 19734 GROUP BY 1)
-SELECT issue, day, round(median(px + b), 6) AS p, round(quantile_cont(px + b, 0.9), 6) AS hi, count(*) AS members FROM w JOIN b USING (source) WHERE day > 19734 GROUP BY 1, 2 HAVING count(*) >= 3""")
-def e42(spark, d):
-    day = matrix(spark, d).where("y is not null").groupBy("issue", "source", F.floor(F.col("valid") / 24).cast("long").alias("day")).agg(F.max("x").alias("px"), F.max("y").alias("py"), F.count("*").alias("n")).where("n >= 20")
-    bias = day.where("day <= 19734").groupBy("source").agg(F.avg(F.col("py") - F.col("px")).alias("b"))
-    m = day.where("day > 19734").join(bias, "source").withColumn("v", F.col("px") + F.col("b"))
-    return m.groupBy("issue", "day").agg(r6(F.median("v"), "p"), r6(F.percentile("v", 0.9), "hi"), F.count("*").alias("members")).where("members >= 3")
-
-
 FITTED = f"""{PATH}, mm AS (SELECT issue, m::INTEGER AS m, p + (m / 60.0 - lead) / (l1 - lead) * (p1 - p) AS p FROM k, range(1, 61) AS r(m) WHERE l1 IS NOT NULL AND m >= lead * 60 AND m < l1 * 60), f AS (SELECT issue, arg_min(p, m) AS p0 FROM mm GROUP BY 1),
 t AS (SELECT mm.*, o.y - p0 AS r, n.y - p AS e, (m - 1) // 15 AS b FROM mm JOIN f USING (issue) JOIN truth o ON o.valid = mm.issue JOIN truth n ON n.valid = mm.issue + m // 60), s AS (SELECT b, sum(e * r) / sum(r * r) AS s FROM t GROUP BY 1)"""
 
@@ -225,14 +211,6 @@ def dz10(spark, d):
     return matrix(spark, d).agg(r6(width / 24, "span_days"), (width >= 360).alias("ready"), F.count_distinct("issue").alias("issues"))
 
 
-@query("dz12_inputs_of_an_issue", f"WITH {BASE}, i AS (SELECT max(issue) AS issue FROM matrix WHERE issue <= 473700) SELECT m.issue, valid, source, 'x' AS variable, round(x, 6) AS value FROM matrix m JOIN i USING (issue) UNION ALL SELECT m.issue, valid, source, 'lead', lead::DOUBLE FROM matrix m JOIN i USING (issue)")
-def dz12(spark, d):
-    m = matrix(spark, d)
-    at = m.where("issue <= 473700").agg(F.max("issue").alias("issue"))
-    rows = m.join(F.broadcast(at), "issue").select("issue", "valid", "source", r6(F.col("x"), "x"), F.col("lead").cast("double").alias("lead"))  # one row
-    return rows.unpivot(["issue", "valid", "source"], ["x", "lead"], "variable", "value")
-
-
 @query("rs4_explode_minutes", f"WITH {E} SELECT us // 3600000000 AS hour, m::INTEGER AS m, round(avg(value) * (1 + m / 61.0), 6) AS v FROM e, range(1, 61) AS r(m) WHERE event_type = 'view' GROUP BY 1, m")
 def rs4(spark, d):
     h = events(spark, d).where("event_type = 'view'").groupBy(F.floor(F.col("us") / 3_600_000_000).cast("long").alias("hour")).agg(F.avg("value").alias("v"))

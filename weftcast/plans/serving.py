@@ -56,14 +56,6 @@ def j10(spark, d):
     return snaps.crossJoin(F.broadcast(e.select(F.col("event_type").alias("source")).distinct()))  # one row a source
 
 
-@query("j15_live_against_backtest", f"WITH {BASE}, b AS (SELECT source, bucket, count(*) AS n, avg(abs(x - y)) AS mae FROM matrix WHERE y IS NOT NULL AND issue < 473600 GROUP BY 1, 2), l AS (SELECT source, bucket, count(*) AS n, avg(abs(x - y)) AS mae FROM matrix WHERE y IS NOT NULL AND issue >= 473600 GROUP BY 1, 2) SELECT l.source, l.bucket, l.n, round(l.mae, 6) AS live, round(b.mae, 6) AS backtest FROM l LEFT JOIN b USING (source, bucket)")
-def j15(spark, d):
-    m = matrix(spark, d).where("y is not null")
-    side = lambda rows, name: rows.groupBy("source", "bucket").agg(F.count("*").alias(f"n_{name}"), r6(F.avg(F.abs(F.col("x") - F.col("y"))), name))
-    out = side(m.where("issue >= 473600"), "live").join(side(m.where("issue < 473600"), "backtest"), ["source", "bucket"], "left")
-    return out.select("source", "bucket", F.col("n_live").alias("n"), "live", "backtest")
-
-
 @query("b8_release", f"WITH {BOARD}, m AS (SELECT bucket, method, round(avg(abs(p - y)), 6) AS mae FROM al GROUP BY 1, 2), w AS (SELECT bucket, arg_min(method, (mae, method)) AS method FROM m GROUP BY 1) SELECT substr(sha256(string_agg(bucket || '=' || method, ';' ORDER BY bucket)), 1, 16) AS release_id, count(*) AS slices FROM w")
 def b8(spark, d):
     """The winners of all slices and an identifier made of them."""
@@ -73,17 +65,6 @@ def b8(spark, d):
     return won.agg(F.substring(F.sha2(F.array_join(parts, ";"), 256), 1, 16).alias("release_id"), F.count("*").alias("slices"))
 
 
-@query("b11_recalibrated_levels", f"""WITH {BASE}, q AS (SELECT issue, valid, any_value(bucket) AS bucket, any_value(y) AS y, quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.9) AS b FROM matrix WHERE y IS NOT NULL GROUP BY 1, 2), s AS (SELECT bucket, quantile_cont(greatest(a - y, y - b), 0.8) AS s FROM q WHERE issue < 473600 GROUP BY 1 HAVING count(*) >= 50)
-SELECT bucket, count(*) AS n, round(avg(CASE WHEN y BETWEEN a AND b THEN 1.0 ELSE 0 END), 6) AS before, round(avg(CASE WHEN y BETWEEN a - s AND b + s THEN 1.0 ELSE 0 END), 6) AS after FROM q JOIN s USING (bucket) WHERE issue >= 473600 GROUP BY 1""")
-def b11(spark, d):
-    """Intervals widened by a quantile of earlier conformity scores."""
-    q = matrix(spark, d).where("y is not null").groupBy("issue", "valid").agg(F.first("bucket").alias("bucket"), F.first("y").alias("y"), F.percentile("x", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    q = q.select("issue", "bucket", "y", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
-    fit = q.where("issue < 473600").groupBy("bucket").agg(F.percentile(F.greatest(F.col("a") - F.col("y"), F.col("y") - F.col("b")), 0.8).alias("s"), F.count("*").alias("k")).where("k >= 50")
-    share = lambda lo, hi: r6(F.avg(F.when(F.col("y").between(lo, hi), 1.0).otherwise(0.0)), "v")
-    return q.where("issue >= 473600").join(fit, "bucket").groupBy("bucket").agg(F.count("*").alias("n"), share(F.col("a"), F.col("b")).alias("before"), share(F.col("a") - F.col("s"), F.col("b") + F.col("s")).alias("after"))
-
-
 @query("b13_minutely_product", f"""WITH {PATH}, mm AS (SELECT issue, m::INTEGER AS m, p + (m / 60.0 - lead) / (l1 - lead) * (p1 - p) AS p FROM k, range(1, 61) AS r(m) WHERE l1 IS NOT NULL AND m >= lead * 60 AND m < l1 * 60), f AS (SELECT issue, arg_min(p, m) AS p0 FROM mm GROUP BY 1)
 SELECT issue, count(*) AS n, round(avg(p + CASE WHEN exp(-m / 60.0) >= 0.05 THEN exp(-m / 60.0) ELSE 0 END * (y - p0)), 6) AS mean, round(min(p), 6) AS low FROM mm JOIN f USING (issue) JOIN truth ON valid = issue GROUP BY 1""")
 def b13(spark, d):

@@ -226,6 +226,29 @@ def scores_to_rows(scores: DataFrame) -> DataFrame:
     return out
 
 
+def rows_to_scores(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The arrays that ``scores_to_rows`` has turned into JSON, as arrays again."""
+    for c in columns:
+        rows = rows.withColumn(c, F.from_json(f"{c}_json", "array<double>")).drop(f"{c}_json")
+    return rows
+
+
+def compatible_scores(scores: DataFrame, now: DataFrame, kind: str, dataset: str, config: str, semantics: str) -> DataFrame:
+    """Scores that evidence may come from: of one kind, dataset, configuration and semantics, created by ``now`` (one row). Where kind and dataset are folders the others aren't listed."""
+    own = scores.where((F.col("kind") == kind) & (F.col("dataset") == dataset) & (F.col("config") == config) & (F.col("semantics") == semantics))
+    return own.crossJoin(F.broadcast(now)).where("created <= now").drop("now")
+
+
+def no_evidence_reason(scores: DataFrame, wanted: DataFrame, live: str) -> DataFrame:
+    """For each wanted dataset and configuration (d, c), why nothing is promoted: no scores at all, none live, of another dataset, of another configuration, or none that passed."""
+    there = scores.where(F.col("kind") == live)
+    n = scores.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == live).alias("live"))
+    data, config = there.select(F.col("dataset").alias("d"), F.lit(True).alias("same_data")).distinct(), there.select(F.col("config").alias("c"), F.lit(True).alias("same_config")).distinct()
+    rows = wanted.crossJoin(F.broadcast(n)).join(data, "d", "left").join(config, "c", "left")  # one row
+    reason = F.when(F.col("n") == 0, "cold_start").when(F.col("live") == 0, "no_live_evidence").when(F.col("same_data").isNull(), "dataset_changed").when(F.col("same_config").isNull(), "config_changed").otherwise("no_slice_passed")
+    return rows.withColumn("reason", reason)
+
+
 def forecast_to_history(document: DataFrame) -> DataFrame:
     """Flattens forecast documents (issued_at, product, points: array of struct(valid, values: map)) to one row a value; nulls are skipped."""
     points = document.select("issued_at", "product", F.explode("points").alias("p"))
