@@ -34,7 +34,7 @@ from .scan import Texts, chunks, gathered
 
 SEGMENT_TOKENS = 1 << 21
 #: Pre-tokens that go to the library as one text.
-RUN = 2000
+RUN = 400
 SEGMENT_SCHEMA = "file int, segment int, before long, n_tokens long, doc_ids array<long>, lengths array<int>, ranked binary, control binary, data binary"
 
 #: For every control byte: the lengths of its four values, where each starts, and their sum.
