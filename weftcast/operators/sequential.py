@@ -66,7 +66,7 @@ class Experts:
         self.rounds += 1
         loss = np.abs(row[awake] - truth)
         loss = loss / max(loss.max(), 1e-9)
-        own = self.w[awake]
+        own = self.w[awake] if self.w[awake].sum() > 0 else np.full(k, 1 / k)
         regret = own @ loss / own.sum() - loss
         if self.second_order:
             self.v[awake] += regret**2
