@@ -126,3 +126,19 @@ def test_prunable_scores_by_age_of_release(spark):
 def test_tables_go_to_the_shared_folder(spark):
     df = scratch.settled(spark.range(3).withColumn("x", F.col("id")), "numbers")
     assert df.count() == 3 and scratch.session_dir(spark).removeprefix("file:").lstrip("/") in df.inputFiles()[0]
+
+
+def test_settings_fail_closed(tmp_path):
+    from weftcast import config
+
+    def of(text):
+        path = tmp_path / "c.toml"
+        path.write_text(text)
+        return config.loaded(str(path))
+
+    assert of("") == config.Settings()
+    got = of('[station]\nlatitude = 50\ntimezone = "Europe/Berlin"\n[forecasts]\nlead_caps = {nbm = 36}\nexcluded = [["a", "wind"]]\n')
+    assert got.latitude == 50.0 and got.timezone == "Europe/Berlin" and got.lead_caps == {"nbm": 36.0} and got.excluded == (("a", "wind"),)
+    for bad in ("[station]\nlatitude = 91", "[station]\nlatitude = true", "[station]\nlat = 1", "[backtest]\nstep_days = 1.5", "[promotion]\nalpha = nan", '[station]\ntimezone = "Nowhere/There"', "latitude = 1", "[forecasts]\nexcluded = [1]"):
+        with pytest.raises(Exception):
+            of(bad)

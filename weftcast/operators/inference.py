@@ -341,6 +341,18 @@ def broken(df: DataFrame, by: list[str], time: str, value: str, least: int = 7)
     return found.join(after, [*by, "at"]).select(*by, "n", "t", breaks.alias("breaks"), F.when(breaks, F.col("day")).alias("day"))
 
 
+def latched(states: DataFrame, verdicts: DataFrame, by: list[str], least: int = 3) -> DataFrame:
+    """States (keys, day, streak, since) a verdict (keys, day, drifts) later: a drift on the next day adds one, on the same day nothing, after a gap it begins anew, and none ends it. ``latched`` from ``least`` days on."""
+    old = states.select(*by, F.col("day").alias("__day"), F.col("streak").alias("__streak"), F.col("since").alias("__since"))
+    rows = verdicts.join(old, by, "full")
+    again, follows = F.col("day") <= F.col("__day"), F.col("day") == F.col("__day") + 1
+    goes_on = follows & (F.col("__streak") > 0)
+    streak = F.when(F.col("day").isNull() | again, F.col("__streak")).when(~F.col("drifts"), 0).when(goes_on, F.col("__streak") + 1).otherwise(1)
+    since = F.when(F.col("day").isNull() | again, F.col("__since")).when(~F.col("drifts"), None).when(goes_on, F.col("__since")).otherwise(F.col("day"))
+    out = rows.select(*by, F.greatest("day", "__day").alias("day"), streak.cast("long").alias("streak"), since.alias("since"))
+    return out.withColumn("latched", F.col("streak") >= least)
+
+
 def e_benjamini_hochberg(df: DataFrame, e: str, by: list[str], alpha: float, name: str = "discovery") -> DataFrame:
     """Discoveries among e-values: the k largest, k the greatest rank at which k e / K reaches 1 / alpha; null values are no hypotheses. ``threshold`` is what a value had to reach."""
     w = Window.partitionBy(*by)

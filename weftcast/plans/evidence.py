@@ -532,3 +532,40 @@ def ag27(spark, d):
     rows = panel(w.groupBy("method", "week").agg(F.sum("n").alias("n")), "rows", F.col("method"), F.col("n"))
     best = panel(w.groupBy("bucket", "week").agg(F.min("mae").alias("mae")), "best", F.col("bucket"), F.round("mae", 6))
     return errors.unionByName(rows).unionByName(best)
+
+
+@query("t22_latch_state", f"WITH {E}, d AS (SELECT event_type, us // 86400000000 AS day, avg(value) AS v FROM e GROUP BY 1, 2), a AS (SELECT *, v > median(v) OVER (PARTITION BY event_type) AS hit FROM d), l AS (SELECT event_type, max(day) AS day, max(day) FILTER (NOT hit) AS miss FROM a GROUP BY 1) SELECT l.event_type, l.day, count(a.day) AS streak, min(a.day) AS since, count(a.day) >= 3 AS latched FROM l LEFT JOIN a ON a.event_type = l.event_type AND a.hit AND a.day > coalesce(miss, -1) GROUP BY 1, 2")
+def t22s(spark, d):
+    """The state of the latch after the last day, carried on day by day over its last four and, for being run twice, the last once more."""
+    day = settled(events(spark, d).groupBy("event_type", F.floor(F.col("us") / 86_400_000_000).cast("long").alias("day")).agg(F.avg("value").alias("v")), "days")
+    verdicts = day.withColumn("drifts", F.col("v") > F.median("v").over(Window.partitionBy("event_type"))).select("event_type", "day", "drifts")
+    last = verdicts.agg(F.max("day")).first()[0]
+    if last is None:
+        return verdicts.select("event_type", "day", F.lit(0).cast("long").alias("streak"), F.col("day").alias("since"), "drifts").withColumnRenamed("drifts", "latched")
+    early = verdicts.where(F.col("day") <= last - 4)
+    miss = early.groupBy("event_type").agg(F.max("day").alias("day"), F.max(F.when(~F.col("drifts"), F.col("day"))).alias("miss"))
+    runs = miss.join(early.where("drifts").withColumnRenamed("day", "hit"), "event_type", "left").where("hit is null or hit > coalesce(miss, -1)")
+    state = miss.select("event_type", "day").join(runs.groupBy("event_type").agg(F.count("hit").alias("streak"), F.min("hit").alias("since")), "event_type", "left").select("event_type", "day", F.coalesce("streak", F.lit(0)).cast("long").alias("streak"), "since")
+    for k in (3, 2, 1, 0, 0):
+        state = settled(I.latched(state, verdicts.where(F.col("day") == last - k), ["event_type"]).select("event_type", "day", "streak", "since"), "latch")
+    return state.withColumn("latched", F.col("streak") >= 3)
+
+
+@query("dz10_fold_readiness", f"WITH {BASE}, d AS (SELECT issue // 24 AS day, count(DISTINCT issue) AS k FROM matrix GROUP BY 1) SELECT round((max(issue) - min(issue)) / 24.0, 6) AS span_days, (max(issue) - min(issue)) >= 360 AS ready, count(DISTINCT issue) AS issues, (SELECT round(avg(k), 6) FROM d) AS issues_a_day, (SELECT count(DISTINCT fold) FROM test) AS folds FROM matrix")
+def dz10(spark, d):
+    """How far the matrix reaches, whether that is enough for a fold, how many folds there are and how dense the issues."""
+    m = settled(matrix(spark, d), "matrix")
+    width = F.max("issue") - F.min("issue")
+    per_day = m.groupBy(F.floor(F.col("issue") / 24)).agg(F.count_distinct("issue").alias("k")).agg(r6(F.avg("k"), "issues_a_day"))
+    folds = split(spark, d)[1].agg(F.count_distinct("fold").alias("folds"))
+    return m.agg(r6(width / 24, "span_days"), (width >= 360).alias("ready"), F.count_distinct("issue").alias("issues")).crossJoin(per_day).crossJoin(folds)  # one row each
+
+
+@query("dz11_active_flatline", f"WITH {E}, {QC}, l AS (SELECT user_id, event_id, (b | cf)::INTEGER AS qc, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS k FROM q2), s AS (SELECT user_id, count(*) FILTER (f = 4) AS flat FROM q2 GROUP BY 1) SELECT s.user_id, event_id, qc, (qc & 4) = 4 AS active, flat FROM s LEFT JOIN l ON l.user_id = s.user_id AND k = 1")
+def dz11(spark, d):
+    """Each channel's flags now, by the past alone, beside its history of flat samples."""
+    from ..operators import quality
+
+    last = P.one_each(qc(log(spark, d), causal=True), ["user_id"], [F.desc("us"), F.desc("event_id")]).select("user_id", "event_id", F.col("qc").cast("int").alias("qc"))
+    flat = quality.summary(qc(log(spark, d)), ["user_id"]).select("user_id", "flat")
+    return flat.join(last, "user_id", "left").select("user_id", "event_id", "qc", (F.col("qc").bitwiseAND(F.lit(4)) == 4).alias("active"), "flat")

@@ -14,6 +14,7 @@ from ..operators import matrix as M
 from ..operators import methods as X
 from ..operators import sequential as Q
 from ..operators import temporal as P
+from ..sources.scratch import settled
 from .base import E, events, query, r6
 from .forecasts import BASE, BASEP, BIAS, CAP, EWMA, PATH, SCORE, matrix, minutes, observed, relations, score, split
 from .inference import daylight, grounded_split, losses, spread, sun
@@ -92,8 +93,11 @@ def e26(spark, d):
     return spread(Q.analogs(*split(spark, d)))
 
 
+MINUTES = "CASE " + " ".join(f"WHEN m / 60.0 >= {low!r} AND m / 60.0 < {high!r} THEN '{name}'" for low, high, name in S.LEAD_EDGES["minutely"]) + " END"
+#: Responses to the first residual, fitted on the first 70 % of the issues and applied to the rest: a bucket's own from 60 rows on, else the overall one.
 FITTED = f"""{PATH}, mm AS (SELECT issue, m::INTEGER AS m, p + (m / 60.0 - lead) / (l1 - lead) * (p1 - p) AS p FROM k, range(1, 61) AS r(m) WHERE l1 IS NOT NULL AND m >= lead * 60 AND m < l1 * 60), f AS (SELECT issue, arg_min(p, m) AS p0 FROM mm GROUP BY 1),
-t AS (SELECT mm.*, o.y - p0 AS r, n.y - p AS e, (m - 1) // 15 AS b FROM mm JOIN f USING (issue) JOIN truth o ON o.valid = mm.issue JOIN truth n ON n.valid = mm.issue + m // 60), s AS (SELECT b, sum(e * r) / sum(r * r) AS s FROM t GROUP BY 1)"""
+t AS (SELECT mm.*, o.y - p0 AS r, n.y - p AS e, {MINUTES} AS b FROM mm JOIN f USING (issue) JOIN truth o ON o.valid = mm.issue JOIN truth n ON n.valid = mm.issue + m // 60), c AS (SELECT min(issue) + floor(0.7 * (max(issue) - min(issue))) AS cut FROM t),
+g AS (SELECT sum(e * r) / sum(r * r) AS g FROM t, c WHERE issue <= cut), s AS (SELECT b, CASE WHEN count(*) >= 60 THEN sum(e * r) / sum(r * r) ELSE any_value(g) END AS s FROM t, c, g WHERE issue <= cut GROUP BY 1)"""
 
 
 def slopes(spark, d):
@@ -102,21 +106,27 @@ def slopes(spark, d):
     truth = relations(spark, d)[2]
     now, then = truth.select(F.col("valid").alias("issue"), F.col("y").alias("y0")), truth.select(F.col("valid").alias("v"), F.col("y").alias("y1"))
     t = mm.join(first, "issue").join(now, "issue").withColumn("v", F.col("issue") + F.floor(F.col("m") / 60)).join(then, "v")
-    t = t.select("issue", "m", "p", (F.col("y0") - F.col("p0")).alias("r"), (F.col("y1") - F.col("p")).alias("e"), F.floor((F.col("m") - 1) / 15).alias("b"))
-    return t, t.groupBy("b").agg(F.try_divide(F.sum(F.col("e") * F.col("r")), F.sum(F.col("r") * F.col("r"))).alias("s"))
+    t = settled(t.select("issue", "m", "p", (F.col("y0") - F.col("p0")).alias("r"), (F.col("y1") - F.col("p")).alias("e"), S.lead_bucket(F.col("m") / 60, "minutely").alias("b")), "minutes")
+    t = t.crossJoin(F.broadcast(t.agg((F.min("issue") + F.floor(0.7 * (F.max("issue") - F.min("issue")))).alias("cut"))))  # one row
+    slope = F.try_divide(F.sum(F.col("e") * F.col("r")), F.sum(F.col("r") * F.col("r")))
+    both = t.where("issue <= cut").rollup("b").agg(F.grouping("b").alias("g"), F.count("*").alias("n"), slope.alias("s"))
+    whole = both.where("g = 1").select(F.col("s").alias("all"))
+    fit = both.where("g = 0").crossJoin(F.broadcast(whole)).select("b", F.when(F.col("n") >= 60, F.col("s")).otherwise(F.col("all")).alias("s"))  # one row
+    return t.where("issue > cut"), fit
 
 
-@query("m8_minutely_ramp", f"WITH {FITTED}, c AS (SELECT b, min(greatest(0, least(1, s))) OVER (ORDER BY b) AS s FROM s) SELECT issue, m, round(p + s * r, 6) AS p FROM t JOIN c USING (b)")
+@query("m8_minutely_ramp", f"WITH {FITTED}, q AS (SELECT b, min(greatest(0, least(1, s))) OVER (ORDER BY list_position(['0-5min', '5-15min', '15-30min', '30-45min', '45-60min'], b)) AS s FROM s) SELECT issue, m, round(p + s * r, 6) AS p FROM t JOIN q USING (b), c WHERE issue > cut")
 def m8(spark, d):
     t, s = slopes(spark, d)
-    ramp = s.select("b", F.min(S.clipped(F.col("s"), 0, 1)).over(Window.orderBy("b")).alias("s"))  # four rows
-    return t.join(ramp, "b").select("issue", "m", r6(F.col("p") + F.col("s") * F.col("r"), "p"))
+    order = F.array_position(F.array(*[F.lit(n) for _, _, n in S.LEAD_EDGES["minutely"]]), F.col("b"))
+    ramp = s.select("b", F.min(S.clipped(F.col("s"), 0, 1)).over(Window.orderBy(order)).alias("s"))  # five rows
+    return t.join(F.broadcast(ramp), "b").select("issue", "m", r6(F.col("p") + F.col("s") * F.col("r"), "p"))
 
 
-@query("m9_minutely_fitted_slope", f"WITH {FITTED} SELECT issue, m, round(p + greatest(-0.5, least(1.5, s)) * r, 6) AS p FROM t JOIN s USING (b)")
+@query("m9_minutely_fitted_slope", f"WITH {FITTED} SELECT issue, m, round(p + greatest(-0.5, least(1.5, s)) * r, 6) AS p FROM t JOIN s USING (b), c WHERE issue > cut")
 def m9(spark, d):
     t, s = slopes(spark, d)
-    return t.join(s, "b").select("issue", "m", r6(F.col("p") + S.clipped(F.col("s"), -0.5, 1.5) * F.col("r"), "p"))
+    return t.join(F.broadcast(s), "b").select("issue", "m", r6(F.col("p") + S.clipped(F.col("s"), -0.5, 1.5) * F.col("r"), "p"))  # five rows
 
 
 @query("t12_gap_annotation", f"WITH {BOARD}, m AS (SELECT bucket, method, avg(abs(p - y)) AS mae FROM al GROUP BY 1, 2) SELECT bucket, round(max(mae) / min(mae) - 1, 6) AS gap, max(mae) / min(mae) - 1 > 0.15 AS wide FROM m GROUP BY 1")
@@ -205,12 +215,6 @@ def dz5(spark, d):
     return day.agg(r6(F.count_if(F.col("value") < 30) / F.count("*"), "share"), F.count("*").alias("n"))
 
 
-@query("dz10_fold_readiness", f"WITH {BASE} SELECT round((max(issue) - min(issue)) / 24.0, 6) AS span_days, (max(issue) - min(issue)) >= 360 AS ready, count(DISTINCT issue) AS issues FROM matrix")
-def dz10(spark, d):
-    width = F.max("issue") - F.min("issue")
-    return matrix(spark, d).agg(r6(width / 24, "span_days"), (width >= 360).alias("ready"), F.count_distinct("issue").alias("issues"))
-
-
 @query("rs4_explode_minutes", f"WITH {E} SELECT us // 3600000000 AS hour, m::INTEGER AS m, round(avg(value) * (1 + m / 61.0), 6) AS v FROM e, range(1, 61) AS r(m) WHERE event_type = 'view' GROUP BY 1, m")
 def rs4(spark, d):
     h = events(spark, d).where("event_type = 'view'").groupBy(F.floor(F.col("us") / 3_600_000_000).cast("long").alias("hour")).agg(F.avg("value").alias("v"))

@@ -89,12 +89,6 @@ def dz7(spark, d):
     return read(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") != F.lag("o_orderstatus").over(old)).alias("changed"), F.row_number().over(w.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))).cast("long").alias("age"))
 
 
-@query("dz11_active_flatline", f"WITH {E}, {QC} SELECT user_id, event_id, (b | cf)::INTEGER AS qc FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS k FROM q2) WHERE k = 1")
-def dz11(spark, d):
-    rows = qc(log(spark, d), causal=True)
-    return P.one_each(rows, ["user_id"], [F.desc("us"), F.desc("event_id")]).select("user_id", "event_id", F.col("qc").cast("int").alias("qc"))
-
-
 @query("sc1_station_times", "SELECT o_orderkey, epoch_us(try_cast(t AS TIMESTAMP)) AS us FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S') || '.250' ELSE 'no time' END AS t FROM orders)")
 def sc1(spark, d):
     from ..sources.archive import utc
