@@ -44,7 +44,7 @@ any way out of the use of this software even if advised of the possibility of su
 
 
 def _gnu(name: str, version: str) -> str:
-    return f"""this <1-4> is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software
+    return f"""is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software
 foundation either version {version} of the license or at your option any later version this <1-4> is distributed in the hope that it will be useful but
 without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} for more details you
 should have received a copy of the gnu {name} along with this <1-4>"""
