@@ -170,14 +170,16 @@ TAUS = (0.0, 0.5, 1.0, 2.0, 3.0, 6.0, 12.0, 24.0)
 
 def anchored(train: DataFrame, test: DataFrame, observed: DataFrame, base=grounded_equal_weight) -> DataFrame:
     """The base plus a share of its first residual that decays with the lead; the decay time (or none) has the least squared error in training, the smallest among equals."""
+    weights = {0.0: F.lit(0.0), **{t: anchor_weight(F.col("lead"), t) for t in TAUS[1:]}}
     weight = F.lit(0.0)
-    for t in TAUS[1:]:
-        weight = F.when(F.col("tau") == t, anchor_weight(F.col("lead"), t)).otherwise(weight)
+    for t, w in weights.items():
+        weight = F.when(F.col("tau") == t, w).otherwise(weight)
     in_train, in_test = (base(train, rows) for rows in (train, test))
     with_r = lambda rows: rows.join(first_residual(rows, observed), ["fold", "issue"], "left")
-    tried = with_r(in_train).where("r0 is not null").withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
-    error = tried.groupBy("fold", "tau").agg(F.round(F.avg(F.pow(F.col("p") + weight * F.col("r0") - F.col("y"), F.lit(2))), 9).alias("mse"))
-    best = error.groupBy("fold").agg(F.min_by("tau", F.struct("mse", "tau")).alias("tau"))
+    # All decay times are sums of one pass; rows aren't multiplied by them.
+    error = lambda w: F.round(F.avg(F.pow(F.col("p") + w * F.col("r0") - F.col("y"), F.lit(2))), 9)
+    tried = with_r(in_train).where("r0 is not null").groupBy("fold").agg(*[error(w).alias(f"m{k}") for k, w in enumerate(weights.values())])
+    best = tried.select("fold", F.array_min(F.array(*[F.struct(F.col(f"m{k}").alias("m"), F.lit(t).alias("tau")) for k, t in enumerate(weights)]))["tau"].alias("tau"))
     rows = with_r(in_test).join(best, "fold", "left").withColumn("tau", F.coalesce("tau", F.lit(0.0)))
     return rows.withColumn("p", F.col("p") + weight * F.coalesce("r0", F.lit(0.0))).select(*CELL, "y", "p")
 
@@ -223,9 +225,9 @@ def damped(train, test):
     """Between the base and the hourly climatology: the share of least error in training, by bucket, shrunk to 1."""
     clim = train.groupBy("fold", F.pmod("valid", F.lit(24)).alias("hod")).agg(F.avg("y").alias("c"))
     joined = lambda rows: grounded_equal_weight(train, rows).withColumn("hod", F.pmod("valid", F.lit(24))).join(clim, ["fold", "hod"])
-    tried = joined(train).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    mae = tried.groupBy("fold", "bucket", "k").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("c") + F.col("k") / 20 * (F.col("p") - F.col("c")) - F.col("y"))), 9).alias("mae"))
-    best = mae.groupBy("fold", "bucket").agg(F.first("n").alias("n"), F.min_by("k", F.struct("mae", -F.col("k"))).alias("k"))
+    mae = lambda k: F.round(F.avg(F.abs(F.col("c") + k / 20 * (F.col("p") - F.col("c")) - F.col("y"))), 9)
+    tried = joined(train).groupBy("fold", "bucket").agg(F.count("*").alias("n"), *[mae(k).alias(f"m{k}") for k in range(21)])
+    best = tried.select("fold", "bucket", "n", (-F.array_min(F.array(*[F.struct(F.col(f"m{k}").alias("m"), F.lit(-k).alias("k")) for k in range(21)]))["k"]).alias("k"))
     share = (F.col("n") * F.col("k") / 20 + PRIOR) / (F.col("n") + PRIOR)
     rows = joined(test).join(best, ["fold", "bucket"], "left").withColumn("a", F.coalesce(share, F.lit(1.0)))
     return rows.withColumn("p", F.col("c") + F.col("a") * (F.col("p") - F.col("c"))).select(*CELL, "y", "p")

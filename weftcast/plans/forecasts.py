@@ -249,6 +249,20 @@ def board(spark, d, names):
     return out
 
 
+def backtest(spark, d, folds: int = 45, names=tuple(X.METHODS)):
+    """Errors of every method in each of so many folds and each bucket; all folds of a method are one job."""
+    rows = settled(matrix(spark, d), "matrix")
+    low, high = rows.agg(F.min("issue"), F.max("issue")).first()
+    step = max((high - low - INITIAL // 2) // folds, 1)
+    train, test = M.train_test(rows, list(range(low + INITIAL // 2, high, step))[:folds], step)
+    train, test = settled(train, "train"), settled(test, "test")
+    out = None
+    for name in names:
+        part = score(X.METHODS[name](train, test)).withColumn("method", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("leaderboard_winners", f"""WITH {BASE}, {BIAS}, {BEST.replace('pred AS', 'pb AS')}, {MEAN.format(rows='test').replace('pred AS', 'pe AS')}, {MEAN.format(rows='gtest').replace('pred AS', 'pg AS')},
 al AS (SELECT 'best_provider' AS method, * FROM pb UNION ALL SELECT 'equal_weight', * FROM pe UNION ALL SELECT 'grounded_equal_weight', * FROM pg),
 m AS (SELECT bucket, method, count(*) AS n, round(avg(abs(p - y)), 6) AS mae FROM al GROUP BY 1, 2)
