@@ -214,6 +214,9 @@ def test_gamma_functions():
     for a, x in ((0.5, 0.2), (3, 2), (3, 9), (40, 35)):
         assert special.gamma_below(a, x) == pytest.approx(1 - special.gamma_sf(a, x), abs=1e-10)
         assert special.gamma_quantile(special.gamma_below(a, x), a) == pytest.approx(x, rel=1e-6)
+    for a in (140.0, 160.0, 1e4, 1e8):  # on both sides of where the law changes
+        q = special.gamma_quantile(np.array([0.05, 0.5, 0.95]), a)
+        assert q == pytest.approx([a - 1.645 * a**0.5, a, a + 1.645 * a**0.5], abs=2 + 1e-6 * a)
 
 
 def test_censored_gamma_law(spark):

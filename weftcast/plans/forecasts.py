@@ -204,7 +204,12 @@ def e20(spark, d):
     return score(X.anchored(*split(spark, d), observed(spark, d), X.ewma_equal))
 
 
-@query("e18_anchored_inverse_mse")
+_head, _tail = WEIGHTS.split("ww AS")
+#: The weighted base on test and on training rows.
+WEIGHTED = f"{_head}wt AS{_tail.replace('ww', 'wt').replace('pred AS', 'ptest AS')}, wr AS{_tail.replace('ww', 'wr').replace('FROM gtest', 'FROM gtrain').replace('pred AS', 'ptrain AS')}"
+
+
+@query("e18_anchored_inverse_mse", anchored_sql(WEIGHTED.format(bias=BIAS, power=2)))
 def e18(spark, d):
     return score(X.anchored(*split(spark, d), observed(spark, d), X.inverse_mse))
 
