@@ -70,9 +70,9 @@ def completions(spark, d):
     return A.completed_at(tables(spark, d)[0], *PLACE).select(F.unix_micros("completed").alias("completed"))
 
 
-@query("src7_latest_location", f"WITH {ARCHIVE} SELECT latitude, longitude FROM runs ORDER BY id DESC LIMIT 1")
+@query("src7_latest_location", f"WITH {ARCHIVE} SELECT round(latitude::DOUBLE, 6) AS latitude, round(longitude::DOUBLE, 6) AS longitude FROM runs ORDER BY id DESC LIMIT 1")
 def location(spark, d):
-    return A.newest_place(tables(spark, d)[0])
+    return A.newest_place(tables(spark, d)[0]).select(r6(F.col("latitude"), "latitude"), r6(F.col("longitude"), "longitude"))
 
 
 @query("src9_slugs", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT') OR o_orderstatus = 'O' THEN 'p' || o_custkey % 5 ELSE 'p' || o_custkey % 5 || '_' || o_orderstatus END AS source FROM orders WHERE CASE WHEN o_orderpriority IN ('1-URGENT') OR o_orderstatus = 'O' THEN 'p' || o_custkey % 5 ELSE 'p' || o_custkey % 5 || '_' || o_orderstatus END IN ('p0', 'p1', 'p2_F', 'p3_P')")

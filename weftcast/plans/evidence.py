@@ -13,6 +13,7 @@ from ..operators import temporal as P
 from ..operators import truth as T
 from ..sources import sinks as K
 from ..sources.scratch import settled
+from . import verdicts  # noqa: F401  alerts read its queries
 from .archives import folder
 from .base import E, events, query, r6, read
 from .forecasts import BASE, BEST, BIAS, BUCKET, GROUND, MEAN, PATH, board, matrix, minutes, observed, relations, split
@@ -464,7 +465,7 @@ def sc18(spark, d):
     return read(spark, d, "orders").select("o_orderkey", r6(S.normal_cdf(z), "cdf"), r6(S.normal_pdf(z), "pdf"), F.round(S.gaussian_crps(F.lit(200000.0), s, F.col("o_totalprice")), 4).alias("crps"))
 
 
-@query("sc20_json_grids", "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN NULL ELSE value END AS first, 2.5 AS second, CASE WHEN event_id % 4 = 1 THEN '[null, 2.5]' ELSE NULL END AS shown FROM events")
+@query("sc20_json_grids", "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN NULL ELSE value END AS first, 2.5::DOUBLE AS second, CASE WHEN event_id % 4 = 1 THEN '[null, 2.5]' ELSE NULL END AS shown FROM events")
 def sc20(spark, d):
     """Arrays to JSON and back; what isn't finite is null on the way."""
     k = F.col("event_id") % 4
@@ -569,3 +570,62 @@ def dz11(spark, d):
     last = P.one_each(qc(log(spark, d), causal=True), ["user_id"], [F.desc("us"), F.desc("event_id")]).select("user_id", "event_id", F.col("qc").cast("int").alias("qc"))
     flat = quality.summary(qc(log(spark, d)), ["user_id"]).select("user_id", "flat")
     return flat.join(last, "user_id", "left").select("user_id", "event_id", "qc", (F.col("qc").bitwiseAND(F.lit(4)) == 4).alias("active"), "flat")
+
+
+#: Families of alerts that read another query's rows: zone, panel, subject, value and which rows.
+FROM_QUERIES = (
+    ("B", "stuck-sensor", "dz11_active_flatline", "CAST(user_id AS STRING)", "flat", "active"),
+    ("B", "provider-drifting", "t16_page_hinkley", "concat(source, ' ', bucket, ' residual')", "highest", "alarm"),
+    ("B", "provider-drifting", "t15_consensus_shift", "concat(source, ' ', bucket, ' consensus')", "z", "alarm"),
+    ("E", "backend-swap", "w12_held_leaders", "leader", "held", "start > (SELECT min(start) FROM rows_)"),
+)
+#: The newest order stands for the last run; its status for how that ended, its priority for what it was made from.
+LAST_RUN = "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1"
+
+
+def _state_alerts_sql() -> str:
+    from .base import SQL
+
+    parts = [f"SELECT '{zone}' AS zone, '{panel}' AS panel, {subject.replace('STRING', 'VARCHAR')} AS subject, round({value}::DOUBLE, 4) AS value FROM (WITH rows_ AS ({SQL[name]}) SELECT * FROM rows_ WHERE {rows})" for zone, panel, name, subject, value, rows in FROM_QUERIES]
+    parts += [f"SELECT 'F', 'serving-refused', o_orderkey::VARCHAR, NULL::DOUBLE FROM ({LAST_RUN}) WHERE o_orderstatus <> 'O'", f"SELECT 'F', 'artifacts-stale', o_orderkey::VARCHAR, NULL::DOUBLE FROM ({LAST_RUN}) WHERE o_orderpriority <> '1-URGENT'"]
+    return " UNION ALL ".join(parts)
+
+
+@query("b18_state_alerts", _state_alerts_sql())
+def b18s(spark, d):
+    """The families that look at flags, drift, leaders, the last run and what it was made from."""
+    from .base import QUERIES
+
+    out = []
+    for zone, panel, name, subject, value, rows in FROM_QUERIES:
+        df = QUERIES[name](spark, d)
+        if "rows_" in rows:  # all but the first leader have taken over from one
+            first = df.agg(F.min("start").alias("first"))
+            df, rows = df.crossJoin(F.broadcast(first)), "start > first"  # one row
+        out.append(df.where(rows).selectExpr(f"'{zone}' AS zone", f"'{panel}' AS panel", f"{subject} AS subject", f"round(CAST({value} AS DOUBLE), 4) AS value"))
+    last = read(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1)
+    told = lambda rows, panel: last.where(rows).selectExpr("'F' AS zone", f"'{panel}' AS panel", "CAST(o_orderkey AS STRING) AS subject", "CAST(NULL AS DOUBLE) AS value")
+    return K.all_of([*out, told("o_orderstatus <> 'O'", "serving-refused"), told("o_orderpriority <> '1-URGENT'", "artifacts-stale")])
+
+
+PITS = f"p AS (SELECT *, {PIT} AS pit FROM s)"
+
+
+@query("t23_recalibration_transforms", f"""WITH {BASE}, {GRIDS}, c AS (SELECT min(issue) + floor(0.7 * (max(issue) - min(issue))) AS cut FROM matrix WHERE y IS NOT NULL), s AS (SELECT g.*, issue <= cut AS fit FROM g, c), {PITS},
+f AS (SELECT bucket, count(*) AS k, quantile_cont(greatest(q1 - y, y - q5), 0.8) AS w, quantile_cont(pit, 0.1) AS a, quantile_cont(pit, 0.9) AS b FROM p WHERE fit GROUP BY 1), o AS (SELECT quantile_cont(greatest(q1 - y, y - q5), 0.8) AS w, quantile_cont(pit, 0.1) AS a, quantile_cont(pit, 0.9) AS b FROM p WHERE fit),
+ev AS (SELECT p.bucket, y, q1, q5, pit, CASE WHEN k >= 50 THEN f.w ELSE o.w END AS w, CASE WHEN k >= 50 THEN f.a ELSE o.a END AS a, CASE WHEN k >= 50 THEN f.b ELSE o.b END AS b FROM p LEFT JOIN f USING (bucket), o WHERE NOT fit),
+x AS (SELECT bucket, count(*) AS n, avg(CASE WHEN y BETWEEN q1 AND q5 THEN 1.0 ELSE 0 END) AS raw, avg(CASE WHEN y BETWEEN q1 - w AND q5 + w THEN 1.0 ELSE 0 END) AS cqr, avg(CASE WHEN pit BETWEEN a AND b THEN 1.0 ELSE 0 END) AS pit FROM ev GROUP BY 1 HAVING count(*) >= 20)
+SELECT bucket, n, round(raw, 6) AS raw, round(pit, 6) AS pit, round(cqr, 6) AS cqr FROM x""")
+def t23(spark, d):
+    """Coverage of 80 % intervals on the later rows, as they are, with levels replaced by quantiles of the earlier rows' transforms, and widened by what those missed: each by the bucket's own 50 rows at least, else by all buckets'."""
+    p = settled(with_cut(settled(grids(spark, d), "grids")).withColumn("pit", F.expr(PIT)), "transforms")
+    miss = F.greatest(F.col("q1") - F.col("y"), F.col("y") - F.col("q5"))
+    learned = lambda g: g.agg(F.count("*").alias("k"), F.percentile(miss, 0.8).alias("w"), F.percentile("pit", F.array(F.lit(0.1), F.lit(0.9))).alias("t"))
+    early = p.where("issue <= cut")
+    own, overall = learned(early.groupBy("bucket")), learned(early.groupBy()).select(F.col("w").alias("all_w"), F.col("t").alias("all_t"))
+    e = p.where("issue > cut").join(own, "bucket", "left").crossJoin(F.broadcast(overall))  # one row
+    enough = F.col("k") >= 50
+    w, t = F.when(enough, F.col("w")).otherwise(F.col("all_w")), F.when(enough, F.col("t")).otherwise(F.col("all_t"))
+    share = lambda inside, name: r6(F.avg(F.when(inside, 1.0).otherwise(0.0)), name)
+    y = F.col("y")
+    return e.withColumn("w_", w).withColumn("t_", t).groupBy("bucket").agg(F.count("*").alias("n"), share(y.between(F.col("q1"), F.col("q5")), "raw"), share(F.col("pit").between(F.col("t_")[0], F.col("t_")[1]), "pit"), share(y.between(F.col("q1") - F.col("w_"), F.col("q5") + F.col("w_")), "cqr")).where("n >= 20")

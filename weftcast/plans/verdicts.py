@@ -77,7 +77,7 @@ HOMOGENEITY = """{n}z AS (SELECT *, (v - avg(v) OVER w) / nullif(stddev_pop(v) O
 {n}h AS (SELECT key, max(t) AS t, arg_max(day, (round(t, 9), -k)) AS at, arg_max(nx, (round(t, 9), -k)) AS nx, any_value(n) AS n FROM {n}t GROUP BY 1)"""
 
 
-@query("t18_homogeneity", f"WITH {DAY}, s AS (SELECT event_type AS key, day, v FROM e), {HOMOGENEITY.format(n='s', rows='s')} SELECT key AS event_type, round(t, 6) AS t, sh.at, n, round({critical_sql('n')}, 6) AS critical, t > {critical_sql('n')} AS breaks FROM sh")
+@query("t18_homogeneity", f"WITH {DAY}, s AS (SELECT event_type AS key, day, v FROM e), {HOMOGENEITY.format(n='s', rows='s')} SELECT key AS event_type, round(t, 6) AS t, sh.at, n, round(({critical_sql('n')})::DOUBLE, 6) AS critical, t > {critical_sql('n')} AS breaks FROM sh")
 def t18(spark, d):
     found = I.snht(days(spark, d), ["event_type"], "day", "v")
     limit = I.snht_critical(F.col("n"))
