@@ -149,7 +149,7 @@ def j14(spark, d):
 SELECT l.source, l.bucket, l.n, round(l.mae, 6) AS live, round(b.mae, 6) AS backtest, round(l.mae - b.mae, 6) AS gap FROM l LEFT JOIN b USING (source, bucket)""")
 def j15(spark, d):
     """Errors of the last 30 % of the span beside what the folds before, weighted by their cases, had promised."""
-    s = with_cut(matrix(spark, d).where("y is not null")).withColumn("e", F.abs(F.col("x") - F.col("y")))
+    s = with_cut(matrix(spark, d)).where("y is not null").withColumn("e", F.abs(F.col("x") - F.col("y")))
     folds = s.where("issue <= cut").groupBy("source", "bucket", (F.col("issue") % 3).alias("fold")).agg(F.count("*").alias("n"), F.avg("e").alias("mae"))
     expected = folds.groupBy("source", "bucket").agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("b"))
     live = s.where("issue > cut").groupBy("source", "bucket").agg(F.count("*").alias("n"), F.avg("e").alias("l"))
