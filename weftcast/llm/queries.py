@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -126,10 +127,63 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(write_token_files(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import code_digests
+
+    return code_digests(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """A chain of CTEs, two a round: every part meets all entries of its codebook, then the entries become floored means."""
+
+    def floored(total: str, count: str) -> str:
+        return f"(({total} - ((({total} % {count}) + {count}) % {count})) // {count})"
+
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""",
+near{k} AS MATERIALIZED (SELECT rid, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (SELECT v.rid, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM v JOIN book{k} b USING (part, place) GROUP BY ALL) GROUP BY rid, part)"""
+        if k < rounds:
+            steps += f""",
+mean{k} AS (SELECT part, entry, place, sum(x)::BIGINT AS s, count(*)::BIGINT AS c FROM v JOIN near{k} USING (rid, part) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT part, entry, place, coalesce({floored("s", "c")}, x) AS x FROM book{k} LEFT JOIN mean{k} USING (part, entry, place))"""
+    return f"""
+WITH ok AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS MATERIALIZED (SELECT rid, (i - 1) // (len(embedding) // {parts}) AS part, (i - 1) % (len(embedding) // {parts}) AS place, floor({scale} * embedding[i]::DOUBLE)::BIGINT AS x FROM ok, unnest(range(1, len(embedding) + 1)) AS u(i)),
+book0 AS (SELECT part, rid - 1 AS entry, place, x FROM v WHERE rid <= {entries}){steps},
+code AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY rid),
+by_label AS (SELECT label, sum(error)::BIGINT AS label_error FROM ok JOIN code USING (rid) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM book{rounds}) AS codebooks_sha256
+FROM ok JOIN code USING (rid) JOIN by_label ON by_label.label IS NOT DISTINCT FROM ok.label
+"""
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP12_SQL = """
+WITH ok AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS MATERIALIZED (SELECT rid, i, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x FROM ok, unnest(range(1, len(embedding) + 1)) AS u(i)),
+s AS (SELECT q.rid AS qid, c.rid AS cid, sum(q.x * c.x)::BIGINT AS score FROM (SELECT v.* FROM v JOIN ok USING (rid) WHERE vec_id % 50 = 0) q JOIN v c ON q.i = c.i AND q.rid <> c.rid GROUP BY ALL),
+r AS (SELECT qid, c.vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, c.vec_id NULLS LAST)::INTEGER AS rank FROM s JOIN ok c ON c.rid = cid)
+SELECT ok.vec_id AS query_id, rank, r.vec_id, score FROM r JOIN ok ON ok.rid = qid WHERE rank <= 5
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whiten import whitening_digests
+
+    return whitening_digests(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality, op2_passages, op3_bpe, op4_toxicity, op5_shards, op6_leaks, op7_near_duplicates, op8_licenses, op9_exact, op10_token_files)
+    every = (op1_quality, op2_passages, op3_bpe, op4_toxicity, op5_shards, op6_leaks, op7_near_duplicates, op8_licenses, op9_exact, op10_token_files, op11_vector_codes, op12_top_k, op13_whitening)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_passages": OP2_SQL, "op7_near_duplicates": OP7_SQL, "op8_licenses": op8_sql(), "op9_exact": OP9_SQL}
+    return {"op2_passages": OP2_SQL, "op7_near_duplicates": OP7_SQL, "op8_licenses": op8_sql(), "op9_exact": OP9_SQL, "op11_vector_codes": op11_sql(), "op12_top_k": OP12_SQL}
