@@ -10,6 +10,7 @@ one text if it is longer).
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,7 +119,7 @@ _of_length = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices of ``data``; equal slices have equal hashes wherever they stand. Slices of at most eight bytes and equal length never collide; in longer ones every block is mixed into what stands before it, so no pattern of their bytes makes two hashes meet."""
+    """64-bit hashes of slices of ``data``; equal slices have equal hashes wherever they stand. The function is fixed, so slices can be made that meet in it: where a result rests on two slices being the same, compare their bytes or use ``keyed_hash``."""
     size = ends - starts
     at8 = eights(data)
     out = mixed(size.astype(U64) * BYTE_FACTOR + U64(1))
@@ -137,6 +138,48 @@ def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+class Keys:
+    """The random numbers of a keyed hash, made of ``seed``; the same seed gives the same hash in all tasks."""
+
+    def __init__(self, seed: bytes):
+        drawn = hashlib.shake_256(seed).digest(16 * (LONG_WORD // 4 + 4))
+        numbers = np.frombuffer(drawn, "<u8").reshape(2, -1)
+        self.secret, self.add, self.by = hashlib.blake2b(seed, digest_size=32).digest(), numbers[:, 0], numbers[:, 1:]
+
+    @classmethod
+    def drawn(cls) -> Keys:
+        """Keys that nobody knows beforehand: made by the driver, once a job."""
+        return cls(secrets.token_bytes(32))
+
+
+def keyed_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: Keys) -> np.ndarray:
+    """64-bit hashes of slices of ``data``: twice the upper half of a sum of the length and the slice's 32-bit numbers, each times a random number of its own. Whatever two different slices are, as long as they don't depend on the keys, they meet with a probability of 2**-64 (multilinear hashing is strongly universal); slices of over LONG_WORD bytes go through a keyed cryptographic hash. Equal slices have equal hashes wherever they stand."""
+    size = ends - starts
+    one, two = (a + b * size.astype(U64) for a, b in zip(keys.add, keys.by[:, 0]))
+    if not size.size:
+        return one
+    at8, low = eights(data), U64(0xFFFFFFFF)
+    live, done, some = None, 0, 1
+    while live is None or live.size:
+        begin, left = (starts, size) if live is None else (starts[live] + done, size[live] - done)
+        part = at8[begin] & _of_length[np.minimum(left, 8)]
+        first, second = part & low, part >> U64(32)
+        more = [b[some] * first + b[some + 1] * second for b in keys.by]
+        if live is None:
+            one += more[0]
+            two += more[1]
+            live = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        else:
+            one[live] += more[0]
+            two[live] += more[1]
+        done, some = done + 8, some + 2
+        live = live[size[live] > done]
+    out = mixed((one & ~low) | (two >> U64(32)))
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=keys.secret).digest(), "little")
+    return out
+
+
 def same_slices(data: np.ndarray, starts: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the bytes from ``starts`` and from ``others`` on agree over ``size`` bytes."""
     at8 = eights(data)

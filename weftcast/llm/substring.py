@@ -4,8 +4,9 @@ Documents are cut into non-overlapping reference blocks of ``block`` words, and
 rolling window of that many words probes them. A window of ``2 * block - 1`` words
 always holds a whole block, so each place of a passage that repeats over that length
 has an anchor: a probe that meets a block. Around the anchors, and only there, windows
-of full length are compared, by 96 bits of two hashes beside their bucket; joined, the
-windows found are the maximal exact repeats.
+of full length are compared, by 96 bits beside their bucket; joined, the windows found are
+the maximal exact repeats. Words are hashed with random keys drawn for the job, the two parts of a
+window key with different ones, so no text can be written to make unlike windows meet.
 
 How it moves: windows travel packed, per chunk of text and bucket, and a chunk sends
 each distinct window once with a mark if it has it more than once. So a passage that a
@@ -30,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import docs_of, shuffle_parts, stored
-from .scan import U64, chunks, slice_hash, window_hash, window_starts, words
+from .scan import U64, Keys, chunks, keyed_hash, window_hash, window_starts, words
 from .tokenbin import pack, unpack
 
 CHUNK = 4 << 20
 PACKED = "bucket int, chunk long, n int, keys binary, control binary, data binary, doc_ids array<long>, text_keys array<long>, n_words array<int>, shas array<string>, copies array<int>"
 
 
-def _packed_windows(words_of: np.ndarray, first: np.ndarray, n: int, allowed: np.ndarray | None, buckets: int, wide: bool):
-    """(bucket, n, keys, control, data) of the distinct n-word windows of a chunk, and pairs of a window and an equal earlier one. An entry is the way from the last position, with two marks: held more than once; a reference block."""
+def _packed_windows(words_of: np.ndarray, others: np.ndarray | None, first: np.ndarray, n: int, allowed: np.ndarray | None, buckets: int):
+    """(bucket, n, keys, control, data) of the distinct n-word windows of a chunk, and pairs of a window and an equal earlier one. An entry is the way from the last position, with two marks: held more than once; a reference block. others: hashes of the words by keys of their own, for the second half of wide window keys."""
     ok = window_starts(first, n)
     if allowed is not None:
         ok &= allowed[: ok.size]
@@ -60,8 +61,8 @@ def _packed_windows(words_of: np.ndarray, first: np.ndarray, n: int, allowed: np
     bucket = (value % U64(buckets)).astype(np.int32)
     by = np.lexsort((lead, bucket))
     lead, many, block, value, bucket = lead[by], many[by], block[by], value[by] // U64(buckets), bucket[by]
-    if wide:
-        second = window_hash(words_of, n, 1)[lead]
+    if others is not None:
+        second = window_hash(others, n, 1)[lead]
         keys = np.concatenate([value.astype("<u8").view(np.uint8).reshape(-1, 8), second.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
     else:
         keys = value.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -73,8 +74,8 @@ def _packed_windows(words_of: np.ndarray, first: np.ndarray, n: int, allowed: np
     return out, copies
 
 
-def _emit(n: int, buckets: int, wide: bool, candidates: int):
-    """Packed windows of n words for each chunk, and one record of the chunk itself. candidates: over 0, only windows that hold an anchor of that length, from the column hits."""
+def _emit(n: int, buckets: int, keys: list[Keys], candidates: int):
+    """Packed windows of n words for each chunk, and one record of the chunk itself. candidates: over 0, only windows that hold an anchor of that length, from the column hits. keys: one or, for wide window keys, two."""
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -82,7 +83,7 @@ def _emit(n: int, buckets: int, wide: bool, candidates: int):
             names = batch.schema.names
             for texts in chunks(batch.column(names.index("text")), CHUNK):
                 starts, ends, first = words(texts)
-                hashes = slice_hash(texts.data, starts, ends)
+                hashes, *second = (keyed_hash(texts.data, starts, ends, k) for k in keys)
                 chunk = part << 32 | number
                 number += 1
                 own = batch.slice(texts.first, texts.n)
@@ -95,7 +96,7 @@ def _emit(n: int, buckets: int, wide: bool, candidates: int):
                     np.add.at(reach, np.maximum(at + candidates - n, 0), 1)
                     np.add.at(reach, at + 1, -1)
                     allowed = np.cumsum(reach[:-1]) > 0
-                rows, copies = _packed_windows(hashes, first, n, allowed, buckets, wide)
+                rows, copies = _packed_windows(hashes, second[0] if second else None, first, n, allowed, buckets)
                 for a in range(0, len(rows), 4096):
                     some = rows[a : a + 4096]
                     none = [None] * len(some)
@@ -194,12 +195,12 @@ def _by_document(batches):
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_keys"], pa.int64()), pa.array(row["n_words"], pa.int64()), pa.array(row["shas"], pa.string()), pa.array(per, pa.list_(pa.int32()))], names=["doc_id", "text_key", "n_words", "sha", "hits"])
 
 
-def _repeats(rows: DataFrame, n: int, wide: bool, candidates: int) -> DataFrame:
+def _repeats(rows: DataFrame, n: int, keys: list[Keys], candidates: int) -> DataFrame:
     """doc_id, text_key, n_words, sha and hits: the word positions of n-word windows that repeat."""
     parts = shuffle_parts(rows.sparkSession)
     buckets = 4 * parts
-    packed = rows.mapInArrow(_emit(n, buckets, wide, candidates), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    meet, schema = _meet(wide, blocks=not candidates)
+    packed = rows.mapInArrow(_emit(n, buckets, keys, candidates), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    meet, schema = _meet(len(keys) > 1, blocks=not candidates)
     found = packed.mapInArrow(meet, schema)
     own = [F.max(F.struct(F.col("doc_ids").isNotNull(), *names)).alias("own") for names in [["doc_ids", "text_keys", "n_words", "shas", "copies"]]]
     chunks_ = found.groupBy("chunk").agg(F.flatten(F.collect_list("at")).alias("at"), *own)
@@ -231,9 +232,9 @@ def _kept(length: int):
 
 def repeated_windows(docs: DataFrame, block: int = 18) -> tuple[DataFrame, DataFrame]:
     """Documents without an anchor (doc_id, n_words, sha of the words joined by one space), and those with: doc_id, text, n_words, hits, the starts of the windows of 2 * block - 1 words that stand elsewhere too."""
-    length = 2 * block - 1
+    length, keys = 2 * block - 1, [Keys.drawn(), Keys.drawn()]
     keyed = docs_of(docs).withColumn("text_key", F.xxhash64("text"))
-    anchored = stored(_repeats(keyed, block, wide=False, candidates=0), "anchors")
+    anchored = stored(_repeats(keyed, block, keys[:1], candidates=0), "anchors")
     plain = anchored.where(F.size("hits") == 0).select("doc_id", "n_words", "sha")
     key = ["doc_id", "text_key"]
     some = anchored.where(F.size("hits") > 0).dropDuplicates(key).select("doc_id", "text_key", "n_words", "hits")
@@ -241,7 +242,7 @@ def repeated_windows(docs: DataFrame, block: int = 18) -> tuple[DataFrame, DataF
     same = F.col("l.text_key").eqNullSafe(F.col("r.text_key")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
     # Stored, so that a task that runs again sees its rows in the same order: places in a chunk are told by it.
     joined = stored(left.join(right, same).select("l.doc_id", "l.text", "l.text_key", "r.n_words", "r.hits"), "anchored-texts")
-    full = _repeats(joined, length, wide=True, candidates=block).dropDuplicates(key).select("doc_id", "text_key", F.col("hits").alias("starts"))
+    full = _repeats(joined, length, keys, candidates=block).dropDuplicates(key).select("doc_id", "text_key", F.col("hits").alias("starts"))
     left, right = joined.alias("l"), full.alias("r")
     return plain, left.join(right, same).select("l.doc_id", "l.text", "l.n_words", F.col("r.starts").alias("hits"))
 
