@@ -22,7 +22,8 @@ cluster of n near copies, all different, is n * n / block rows and n * n / 2 com
 counting links among them costs no less. A pair at the threshold shares no band with
 probability (1 - threshold**rows)**bands, 3e-6 by default, and is pruned with about
 ``tolerance``. A class is told by 128 bits of a cryptographic hash of its shingles, which are
-64-bit hashes of words that no pattern in the text brings together.
+64-bit hashes of words, made with random keys that are drawn for the job, so no text can be written
+to make unlike words meet.
 
 Null and empty texts have no shingles, no links and are classes of their own. Very long texts
 are whole: a text is one set, in the memory of one task. Rows that repeat are members of one
@@ -42,16 +43,16 @@ from pyspark.sql import functions as F
 
 from .common import as_rows, docs_of, shuffle_parts, stored
 from .components import components
-from .scan import U64, chunks, groups, mixed, slice_hash, window_hash, window_starts, words
+from .scan import U64, Keys, chunks, groups, keyed_hash, mixed, window_hash, window_starts, words
 
 _odd = mixed(np.arange(1, 1 + 512, dtype=np.uint64)) | U64(1)
 _add = mixed(np.arange(1001, 1001 + 512, dtype=np.uint64))
 
 
-def shingle_sets(texts, n_words: int):
+def shingle_sets(texts, n_words: int, keys: Keys):
     """The sorted distinct shingles of each row."""
     starts, ends, first = words(texts)
-    hashes = slice_hash(texts.data, starts, ends)
+    hashes = keyed_hash(texts.data, starts, ends, keys)
     windows, ok = window_hash(hashes, n_words), window_starts(first, n_words)
     for k in range(texts.n):
         a, b = int(first[k]), int(first[k + 1])
@@ -124,14 +125,14 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _classes(n_words: int, bands: int, rows: int, probes: int):
+def _classes(n_words: int, bands: int, rows: int, probes: int, keys_: Keys):
     """doc_id and text_key, a key of the shingle set, and the values of both kinds; null for texts without shingles."""
 
     def run(batches):
         for batch in batches:
             for texts in chunks(batch.column(1)):
                 keys, band, probe = [], [], []
-                for s in shingle_sets(texts, n_words):
+                for s in shingle_sets(texts, n_words, keys_):
                     if not s.size:
                         keys.append(None), band.append(None), probe.append(None)
                         continue
@@ -249,10 +250,11 @@ def joined(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, bands: int
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     needed = least_matches(threshold, tolerance, probes)
-    narrow = docs_of(docs)
-    every = stored(narrow.withColumn("text_key", F.xxhash64("text")).mapInArrow(_classes(n_words, bands, rows, probes), "doc_id long, text_key long, set_key binary, bands array<long>, probes binary"), "min-hashes")
+    keys_ = Keys.drawn()
+    narrow = docs_of(docs).withColumn("text_key", F.xxhash64("text"))
+    every = stored(narrow.mapInArrow(_classes(n_words, bands, rows, probes, keys_), "doc_id long, text_key long, set_key binary, bands array<long>, probes binary"), "min-hashes")
     # A class gets a number when it is written; from then on the number stands for it.
-    classes = stored(every.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("members"), F.first("bands").alias("bands"), F.first("probes").alias("probes")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = stored(every.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("members"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("told_by"), F.first("bands").alias("bands"), F.first("probes").alias("probes")).withColumn("node", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1")
@@ -263,20 +265,21 @@ def joined(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, bands: int
 
     sizes = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     clustered = cluster.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    clustered = stored(clustered.join(classes.select("node", "set_key", "owner", "members", "probes"), "node"), "clusters")
+    clustered = stored(clustered.join(classes.select("node", "set_key", "told_by", "members", "probes"), "node"), "clusters")
 
-    # One row of each class gives its text: shingles are made again from it, not kept for all classes.
-    owners = every.join(clustered.select("set_key", "owner", "node"), "set_key").where(F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "set_key", "node").dropDuplicates(["node"])
+    # One row of each class gives its text, told by doc_id and text, as an id may be null or stand at many texts: shingles are made again from it, not kept for all classes.
+    owners = clustered.select("told_by.doc_id", "told_by.text_key", "set_key", "node")
 
     def shingled(batches):
         for batch in batches:
             for texts in chunks(batch.column(1)):
                 own = batch.slice(texts.first, texts.n)
-                sets = list(shingle_sets(texts, n_words))
+                sets = list(shingle_sets(texts, n_words, keys_))
                 same = np.array([bool(s.size) and set_key(s) == k for s, k in zip(sets, own.column(2).to_pylist())], bool)
                 yield pa.RecordBatch.from_arrays([own.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]).filter(pa.array(same))
 
-    texts = narrow.alias("d").join(owners.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))).select("d.doc_id", "d.text", "o.set_key", "o.node")
+    same_row = (F.col("d.text_key") == F.col("o.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))
+    texts = narrow.alias("d").join(owners.alias("o"), same_row).select("d.doc_id", "d.text", "o.set_key", "o.node")
     sets = texts.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"])
 
     meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("one"), F.greatest(k, F.col("block")).alias("two"))))
