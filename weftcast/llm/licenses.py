@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import docs_of
-from .scan import byte_set, chunks, slice_hash, window_hash, window_starts, words
+from .scan import Keys, byte_set, chunks, keyed_hash, window_hash, window_starts, words
 
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -187,31 +187,32 @@ def template_regex(template: str) -> str:
     return out
 
 
-def _hashes(words_: list[str]) -> np.ndarray:
+def _hashes(words_: list[str], keys: Keys) -> np.ndarray:
     blob = [w.encode() for w in words_]
     at = np.append(0, np.cumsum([len(b) for b in blob]))
-    return slice_hash(np.frombuffer(b"".join(blob), np.uint8), at[:-1], at[1:])
+    return keyed_hash(np.frombuffer(b"".join(blob), np.uint8), at[:-1], at[1:], keys)
 
 
 def license_scan(docs: DataFrame, base=BASE, licenses=LICENSES, notices=NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     automata = [(label, Automaton(t), score) for score, kind in ((1.0, licenses), (0.95, notices)) for label, t in kind]
+    secret = Keys.drawn()  # no word can be written to pass for one of a phrase
     by_opening: dict[int, dict[int, list[int]]] = {}  # length, hash of the words, automata
     for k, (label, automaton, _) in enumerate(automata):
         for said in automaton.openings:
             if not said:
                 raise ValueError(f"a template of {label} may begin with any word")
-            by_opening.setdefault(len(said), {}).setdefault(int(window_hash(_hashes(list(said)), len(said))[0]), []).append(k)
+            by_opening.setdefault(len(said), {}).setdefault(int(window_hash(_hashes(list(said), secret), len(said))[0]), []).append(k)
     opening_keys = {n: np.sort(np.array(list(found), np.uint64)) for n, found in by_opening.items()}
-    phrases = [(_hashes(p.split()), label) for p, label in base]
+    phrases = [(_hashes(p.split(), secret), label) for p, label in base]
 
     def run(batches):
         for batch in batches:
             for texts in chunks(batch.column(1)):
                 data = _lower[texts.data]
                 starts, ends, first = words(texts, _split)
-                hashes = slice_hash(data, starts, ends)
+                hashes = keyed_hash(data, starts, ends, secret)
                 row = np.repeat(np.arange(texts.n), np.diff(first))
                 n_base = np.zeros(texts.n, np.int64)
                 low, high = np.full(texts.n, 1 << 62), np.full(texts.n, -1)
