@@ -4,7 +4,7 @@ Ids are replaced by their rank of frequency and written in byte-aligned variable
 length: two-bit length codes, four to a control byte, stand apart from the data
 bytes. Decoding looks the control bytes up in numpy tables.
 
-A file is one range of doc_id. It is made of segments, rows of a Parquet table, of
+A file is one range of doc_id and, within one id or none, of the text's beginning. It is made of segments, rows of a Parquet table, of
 about ``SEGMENT_TOKENS`` ids or one longer document; each has its own ranks, so no
 count over the whole corpus comes first and a task holds one segment. Segments know
 how many ids stand before them in their file, so only one number a file is ever
@@ -158,6 +158,10 @@ def _segment(file: int, number: int, before: int, doc_ids: list, counts: list, i
     )
 
 
+#: Rows of one doc_id, or of none, are dealt over files by so many characters of their text.
+PREFIX = 256
+
+
 def write_token_files(docs: DataFrame, definition: str, end_id: int, files: int | None = None) -> DataFrame:
     """Encodes by the tokenizer in the JSON file ``definition``, appends ``end_id`` to each document and writes ``files`` files in ascending doc_id order (by default as many as shuffle partitions). Returns the segments, read back."""
     spark = docs.sparkSession
@@ -186,7 +190,7 @@ def write_token_files(docs: DataFrame, definition: str, end_id: int, files: int
         if held:
             yield _segment(file, number, before, doc_ids, counts, ids)
 
-    ordered = docs_of(docs).repartitionByRange(files or shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs_of(docs).repartitionByRange(files or shuffle_parts(spark), "doc_id", F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(run, SEGMENT_SCHEMA), "token-files")
 
 
