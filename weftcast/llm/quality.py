@@ -151,10 +151,14 @@ def best_cut(votes: np.ndarray, labels: np.ndarray) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, learn, sample: int) -> DataFrame:
-    """The texts and labels of at most ``sample`` rows that ``learn`` (a condition on doc_id) admits, those of least hash."""
+    """The texts and labels of at most ``sample`` rows that ``learn`` (a condition on doc_id) admits, those of least hash. A row that repeats its doc_id, label and text counts once, so the bound holds however often ids are repeated."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & learn(F.col("doc_id")))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    return docs_of(docs).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    keyed = docs_of(docs).withColumn("text_key", F.xxhash64("text"))
+    # An id may stand at many texts and a text at many rows: which of them, is settled by their hashes before texts move.
+    keys = keyed.select("doc_id", "text_key").join(F.broadcast(chosen), "doc_id").distinct()  # at most ``sample`` labels
+    keys = keys.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text_key").limit(sample)
+    return keyed.join(F.broadcast(keys), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key", "label"]).select("doc_id", "text", "label")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held_part: int = 2, parts: int = 4, sample: int = 4096) -> Neighbours:
