@@ -156,12 +156,14 @@ def test_leaks(spark, docs):
         (8, "if alice buys 12 apples for 3 dollars and sells 12 pears how many apples does alice still have then"),
         *[(None if i is None else i + 100, t) for i, t in ODD],
     ]
-    want = {(1, 1): True, (2, 1): False, (8, 1): True, (4, 2): True, (7, 5): True, (9, None): True}
+    want = {(1, 1): True, (2, 1): False, (3, 1): False, (8, 1): True,  # words 4 to 19 of row 3 are consistent
+            (4, 2): True, (7, 5): True, (9, None): True}
     assert leaked(spark, docs, rows) == want
     assert leaked(spark, docs, rows, limit=20) == want
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     table = docs(rows)
-    assert {r["doc_id"] for r in table.collect()} - {r["doc_id"] for r in decontam.clean(table, items).collect()} == {1, 2, 4, 7, 8, 9}
+    assert {r["doc_id"] for r in table.collect()} - {r["doc_id"] for r in decontam.clean(table, items).collect()} == {1, 2, 3, 4, 7, 8, 9}
+    assert sorted(map(str, decontam.clean(table, items, limit=20).collect())) == sorted(map(str, decontam.clean(table, items).collect()))
     assert decontam.clean(table, items).columns == table.columns
     assert decontam.leaks(docs([]), items).count() == 0
     assert decontam.leaks(table, items.where("item_id = 4")).count() == 0
