@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import matrix as M
 from ..operators import methods as X
 from ..operators import temporal as P
+from ..operators.foldsums import Folds
 from ..operators.truth import HOUR
 from ..sources.scratch import settled
 from .base import E, events, query, r6
@@ -57,14 +58,20 @@ def split(spark, d):
     return M.train_test(rows, M.fold_origins(rows, INITIAL, STEP), STEP)
 
 
+def folds(spark, d):
+    """The same folds for fits that are sums over steps."""
+    rows = settled(matrix(spark, d), "matrix")
+    return Folds(rows, M.fold_origins(rows, INITIAL, STEP), STEP)
+
+
 def observed(spark, d):
     """What is known at an issue: the hour's truth."""
     return relations(spark, d)[2].select(F.col("valid").alias("issue"), F.col("y").alias("obs"))
 
 
-def score(pred):
+def score(pred, *by):
     e = F.col("p") - F.col("y")
-    return pred.where("p is not null").groupBy("fold", "bucket").agg(F.count("*").alias("n"), r6(F.avg(F.abs(e)), "mae"), r6(F.sqrt(F.avg(e * e)), "rmse"), r6(F.avg(e), "bias"))
+    return pred.where("p is not null").groupBy(*by, "fold", "bucket").agg(F.count("*").alias("n"), r6(F.avg(F.abs(e)), "mae"), r6(F.sqrt(F.avg(e * e)), "rmse"), r6(F.avg(e), "bias"))
 
 
 @query("j1_asof_selection", f"WITH {BASE} SELECT issue, source, fetched FROM sel")
@@ -132,8 +139,8 @@ def b2(spark, d):
 
 
 def registered(name: str, number: str, sql: str | None):
-    def run(spark, d, f=X.METHODS[name]):
-        return score(f(*split(spark, d)))
+    def run(spark, d):
+        return score(folds(spark, d).predicted([name]))
 
     query(f"{number}_{name}", sql and f"WITH {BASE}, {sql} {SCORE}")(run)
 
@@ -236,36 +243,22 @@ def e27(spark, d):
 
 @query("e41_sparse_shrink", f"WITH {BASE}, {BIAS}, {BASEP}, c AS (SELECT fold, bucket, count(*) AS n, avg(y) AS m FROM ptrain GROUP BY ALL), pred AS (SELECT t.* REPLACE (coalesce(n / (n + 2.0) * p + 2 / (n + 2.0) * m, p) AS p) FROM ptest t LEFT JOIN c USING (fold, bucket)) {SCORE}")
 def e41(spark, d):
-    train, test = split(spark, d)
-    c = X.grounded_equal_weight(train, train).groupBy("fold", "bucket").agg(F.count("*").alias("n"), F.avg("y").alias("m"))
-    p = F.col("n") / (F.col("n") + 2) * F.col("p") + 2 / (F.col("n") + 2) * F.col("m")
-    return score(X.grounded_equal_weight(train, test).join(c, ["fold", "bucket"], "left").withColumn("p", F.coalesce(p, "p")))
+    return score(folds(spark, d).predicted(["sparse_shrink"]))
 
 
 WINNERS = ("best_provider", "equal_weight", "grounded_equal_weight")
 
 
 def board(spark, d, names):
-    train, test = split(spark, d)
-    out = None
-    for name in names:
-        part = X.METHODS[name](train, test).select(*X.CELL, "y", "p", F.lit(name).alias("method"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return folds(spark, d).predicted(list(names))
 
 
-def backtest(spark, d, folds: int = 45, names=tuple(X.METHODS)):
-    """Errors of every method in each of so many folds and each bucket; all folds of a method are one job."""
+def backtest(spark, d, count: int = 45, names=tuple(X.METHODS)):
+    """Errors of every method in each of so many folds and each bucket: fits out of sums over steps, and one pass over the test rows for all methods."""
     rows = settled(matrix(spark, d), "matrix")
     low, high = rows.agg(F.min("issue"), F.max("issue")).first()
-    step = max((high - low - INITIAL // 2) // folds, 1)
-    train, test = M.train_test(rows, list(range(low + INITIAL // 2, high, step))[:folds], step)
-    train, test = settled(train, "train"), settled(test, "test")
-    out = None
-    for name in names:
-        part = score(X.METHODS[name](train, test)).withColumn("method", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    step = max((high - low - INITIAL // 2) // count, 1)
+    return score(Folds(rows, list(range(low + INITIAL // 2, high, step))[:count], step).predicted(list(names)), "method")
 
 
 @query("leaderboard_winners", f"""WITH {BASE}, {BIAS}, {BEST.replace('pred AS', 'pb AS')}, {MEAN.format(rows='test').replace('pred AS', 'pe AS')}, {MEAN.format(rows='gtest').replace('pred AS', 'pg AS')},
