@@ -193,3 +193,46 @@ def isotonic(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
         total = np.add.reduceat(weight, first)
         value = np.add.reduceat(value * weight, first) / total
         weight, size, column = total, np.add.reduceat(size, first), column[first]
+
+
+def normal_log_cdf(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the normal law's lower tail, exact far out: from -5 down by a continued fraction of the tail's ratio to the density."""
+    x = np.asarray(x, float)
+    far = np.minimum(x, -5.0)
+    ratio = np.zeros_like(far)
+    for k in range(60, 0, -1):
+        ratio = k / (-far + ratio)
+    with np.errstate(all="ignore"):
+        tail = -far * far / 2 - math.log(2 * math.pi) / 2 - np.log(-far + ratio)
+        near = np.log(0.5 * _erfc(-np.maximum(x, -5.0) / math.sqrt(2)))
+    return np.where(x == -math.inf, -math.inf, np.where(x < -5, tail, near))
+
+
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def normal_quantile_of_log(log_p: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Where the logarithm of the normal law's lower tail is ``log_p``, for values down to -1e5, by Newton steps on it."""
+    log_p = np.minimum(np.asarray(log_p, float), 0.0)
+    with np.errstate(all="ignore"):
+        half = np.sqrt(-2 * np.minimum(log_p, -math.log(2)))  # a start under the median; above it the mirror of one
+        upper = np.sqrt(-2 * np.log(np.clip(-np.expm1(log_p), 1e-300, 0.5)))
+        x = np.where(log_p < -math.log(2), -half + np.log1p(half) / np.maximum(half, 1), upper - np.log1p(upper) / np.maximum(upper, 1))
+        for _ in range(rounds):
+            value = normal_log_cdf(x)
+            slope = np.exp(-x * x / 2 - math.log(2 * math.pi) / 2 - value)
+            x = x - np.clip((value - log_p) / np.maximum(slope, 1e-300), -2, 2)
+    return x
+
+
+def truncated_normal_quantile(p: np.ndarray, mu: np.ndarray, sigma: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Quantiles of a normal law cut off at ``low`` and ``high``. Where both lie above the mean the law is mirrored, so that masses are those of a lower tail and keep their digits."""
+    p, mu, sigma = np.broadcast_arrays(p, mu, sigma)
+    a, b = (low - mu) / sigma, (high - mu) / sigma
+    flip = a > 0
+    a, b, q = np.where(flip, -b, a), np.where(flip, -a, b), np.where(flip, 1 - p, p)
+    with np.errstate(all="ignore"):
+        top, bottom = normal_log_cdf(b), normal_log_cdf(a)
+        log_p = top + np.log(q + (1 - q) * np.exp(bottom - top))
+    z = normal_quantile_of_log(log_p)
+    return np.clip(mu + sigma * np.where(flip, -z, z), low, high)

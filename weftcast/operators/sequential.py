@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import masked_mean
-from ..functions.special import gamma_below, gamma_quantile, gaussian_crps, isotonic, log_gamma, normal_ppf, simplex_search
+from ..functions.special import isotonic
 from ..sources.scratch import settled
+from . import laws
 from .methods import grounded, normal_equations, system
 
 CELL = ["fold", "issue", "valid", "lead", "bucket"]
@@ -232,28 +233,8 @@ QUANTILES = OUT + ", q array<double>"
 
 
 def emos(train: DataFrame, test: DataFrame, least: int = 60) -> DataFrame:
-    """A normal law with mean a + b base and spread exp(c + d ln s), s the sources' spread, of least CRPS with weights that fade over 45 days. Every row with a base and a truth is in the loss."""
-
-    def fit(x, y, new, old_frame, _):
-        base, spread = _mean(new), np.log(np.maximum(np.nan_to_num(np.nanstd(new, axis=1)), 0.1))
-        b = _mean(x)
-        scored = np.isfinite(b) & np.isfinite(y)
-        if scored.sum() < least:
-            theta = np.array([0.0, 1.0, 1.0, 0.0])
-        else:
-            age = (old_frame["issue"].max() - old_frame["issue"].to_numpy()) / 24
-            b, y, s, w = b[scored], y[scored], np.log(np.maximum(np.nan_to_num(np.nanstd(x, axis=1)), 0.1))[scored], np.exp(-age / 45)[scored]
-            w = w / w.sum()
-
-            def loss(t):
-                return float(w @ gaussian_crps(t[0] + t[1] * b, np.exp(np.clip(t[2] + t[3] * s, -5, 6)), y))
-
-            theta = simplex_search(loss, np.array([0.0, 1.0, math.log(max(np.std(y - b), 0.1)), 0.1]), 400)
-        mu, sigma = theta[0] + theta[1] * base, np.exp(np.clip(theta[2] + theta[3] * spread, -5, 6))
-        z = np.array([normal_ppf(v) for v in LEVELS])
-        return {"p": mu, "q": list(mu[:, None] + sigma[:, None] * z)}
-
-    return per_bucket(train, test, fit, QUANTILES)
+    """``laws.emos`` with seven levels."""
+    return laws.emos(train, test, least, LEVELS)
 
 
 class IsotonicLaw:
@@ -289,18 +270,8 @@ def known(base: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def isotonic_distribution(train: DataFrame, test: DataFrame, least: int = 100) -> DataFrame:
-    """One isotonic law a bucket."""
-
-    def fit(x, y, new, *_):
-        base, at = _mean(x), _mean(new)
-        some = known(base, y)
-        if some.size < least:
-            return {"p": at, "q": [None] * len(at)}
-        law = IsotonicLaw(base[some], y[some])
-        q = read_off(law.rows(at), law.grid)
-        return {"p": np.array([v[LEVELS.index(0.5)] for v in q]), "q": q}
-
-    return per_bucket(train, test, fit, QUANTILES)
+    """``laws.isotonic_distribution`` with seven levels."""
+    return laws.isotonic_distribution(train, test, least, LEVELS)
 
 
 def subsampled_isotonic(train: DataFrame, test: DataFrame, least: int = 100, halves: int = 50) -> DataFrame:
@@ -420,39 +391,8 @@ def conformal(train: DataFrame, test: DataFrame, base=grounded, day: Column | No
 
 
 def censored_gamma(train: DataFrame, test: DataFrame, least: int = 60, wet: int = 10) -> DataFrame:
-    """Amounts that are often none: a gamma law shifted below zero and censored there, of mean a + b base and spread exp(c + d ln s), of greatest likelihood with weights that fade over 45 days. No law without ``wet`` amounts above zero."""
-    none = 1e-6
-
-    def shape_of(mu, sigma, shift):
-        reach, sigma = np.maximum(mu - shift, 1e-3), np.maximum(sigma, 1e-3)
-        return (reach / sigma) ** 2, sigma**2 / reach
-
-    def fit(x, y, new, old_frame, _):
-        b, at = _mean(x), _mean(new)
-        spread = lambda v: np.log(np.maximum(np.nan_to_num(np.nanstd(v, axis=1)), 0.1))
-        some = known(b, y)
-        if some.size < least or (y[some] > none).sum() < wet:
-            return {"p": at, "q": [None] * len(at)}
-        b, y, s = b[some], y[some], spread(x)[some]
-        w = np.exp(-(old_frame["issue"].max() - old_frame["issue"].to_numpy()[some]) / 24 / 45)
-        w, rain = w / w.sum(), y > none
-
-        def loss(t):
-            if t[4] >= 0:
-                return math.inf
-            k, scale = shape_of(t[0] + t[1] * b, np.exp(np.clip(t[2] + t[3] * s, -6, 6)), t[4])
-            z = np.maximum(y[rain] - t[4], 1e-12) / scale[rain]
-            ll = np.empty(y.size)
-            ll[rain] = (k[rain] - 1) * np.log(z) - z - log_gamma(k[rain]) - np.log(scale[rain])
-            ll[~rain] = np.log(np.maximum(gamma_below(k[~rain], -t[4] / scale[~rain]), 1e-300))
-            return float(-(w @ ll))
-
-        t = simplex_search(loss, np.array([0.0, 1.0, math.log(max(float(np.std(y[rain])), 0.1)), 0.0, -0.1]), 1500)
-        k, scale = shape_of(t[0] + t[1] * at, np.exp(np.clip(t[2] + t[3] * spread(new), -6, 6)), t[4])
-        q = np.maximum(t[4] + scale[:, None] * gamma_quantile(np.array(LEVELS)[None, :], k[:, None]), 0)
-        return {"p": q[:, LEVELS.index(0.5)], "q": list(q)}
-
-    return per_bucket(train, test, fit, QUANTILES)
+    """``laws.censored_gamma`` with seven levels."""
+    return laws.censored_gamma(train, test, least, wet, LEVELS)
 
 
 def analogs(train: DataFrame, test: DataFrame, k: int = 25, least: int = 100, pool: int = 50, block: int = 256) -> DataFrame:

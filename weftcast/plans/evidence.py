@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import inference as I
+from ..operators import laws
 from ..operators import methods as X
 from ..operators import sequential as Q
 from ..operators import temporal as P
@@ -353,14 +354,21 @@ def e42(spark, d):
 
 @query("e42_daily_marginal_emos")
 def e42m(spark, d):
-    """A normal law of the day's maximum on the grounded maximum, the mean path's maximum and the sources' spread, by fold and day ahead."""
+    """A normal law of the day's maximum, by fold: its mean on the grounded maxima of the sources' forecasts and on the mean of the maxima of their hourly paths as given, its spread on that of the sources."""
     train, test = split(spark, d)
-    day = lambda rows: rows.groupBy("fold", "issue", "source", F.floor(F.col("valid") / 24).cast("long").alias("day")).agg(F.max("x").alias("x"), F.max("y").alias("y"), F.count("*").alias("n")).where("n >= 12").select("fold", "issue", (F.col("day") * 24).alias("valid"), F.greatest(F.col("day") * 24 - F.col("issue"), F.lit(0)).alias("lead"), "source", "x", "y")
-    by = lambda rows: day(rows).withColumn("bucket", F.when(F.col("lead") < 12, "D0").otherwise("D1"))
-    old, new = by(train), by(test)
+    day = F.floor(F.col("valid") / 24).cast("long").alias("day")
+
+    def daily(rows):
+        cells = rows.groupBy("fold", "issue", "source", day).agg(F.max("x").alias("x"), F.max("y").alias("y"), F.count("*").alias("n")).where("n >= 12")
+        path = cells.groupBy("fold", "issue", "day").agg(F.avg("x").alias("path"))
+        lead = F.greatest(F.col("day") * 24 - F.col("issue"), F.lit(0))
+        out = cells.join(path, ["fold", "issue", "day"]).select("fold", "issue", (F.col("day") * 24).alias("valid"), lead.alias("lead"), "source", "x", F.col("x").alias("raw"), "path", "y")
+        return out.withColumn("bucket", F.when(F.col("lead") < 12, "D0").otherwise("D1"))
+
+    old, new = daily(train), daily(test)
     from .inference import spread
 
-    return spread(Q.or_global(X.grounded(old, old), X.grounded(old, new), Q.emos))
+    return spread(laws.emos(X.grounded(old, old), X.grounded(old, new), path=True), laws.LEVELS)
 
 
 @query("dz12_inputs_of_an_issue", f"WITH {BASE}, {CUT}, i AS (SELECT max(issue) AS issue FROM matrix, cut WHERE issue <= cut) SELECT m.issue, valid, source, 'x' AS variable, round(x, 6) AS value FROM matrix m JOIN i USING (issue) UNION ALL SELECT m.issue, valid, source, 'lead', lead::DOUBLE FROM matrix m JOIN i USING (issue)")

@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import inference as I
 from ..operators import methods as X
 from ..operators import relations as R
+from ..operators import laws as L
 from ..operators import sequential as Q
 from .base import E, events, query, r6, read
 from .forecasts import BASE, BIAS, matrix, observed, score, split  # noqa: F401
@@ -109,8 +110,9 @@ def e24(spark, d):
     return score(Q.inverse_covariance(*split(spark, d)))
 
 
-def spread(pred):
-    inside = F.when((F.col("y") >= F.col("q")[1]) & (F.col("y") <= F.col("q")[5]), 1.0).otherwise(0.0)
+def spread(pred, levels=Q.LEVELS):
+    low, high = levels.index(0.1), levels.index(0.9)
+    inside = F.when((F.col("y") >= F.col("q")[low]) & (F.col("y") <= F.col("q")[high]), 1.0).otherwise(0.0)
     scored = pred.where("q is not null")
     return scored.groupBy("fold", "bucket").agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("p") - F.col("y"))), "mae"), r6(F.avg(inside), "coverage80"))
 
@@ -126,18 +128,24 @@ def sun():
 
 def grounded_split(spark, d):
     """Training and test rows with each source's bias added, as bases of the distributional methods."""
-    train, test = split(spark, d)
+    train, test = (rows.withColumn("raw", F.col("x")) for rows in split(spark, d))
     return X.grounded(train, train), X.grounded(train, test)
 
 
 @query("e32_emos")
 def e32(spark, d):
-    return spread(Q.emos(*grounded_split(spark, d)))
+    return spread(L.emos(*grounded_split(spark, d)), L.LEVELS)
+
+
+@query("e32_emos_of_bounded_values")
+def e32b(spark, d):
+    """The same for values that are never negative: a normal law cut off at zero."""
+    return spread(L.emos(*grounded_split(spark, d), minimum=0.0), L.LEVELS)
 
 
 @query("e34_idr")
 def e34(spark, d):
-    return spread(Q.or_global(*grounded_split(spark, d), Q.isotonic_distribution))
+    return spread(L.isotonic_distribution(*grounded_split(spark, d)), L.LEVELS)
 
 
 @query("e37_conformal")

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import laws
 from ..operators import methods as X
 from ..operators import quality as Q
-from ..operators import sequential
 from ..operators import temporal as P
 from .base import E, events, query, r6, read
 from .forecasts import BASE, PATH, matrix, minutes, observed, split
@@ -101,6 +101,6 @@ def sc1(spark, d):
 @query("e33_censored_gamma")
 def e33(spark, d):
     """Amounts above 60, of truths and grounded sources."""
-    above = lambda rows: rows.withColumn("x", F.greatest(F.col("x") - 60, F.lit(0.0))).withColumn("y", F.greatest(F.col("y") - 60, F.lit(0.0)))
+    above = lambda rows: rows.withColumn("x", F.greatest(F.col("x") - 60, F.lit(0.0))).withColumn("raw", F.col("x")).withColumn("y", F.greatest(F.col("y") - 60, F.lit(0.0)))
     train, test = (above(rows) for rows in split(spark, d))
-    return spread(sequential.or_global(X.grounded(train, train), X.grounded(train, test), sequential.censored_gamma))
+    return spread(laws.censored_gamma(X.grounded(train, train), X.grounded(train, test)), laws.LEVELS)
