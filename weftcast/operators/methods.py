@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import anchor_weight, interpolated, trimmed_mean
+from .temporal import asof_join
 
 KEY = ["fold", "source"]
 CELL = ["fold", "issue", "valid", "lead", "bucket"]
@@ -184,31 +185,76 @@ def anchored(train: DataFrame, test: DataFrame, observed: DataFrame, base=ground
     return rows.withColumn("p", F.col("p") + weight * F.coalesce("r0", F.lit(0.0))).select(*CELL, "y", "p")
 
 
-#: Left edges of the lead bins of a fitted anchoring curve, and the lead from which nothing of the residual is left.
-BINS, END = (0, 1, 2, 3, 6, 12), 24
+#: Left edges of the lead bins of a fitted anchoring curve, the lead from which nothing of the residual is left, the largest gain on a trend in hours.
+BINS, END, MOST_GAIN = (0, 1, 2, 3, 6, 12), 24, 3.0
+CENTRES = [(a + b) / 2 for a, b in zip([*BINS], [*BINS[1:], END])]
 
 
-def fitted_curve(train: DataFrame, test: DataFrame, observed: DataFrame, base=grounded_equal_weight, least: int = 24) -> DataFrame:
-    """The base plus a share of its first residual that falls with the lead as fitted: a share for each bin of ``least`` rows, in [0, 1] and never rising; in between straight lines through the bins' middles, from the first one's share at lead 0 to none at a day. A fold without a fitted bin isn't anchored."""
+def curve_weights(shares: list[Column], counts: list[Column]) -> list[Column]:
+    """The weight of the residual in each bin, out of the fitted shares (null where a bin is too thin).
+
+    Bins between fitted ones lie on straight lines by their number, those behind the last are as it is. Those before the
+    first follow the decay that its share implies from full weight at lead 0 (share ** (lead / its lead)), if it is
+    credible, at least 0.2 and two standard errors, and under 1; else they are as it is. Weights never rise with the lead.
+    """
+    fitted = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), v.alias("w"), n.alias("n"), F.lit(CENTRES[k]).alias("at"))) for k, (v, n) in enumerate(zip(shares, counts))]
+    first = F.coalesce(*fitted)
+    credible = (first["w"] >= F.greatest(F.lit(0.2), 2 / F.sqrt(first["n"]))) & (first["w"] < 1)
+    out: list[Column] = []
+    for k, centre in enumerate(CENTRES):
+        old, new = F.coalesce(*reversed(fitted[: k + 1])), F.coalesce(*fitted[k:])
+        line = old["w"] + (k - old["k"]) / F.when(new["k"] > old["k"], new["k"] - old["k"]).otherwise(1) * (new["w"] - old["w"])
+        before = F.when(credible, F.pow(first["w"], centre / first["at"])).otherwise(first["w"])
+        filled = F.when(old.isNull(), before).when(new.isNull(), old["w"]).otherwise(line)
+        out.append(filled if not out else F.least(out[-1], filled))
+    return out
+
+
+def at_lead_zero(first: Column, second: Column) -> Column:
+    """The weight at lead 0: the decay between the first two bins carried on, 1 at most; what doesn't fall stays as it is."""
+    decay = F.pow(second / first, F.lit(1 / (CENTRES[1] - CENTRES[0])))
+    return F.when(first <= 0, 0.0).when((second <= 0) | (second >= first), first).otherwise(F.least(F.lit(1.0), first * F.pow(decay, F.lit(-CENTRES[0]))))
+
+
+def fitted_curve(train: DataFrame, test: DataFrame, observed: DataFrame, base=grounded_equal_weight, least: int = 24, trend: DataFrame | None = None) -> DataFrame:
+    """The base plus a share of its first residual that falls with the lead as fitted: sum(r0 e) / sum(r0 r0) for each bin of ``least`` rows, in [0, 1]; see ``curve_weights``. In between straight lines through the bins' middles, from ``at_lead_zero`` to none at a day. trend (issue, trend) adds a gain on the observations' slope for each fitted bin of ``least`` rows that have one, in [0, MOST_GAIN] hours, fitted on what the residual leaves. A fold without a fitted bin isn't anchored."""
     edges = [*BINS, END]
-    number = F.lit(None).cast("int")
-    for k in range(len(BINS)):
-        number = F.when((F.col("lead") >= edges[k]) & (F.col("lead") < edges[k + 1]), k).otherwise(number)
 
     def with_r(rows: DataFrame) -> DataFrame:
         points = base(train, rows)
-        return points.join(first_residual(points, observed), ["fold", "issue"], "left")
-
-    share = F.try_divide(F.sum(F.col("r0") * (F.col("y") - F.col("p"))), F.sum(F.col("r0") * F.col("r0")))
-    bins = with_r(train).where("r0 is not null").withColumn("bin", number).where("bin is not null").groupBy("fold", "bin").agg(F.count("*").alias("n"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("w")).where((F.col("n") >= least) & F.col("w").isNotNull())
-    falling = bins.withColumn("w", F.min("w").over(Window.partitionBy("fold").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    middle = F.element_at(F.array(*[F.lit((a + b) / 2) for a, b in zip(edges, edges[1:])]), F.col("bin") + 1)
-    knots = falling.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct(middle.alias("x"), F.col("w").alias("y")))).alias("k"))  # six at most
-    first = F.element_at("k.y", 1)
-    curve = knots.select("fold", F.concat(F.array(F.lit(0.0)), F.col("k.x"), F.array(F.lit(float(END)))).alias("xs"), F.concat(F.array(first), F.col("k.y"), F.array(F.lit(0.0))).alias("ys"))
+        points = points.join(first_residual(points, observed), ["fold", "issue"], "left")
+        return points.withColumn("trend", F.lit(None).cast("double")) if trend is None else points.join(trend.select("issue", "trend"), "issue", "left")
+
+    e, r = F.col("y") - F.col("p"), F.col("r0")
+    sums = []
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        inside = (F.col("lead") >= low) & (F.col("lead") < high)
+        also = inside & F.col("trend").isNotNull()
+        sums += [F.count_if(inside).alias(f"n{k}"), F.sum(F.when(inside, r * e)).alias(f"re{k}"), F.sum(F.when(inside, r * r)).alias(f"rr{k}")]
+        sums += [F.count_if(also).alias(f"m{k}"), F.sum(F.when(also, F.col("trend") * e)).alias(f"te{k}"), F.sum(F.when(also, F.col("trend") * r)).alias(f"tr{k}"), F.sum(F.when(also, F.col("trend") * F.col("trend"))).alias(f"tt{k}")]
+    fit = with_r(train).where("r0 is not null").groupBy("fold").agg(*sums)  # one pass; a row a fold
+    span = range(len(BINS))
+    unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    for k in span:
+        fit = fit.withColumn(f"w{k}", F.when((F.col(f"n{k}") >= least) & (F.col(f"rr{k}") > 0), unit(F.col(f"re{k}") / F.col(f"rr{k}"))))
+    gain = [F.when((F.col(f"m{k}") >= least) & F.col(f"w{k}").isNotNull() & (F.col(f"tt{k}") > 0), F.greatest(F.lit(0.0), F.least(F.lit(MOST_GAIN), (F.col(f"te{k}") - F.col(f"w{k}") * F.col(f"tr{k}")) / F.col(f"tt{k}")))).otherwise(0.0) for k in span]
+    weights = curve_weights([F.col(f"w{k}") for k in span], [F.col(f"n{k}") for k in span])
+    fit = fit.select("fold", F.array(*weights).alias("w"), F.array(*gain).alias("g")).where("w[0] is not null")
+    middles, end = F.array(*map(F.lit, CENTRES)), F.array(F.lit(float(END)))
+    curve = fit.select("fold", "w", "g", F.concat(F.array(F.lit(0.0)), middles, end).alias("xs"), F.concat(F.array(at_lead_zero(F.col("w")[0], F.col("w")[1])), F.col("w"), F.array(F.lit(0.0))).alias("ys"))
+    curve = curve.select("fold", "xs", "ys", F.concat(F.array(F.col("g")[0]), F.col("g"), F.array(F.lit(0.0))).alias("gs"))
     rows = with_r(test).join(F.broadcast(curve), "fold", "left")  # a row a fold
-    w = F.when(F.col("lead") < END, interpolated(F.col("lead").cast("double"), F.col("xs"), F.col("ys")))
-    return rows.select(*CELL, "y", (F.col("p") + F.coalesce(w, F.lit(0.0)) * F.coalesce("r0", F.lit(0.0))).alias("p"))
+    lead = F.col("lead").cast("double")
+    share = lambda ys: F.coalesce(F.when(F.col("lead") < END, interpolated(lead, F.col("xs"), F.col(ys))), F.lit(0.0))
+    return rows.select(*CELL, "y", (F.col("p") + share("ys") * F.coalesce("r0", F.lit(0.0)) + share("gs") * F.coalesce("trend", F.lit(0.0))).alias("p"))
+
+
+def recent_trend(observed: DataFrame, back: int = 1, most: int = 3) -> DataFrame:
+    """issue and trend: the change an hour since the newest observation at least ``back`` and at most ``most`` hours before."""
+    old = observed.select(F.col("issue").alias("at"), F.col("obs").alias("old"))
+    now = observed.withColumn("then", F.col("issue") - back)
+    met = asof_join(now, old.withColumn("seen", F.col("at")), "then", "at", [], most - back, ["old", "seen"], width=24 * 7)
+    return met.where("old is not null").select("issue", ((F.col("obs") - F.col("old")) / (F.col("issue") - F.col("seen"))).alias("trend"))
 
 
 def residual_slope(train: DataFrame, test: DataFrame, observed: DataFrame, low: float = -0.5, high: float = 1.5) -> DataFrame:

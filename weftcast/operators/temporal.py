@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import median_of
+from .sliding import sliding_quantiles
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], tolerance: float | None = None, columns: list[str] | None = None, prefix: str = "", width: float | None = None) -> DataFrame:
@@ -70,10 +70,9 @@ def islands(df: DataFrame, by: list[str], order: list[str], breaks: Column, name
 
 
 def rolling_median(df: DataFrame, value: str, by: list[str], time: str, width: int, median: str, count: str, slices: int = 64) -> DataFrame:
-    """The median and the number of rows over (t - width, t], of an integer time column, by key. Spark has no median over ordered frames; the frame's values are gathered, so it suits windows that hold few rows. Time slices of ``slices`` widths are part of the key."""
-    frame = Window.partitionBy(*by, "__slice").orderBy(time).rangeBetween(-(width - 1), 0)
+    """The median (without nulls) and the number of rows over (t - width, t], of an integer time column, by key. Spark has no median over ordered frames: rows are sorted by key and slice, and a window slides over them. Time slices of ``slices`` widths are part of the key."""
     rows = in_slices(df, time, slices * width, width)
-    return rows.withColumn(median, median_of(F.collect_list(value).over(frame))).withColumn(count, F.count("*").over(frame)).where("__own").drop("__slice", "__own")
+    return sliding_quantiles(rows, value, [*by, "__slice"], time, width, {median: 0.5}, count, "__own", ["__slice", "__own"])
 
 
 def rolling_correlation(x: str, y: str, window: Window, least: int) -> Column:

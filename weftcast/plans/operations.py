@@ -22,15 +22,32 @@ from .reports import BOARD, pair
 
 RESIDUALS = "ra AS (SELECT a.fold, a.issue, o.y - a.p0 AS r0 FROM (SELECT fold, issue, arg_min(p, lead) AS p0 FROM ptrain WHERE lead < 6 GROUP BY ALL) a JOIN truth o ON o.valid = a.issue), rb AS (SELECT a.fold, a.issue, o.y - a.p0 AS r0 FROM (SELECT fold, issue, arg_min(p, lead) AS p0 FROM ptest WHERE lead < 6 GROUP BY ALL) a JOIN truth o ON o.valid = a.issue)"
 EDGES = [*X.BINS, X.END]
-BIN = "CASE " + " ".join(f"WHEN lead >= {a} AND lead < {b} THEN {(a + b) / 2}" for a, b in zip(EDGES, EDGES[1:])) + " END"
-
-
-def curve_sql(base: str) -> str:
-    """The fitted curve in SQL: knots of every fold as rows, with one at lead 0 and one at the end."""
-    return f"""WITH {BASE}, {base}, {RESIDUALS}, t AS (SELECT *, {BIN} AS at FROM ptrain JOIN ra USING (fold, issue)), c AS (SELECT fold, t.at AS x, greatest(0, least(1, sum(r0 * (y - p)) / sum(r0 * r0))) AS w FROM t WHERE t.at IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 24 AND sum(r0 * r0) > 0),
-m AS (SELECT fold, x, min(w) OVER (PARTITION BY fold ORDER BY x ROWS UNBOUNDED PRECEDING) AS w FROM c), k AS (SELECT * FROM m UNION ALL SELECT fold, 0.0, arg_min(w, x) FROM m GROUP BY 1 UNION ALL SELECT DISTINCT fold, {float(X.END)}, 0.0 FROM m),
-s AS (SELECT *, lead(x) OVER v AS x1, lead(w) OVER v AS w1 FROM k WINDOW v AS (PARTITION BY fold ORDER BY x)),
-pred AS (SELECT t.* REPLACE (p + coalesce(s.w + (t.lead - s.x) / (s.x1 - s.x) * (s.w1 - s.w), 0) * coalesce(r0, 0) AS p) FROM ptest t LEFT JOIN rb USING (fold, issue) LEFT JOIN s ON s.fold = t.fold AND t.lead >= s.x AND t.lead < s.x1) {SCORE}"""
+TREND = "ot AS (SELECT n.valid AS issue, (n.y - o.y) / (n.valid - o.valid) AS trend FROM (SELECT valid, y, valid - 1 AS past FROM truth) n ASOF JOIN truth o ON n.past >= o.valid WHERE n.past - o.valid <= 2)"
+
+
+def curve_sql(base: str, trend: bool = False) -> str:
+    """The fitted curve in SQL: sums of every bin as columns of a row a fold, then its knots as rows."""
+    span, c = range(len(X.BINS)), X.CENTRES
+    inside = [f"lead >= {a} AND lead < {b}" for a, b in zip(EDGES, EDGES[1:])]
+    sums = ", ".join(f"count(*) FILTER ({i}) AS n{k}, sum(r0 * (y - p)) FILTER ({i}) AS re{k}, sum(r0 * r0) FILTER ({i}) AS rr{k}, count(trend) FILTER ({i}) AS m{k}, sum(trend * (y - p)) FILTER ({i}) AS te{k}, sum(trend * r0) FILTER ({i}) AS tr{k}, sum(trend * trend) FILTER ({i}) AS tt{k}" for k, i in enumerate(inside))
+    shares = ", ".join(f"CASE WHEN n{k} >= 24 AND rr{k} > 0 THEN greatest(0, least(1, re{k} / rr{k})) END AS w{k}" for k in span)
+    gains = ", ".join(f"CASE WHEN m{k} >= 24 AND w{k} IS NOT NULL AND tt{k} > 0 THEN greatest(0, least({X.MOST_GAIN}, (te{k} - w{k} * tr{k}) / tt{k})) ELSE 0 END AS g{k}" for k in span)
+
+    def filled(k: int) -> str:
+        at = lambda value, ks: "CASE " + " ".join(f"WHEN w{j} IS NOT NULL THEN {value(j)}" for j in ks) + " END"
+        back, on = range(k, -1, -1), range(k, len(c))
+        w0, w1, k0, k1 = at(lambda j: f"w{j}", back), at(lambda j: f"w{j}", on), at(str, back), at(str, on)
+        ahead = at(lambda j: f"CASE WHEN w{j} >= greatest(0.2, 2 / sqrt(n{j})) AND w{j} < 1 THEN pow(w{j}, {c[k] / c[j]}) ELSE w{j} END", span)
+        return f"CASE WHEN {k0} IS NULL THEN {ahead} WHEN {k1} IS NULL OR {k0} = {k1} THEN {w0} ELSE {w0} + ({k}.0 - {k0}) / ({k1} - {k0}) * ({w1} - {w0}) END"
+
+    falling = ", ".join(f"least({', '.join(f'f{j}' for j in range(k + 1))}) AS v{k}" if k else "f0 AS v0" for k in span)
+    zero = f"CASE WHEN v0 <= 0 THEN 0 WHEN v1 <= 0 OR v1 >= v0 THEN v0 ELSE least(1, v0 * pow(pow(v1 / v0, {1 / (c[1] - c[0])}), {-c[0]})) END"
+    knots = " UNION ALL ".join([f"SELECT fold, 0.0 AS x, {zero} AS w, g0 AS g FROM v", *[f"SELECT fold, {c[k]}, v{k}, g{k} FROM v" for k in span], f"SELECT fold, {float(X.END)}, 0, 0 FROM v"])
+    joined = "LEFT JOIN ot USING (issue)" if trend else "CROSS JOIN (SELECT NULL::DOUBLE AS trend)"
+    return f"""WITH {BASE}, {base}, {RESIDUALS}, {TREND}, s0 AS (SELECT fold, {sums} FROM ptrain JOIN ra USING (fold, issue) {joined} WHERE r0 IS NOT NULL GROUP BY fold), s1 AS (SELECT *, {shares} FROM s0),
+s2 AS (SELECT *, {gains}, {', '.join(f'{filled(k)} AS f{k}' for k in span)} FROM s1 WHERE {' OR '.join(f'w{k} IS NOT NULL' for k in span)}), v AS (SELECT *, {falling} FROM s2), k AS ({knots}),
+s AS (SELECT *, lead(x) OVER u AS x1, lead(w) OVER u AS w1, lead(g) OVER u AS h1 FROM k WINDOW u AS (PARTITION BY fold ORDER BY x)),
+pred AS (SELECT t.* REPLACE (p + coalesce(s.w + (t.lead - s.x) / (s.x1 - s.x) * (s.w1 - s.w), 0) * coalesce(r0, 0) + coalesce(s.g + (t.lead - s.x) / (s.x1 - s.x) * (s.h1 - s.g), 0) * coalesce(trend, 0) AS p) FROM ptest t LEFT JOIN rb USING (fold, issue) {joined} LEFT JOIN s ON s.fold = t.fold AND t.lead >= s.x AND t.lead < s.x1) {SCORE}"""
 
 
 @query("e19_anchored_fitted", curve_sql(f"{BIAS}, {BASEP}"))
@@ -48,19 +65,11 @@ def e16(spark, d):
     return score(X.harmonic_grounded(*split(spark, d), sun()))
 
 
-@query("e21_anchored_trend")
+@query("e21_anchored_trend", curve_sql(f"{BIAS}, {BASEP}", trend=True))
 def e21(spark, d):
-    """The anchored base plus a share of the recent trend of observations, of least error in training."""
-    train, test = split(spark, d)
+    """The fitted curve with a gain on the recent slope of observations in each bin."""
     obs = observed(spark, d)
-    rows = P.in_slices(P.numbered(obs, "issue", 24 * 365), "__number", 4096, 3)
-    old = F.lag("obs", 3).over(Window.partitionBy("__slice").orderBy("__number"))
-    trend = rows.withColumn("old", old).where("__own").select("issue", ((F.col("obs") - F.col("old")) / 3).alias("trend"))
-    rows = {k: X.anchored(train, part, obs).join(trend, "issue", "left") for k, part in (("train", train), ("test", test))}
-    gain = F.try_divide(F.sum(F.col("trend") * (F.col("y") - F.col("p"))), F.sum(F.col("trend") * F.col("trend")))
-    fit = rows["train"].where("lead < 6 and trend is not null").groupBy("fold").agg(S.clipped(gain, 0, 3).alias("g"))
-    out = rows["test"].join(fit, "fold", "left")
-    return score(out.withColumn("p", F.col("p") + F.when(F.col("lead") < 6, F.coalesce("g", F.lit(0.0)) * F.coalesce("trend", F.lit(0.0))).otherwise(0.0)))
+    return score(X.fitted_curve(*split(spark, d), obs, trend=X.recent_trend(obs)))
 
 
 @query("e28_gbt_stack")
