@@ -1,7 +1,9 @@
 """Reading SQLite archives as Spark tables, and the scans made of them. Scans work on tables of any origin; those that take a path load them from a SQLite file.
 
 A SQLite file is read by a Python data source: the driver learns the range of rowids, and
-each partition reads its own range through a read-only connection. The file has to lie
+each partition reads its own range through a read-only connection, in which comparisons of
+columns with constants (places, times, states) are part of the statement. As a stream the source tails a log by rowid: rows that
+have been appended since the last batch are the next one. The file has to lie
 where executors see it. What comes out are plain DataFrames; everything after is built of
 joins and expressions.
 """
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.scalars import converted, haversine_km, source_slug
@@ -53,21 +55,32 @@ class SqliteSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return SqliteReader(self.options, schema)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return SqliteTail(self.options, schema)
+
+
+_OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+class _Table:
+    """What readers of a table share: ranges of rowids, and the rows of a range."""
 
-class SqliteReader(DataSourceReader):
     def __init__(self, options, schema: StructType):
         self.path, self.table, self.parts, self.schema = options["path"], options["table"], int(options.get("partitions", "8")), schema
+        self.conditions: list[tuple[str, tuple]] = []
 
-    def partitions(self) -> list[InputPartition]:
+    def bounds(self) -> tuple[int, int] | None:
+        """The least and the largest rowid; None of no rows or no table."""
         with _connect(self.path) as con:
             known = con.execute("SELECT count(*) FROM sqlite_master WHERE name = ?", (self.table,)).fetchone()[0]
             low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone() if known else (None, None)
-        if low is None:
-            return [_Range(0, 0)]
-        step = -(-(high - low + 1) // self.parts)
-        return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+        return None if low is None else (low, high)
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def ranges(self, low: int, high: int) -> list[InputPartition]:
+        step = max(-(-(high - low + 1) // self.parts), 1)
+        return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)] or [_Range(0, 0)]
+
+    def rows(self, partition: _Range) -> Iterator[tuple]:
         if partition.high <= partition.low:
             return
         casts = [float if isinstance(f.dataType, DoubleType) else int if isinstance(f.dataType, LongType) else str for f in self.schema]
@@ -75,17 +88,91 @@ class SqliteReader(DataSourceReader):
             have = {c[1] for c in con.execute(f"PRAGMA table_info({_quoted(self.table)})")}
             # The implicit rowid is no listed column, but can be asked for by name.
             names = ", ".join(_quoted(f.name) if f.name in have else "rowid" if f.name == "rowid" else "NULL" for f in self.schema)
-            for row in con.execute(f"SELECT {names} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high)):
+            where = "".join(f" AND {c}" for c, _ in self.conditions)
+            values = [v for _, some in self.conditions for v in some]
+            for row in con.execute(f"SELECT {names} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?{where}", (partition.low, partition.high, *values)):
                 yield tuple(None if v is None else c(v) for v, c in zip(row, casts))
 
 
+class SqliteReader(_Table, DataSourceReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons that SQLite can make go into the statement. Spark makes them again on what is left, so they only have to keep every row that passes: a column whose stored values needn't be of its type here is cast first."""
+        with _connect(self.path) as con:
+            kinds = {c[1]: c[2].upper() for c in con.execute(f"PRAGMA table_info({_quoted(self.table)})")}
+        types = {f.name: f.dataType for f in self.schema}
+        for f in filters:
+            if (made := self._condition(f, kinds, types)) is not None:
+                self.conditions.append(made)
+            yield f
+
+    def _condition(self, f: Filter, kinds: dict[str, str], types: dict) -> tuple[str, tuple] | None:
+        name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+        if name == "rowid" and name not in kinds:
+            column = "rowid"
+        elif name not in kinds or name not in types:
+            return None
+        elif isinstance(types[name], StringType):
+            column = _quoted(name) if "CHAR" in kinds[name] or "TEXT" in kinds[name] else f"CAST({_quoted(name)} AS TEXT)"
+        else:
+            numeric = any(k in kinds[name] for k in ("INT", "REAL", "FLOA", "DOUB"))
+            column = _quoted(name) if numeric else f"CAST({_quoted(name)} AS {'INTEGER' if isinstance(types[name], LongType) else 'REAL'})"
+        if isinstance(f, IsNotNull):
+            return f"{column} IS NOT NULL", ()
+        value = getattr(f, "value", None)
+        if isinstance(f, In):
+            some = tuple(v for v in value if isinstance(v, (int, float, str)) and not isinstance(v, bool))
+            return (f"{column} IN ({', '.join('?' * len(some))})", some) if len(some) == len(value) <= 500 else None
+        if not isinstance(value, (int, float, str)) or isinstance(value, bool) or isinstance(value, float) and value != value:
+            return None
+        if type(f) in _OPERATORS:
+            return f"{column} {_OPERATORS[type(f)]} ?", (value,)
+        if isinstance(f, StringStartsWith):
+            return f"substr({column}, 1, ?) = ?", (len(value), value)
+        return None
+
+    def partitions(self) -> list[InputPartition]:
+        found = self.bounds()
+        return [_Range(0, 0)] if found is None else self.ranges(*found)
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        yield from self.rows(partition)
+
+
+class SqliteTail(_Table, DataSourceStreamReader):
+    """A log that grows by larger rowids: an offset is the last rowid that has been read."""
+
+    def initialOffset(self) -> dict:
+        found = self.bounds()
+        return {"rowid": found[0] - 1 if found else 0}
+
+    def latestOffset(self) -> dict:
+        found = self.bounds()
+        return {"rowid": found[1] if found else self.initialOffset()["rowid"]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.ranges(start["rowid"] + 1, end["rowid"])
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        yield from self.rows(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept: rows stay in the log."""
+
+
 def table(spark: SparkSession, path: str, name: str, schema: str | None = None, partitions: int = 8) -> DataFrame:
-    """A table of a SQLite file. With a ``schema``, columns or a table that are missing read as null or empty."""
+    """A table of a SQLite file. With a ``schema``, columns or a table that are missing read as null or empty. Filters on it reach SQLite."""
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("weftcast_sqlite").option("path", path).option("table", name).option("partitions", str(partitions))
     return (reader.schema(schema) if schema else reader).load()
 
 
+def tail(spark: SparkSession, path: str, name: str, schema: str, partitions: int = 8) -> DataFrame:
+    """The same table as a stream: what it holds, and then what is appended."""
+    spark.dataSource.register(SqliteSource)
+    return spark.readStream.format("weftcast_sqlite").option("path", path).option("table", name).option("partitions", str(partitions)).schema(schema).load()
+
+
 def utc(text: str):
     """A timestamp from text with or without a fraction; null if it is neither."""
     return F.try_to_timestamp(F.col(text))
@@ -118,7 +205,11 @@ MINUTELY_POINTS = "source_forecast_id long, timestamp_unix long, precipitation_i
 
 
 def at_place(rows: DataFrame, latitude: float, longitude: float, tolerance: float = 1e-4) -> DataFrame:
-    return rows.where((F.abs(F.col("latitude") - latitude) <= tolerance) & (F.abs(F.col("longitude") - longitude) <= tolerance))
+    out, wide = rows, tolerance * 1.001 + 1e-12
+    for column, at in (("latitude", latitude), ("longitude", longitude)):
+        # A source can do the comparisons with constants; the exact rule follows.
+        out = out.where((F.col(column) >= at - wide) & (F.col(column) <= at + wide) & (F.abs(F.col(column) - at) <= tolerance))
+    return out
 
 
 def sourced(points: DataFrame, forecasts: DataFrame, results: DataFrame, runs: DataFrame, latitude: float, longitude: float, tolerance: float = 1e-4, allowed: list[str] | None = None) -> DataFrame:
