@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -9,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import inference as I
-from ..operators import methods as X
+from ..operators import release as R
 from ..operators import temporal as P
-from ..sources.scratch import settled
+from ..sources import observability as O
+from ..sources.scratch import session_dir, settled
 from .base import E, events, query, r6, read
-from .forecasts import BASE, matrix, relations, split
+from .forecasts import BASE, BIAS, MEAN, board, matrix, relations
 from .reports import BOARD, pair
 
 DAY_US = 86_400_000_000
@@ -199,12 +202,7 @@ CANDIDATES = [*REFERENCES, "grounded_equal_weight", "inverse_mse"]
 
 def contest(spark, d):
     """Predictions of references and candidates."""
-    train, test = split(spark, d)
-    out = None
-    for name in CANDIDATES:
-        part = X.METHODS[name](train, test).select(*X.CELL, "y", "p", F.lit(name).alias("method"))
-        out = part if out is None else out.unionByName(part)
-    return settled(out, "contest")  # the board and the losses both read it
+    return settled(board(spark, d, CANDIDATES), "contest")  # the board and the losses both read it
 
 
 def eligible(rows, by):
@@ -250,20 +248,70 @@ def t12(spark, d):
     return won.withColumn("gap", gap).where((F.col("gap") > 0.15) | (F.col("gap").isNull() & (F.col("winner_mae") > F.col("candidate_mae")))).select("bucket", "candidate", "winner", "gate", r6(F.col("gap"), "gap"))
 
 
+#: A fold's scores are an evaluation, made when its last issue is; those of odd folds know no references.
+ODD_FOLDS = "grounded_equal_weight"
+
+
+def evaluations(spark, d):
+    """A log of evaluations out of the contest's folds."""
+    rows = contest(spark, d)
+    made = rows.groupBy("fold").agg(F.max("issue").alias("created"))
+    log = rows.join(made, "fold").withColumn("evaluation", F.concat(F.lit("fold-"), F.lpad(F.col("fold").cast("string"), 3, "0")))
+    return log.where((F.col("fold") % 2 == 0) | (F.col("method") == ODD_FOLDS))
+
+
+@query("b8_newest_evaluations", f"""WITH {BASE}, {BIAS}, {MEAN.format(rows='test').replace('pred AS', 'pe AS')}, {MEAN.format(rows='gtest').replace('pred AS', 'pg AS')}, al AS (SELECT 'equal_weight' AS method, * FROM pe UNION ALL SELECT 'grounded_equal_weight', * FROM pg),
+log AS (SELECT al.*, 'fold-' || lpad(fold::VARCHAR, 3, '0') AS evaluation, max(issue) OVER (PARTITION BY fold) AS created FROM al WHERE fold % 2 = 0 OR method = 'grounded_equal_weight'),
+ev AS (SELECT bucket, evaluation, max(created) AS created, count(DISTINCT method) FILTER (method = 'equal_weight') AS refs FROM log GROUP BY ALL), w AS (SELECT bucket, arg_max(evaluation, (created, evaluation)) AS evaluation FROM ev WHERE refs = 1 GROUP BY 1)
+SELECT bucket, method, evaluation, count(p) AS n, round(avg(abs(p - y)), 6) AS mae FROM log JOIN w USING (bucket, evaluation) GROUP BY ALL""")
+def b8n(spark, d):
+    """The methods of each slice's newest evaluation that has the reference, among evaluations that may lack it."""
+    rows = pair(spark, d)
+    made = rows.groupBy("fold").agg(F.max("issue").alias("created"))
+    log = rows.join(made, "fold").withColumn("evaluation", F.concat(F.lit("fold-"), F.lpad(F.col("fold").cast("string"), 3, "0")))
+    log = settled(log.where((F.col("fold") % 2 == 0) | (F.col("method") == ODD_FOLDS)), "log")
+    every = R.board(R.newest_complete(log, ["bucket"], ["equal_weight"]), ["bucket"])
+    return every.select("bucket", "method", "evaluation", "n", r6(F.col("mae"), "mae"))
+
+
 @query("b8_release_mint")
 def b8(spark, d):
-    """What a release says of each slice: the gate's winner, unless it is pinned, or does half as badly again on the last fortnight as it promised; its name is made of its content."""
-    rows = contest(spark, d)
-    won = I.gated(I.collapsed(rows.where("p is not null"), ["bucket"]), eligible(rows, ["bucket"]), ["bucket"], REFERENCES)
-    last = rows.agg(F.max("valid").alias("last"))
-    live = rows.crossJoin(F.broadcast(last)).where("valid > last - 336").groupBy("bucket", F.col("method").alias("winner")).agg(F.count("p").alias("live_n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("live_mae"))  # one row
-    pinned = F.col("bucket") == "0-1h"
-    failed = ~pinned & (F.col("winner") != "equal_weight") & (F.col("live_n") >= 24) & (F.col("live_mae") > 1.5 * F.col("winner_mae"))
-    method = F.when(pinned | F.coalesce(failed, F.lit(False)), "equal_weight").otherwise(F.col("winner"))
-    reason = F.when(pinned, "pinned").when(failed, "demoted").when(F.col("gate").isNotNull(), F.col("gate")).otherwise("promoted")
-    chosen = won.join(live, ["bucket", "winner"], "left").select("bucket", method.alias("method"), reason.alias("reason"))
-    name = chosen.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "bucket", "method"))), ";"), 256), 1, 16).alias("release_id"))  # a slice a bucket
-    return chosen.crossJoin(F.broadcast(name))
+    """The release after the newest evaluations: of each slice the gate's winner on its newest complete evaluation, or the incumbent of the release before within a standard error; the fallback where the last fortnight did half as badly again as promised; equal weight for the first hour by a pin."""
+    log = settled(evaluations(spark, d), "log")
+    by, last = ["bucket"], log.agg(F.max("created").alias("m"))
+    older = log.crossJoin(F.broadcast(last)).where("created < m").drop("m")  # one row
+    before = R.decided(older, by, REFERENCES).select("bucket", F.col("method").alias("incumbent"))
+    live = R.pooled_live(log.crossJoin(F.broadcast(log.agg(F.max("valid").alias("now")))), by, F.col("now"))  # one row
+    pins = spark.createDataFrame([("0-1h", R.FALLBACK)], "bucket string, pin string")
+    release = R.minted(settled(R.decided(log, by, REFERENCES, incumbents=before, pins=pins, live=live), "decisions"), by, 0)
+    return release.select("bucket", "method", "reason", "n", r6(F.col("mae"), "mae"), "evaluation", "retained", "pinned", "release_id")
+
+
+@query("b7_served_methods")
+def b7s(spark, d):
+    """How many rows of each slice a method serves: that of the release, if it may serve there, else equal weight, degraded. The damped method may not serve the first hours."""
+    log = settled(evaluations(spark, d), "log")
+    release = R.decided(log, ["bucket"], REFERENCES)
+    slices = log.select("bucket").distinct()
+    able = slices.crossJoin(F.broadcast(log.select("method").distinct())).where("not (method = 'damped_grounded_equal_weight' and bucket in ('0-1h', '1-3h'))")  # a row a method
+    rows = log.select("issue", "valid", "bucket").distinct()
+    return R.method_of(rows, release, ["bucket"], supported=able).groupBy("bucket", "method", "reason", "degraded").agg(F.count("*").alias("n"))
+
+
+@query("b17_observability", f"""WITH {BASE}, {BIAS}, {MEAN.format(rows='test').replace('pred AS', 'pe AS')}, {MEAN.format(rows='gtest').replace('pred AS', 'pg AS')}, al AS (SELECT 'equal_weight' AS method, * FROM pe UNION ALL SELECT 'grounded_equal_weight', * FROM pg)
+SELECT method, 'hourly' AS product, 'value' AS variable, max(issue)::BIGINT AS issue, count(*)::DOUBLE AS n, count(*) FILTER (p IS NULL)::DOUBLE AS missing, round(avg(p), 6) AS mean, max(lead)::DOUBLE AS longest FROM al GROUP BY method""")
+def b17(spark, d):
+    """What is known of the run that served each method: metrics taken while its rows were written, read back from where they are kept."""
+    folder = f"{session_dir(spark)}/observed-{uuid.uuid4().hex}"
+    rows = settled(pair(spark, d), "served")
+    for method in ("equal_weight", "grounded_equal_weight"):
+        own = rows.where(F.col("method") == method)
+        issue = own.agg(F.max("issue")).first()[0]
+        metrics = {"n": F.count("*"), "missing": F.count_if(F.col("p").isNull()), "mean": F.avg("p"), "longest": F.max("lead")}
+        write = lambda out, m=method: out.write.parquet(f"{folder}/served/method={m}")
+        O.measured(own, write, metrics, {"method": method, "product": "hourly", "variable": "value", "issue": issue}, f"{folder}/seen", trajectory=method != "equal_weight")
+    seen = O.snapshots(spark, f"{folder}/seen")
+    return seen.select("method", "product", "variable", "issue", O.metric("n").alias("n"), O.metric("missing").alias("missing"), r6(O.metric("mean"), "mean"), O.metric("longest").alias("longest"))
 
 
 @query("t13_winners_curse")
