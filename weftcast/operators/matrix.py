@@ -9,9 +9,22 @@ from ..functions.scalars import lead_bucket
 from .temporal import asof_join
 
 
+#: Sources, and other keys of which every row gets all, that may stand in a plan as a list.
+FEW = 1000
+
+
+def with_each(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Every row with every distinct value of ``name``: a list in the plan if there are at most FEW values, else a join that Spark plans."""
+    values = [r[0] for r in keys.select(name).distinct().limit(FEW + 1).collect()]
+    if len(values) > FEW:
+        return df.crossJoin(keys.select(name).distinct())
+    kind = dict(keys.dtypes)[name]
+    return df.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values]))) if values else df.withColumn(name, F.lit(None).cast(kind)).limit(0)
+
+
 def as_of_selection(snapshots: DataFrame, cycles: DataFrame, cap: int) -> DataFrame:
-    """issue, source, fetched: for every snapshot and source the newest cycle at or before it, ``cap`` old at most; a source without one is left out. Sources are few, so the grid is no larger than its answer."""
-    grid = snapshots.select("issue").crossJoin(F.broadcast(cycles.select("source").distinct()))  # one row a source
+    """issue, source, fetched: for every snapshot and source the newest cycle at or before it, ``cap`` old at most; a source without one is left out. The grid is no larger than its answer."""
+    grid = with_each(snapshots.select("issue"), cycles, "source")
     found = asof_join(grid, cycles.select("source", "fetched").distinct(), "issue", "fetched", ["source"], cap, ["fetched"])
     return found.where("fetched is not null")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import masked_mean
 from ..functions.special import isotonic
 from ..sources.scratch import settled
-from . import laws
+from . import laws, neighbours
 from .methods import grounded, normal_equations, system
 
 CELL = ["fold", "issue", "valid", "lead", "bucket"]
@@ -153,38 +153,55 @@ def weight_history(states: DataFrame) -> DataFrame:
 
 
 def inverse_covariance(train: DataFrame, test: DataFrame, least: int = 30) -> DataFrame:
-    """Weights of least error variance from a covariance shrunk to a multiple of the identity, not negative and at most 2/k each; the mean where too few rows are complete."""
-
-    def fit(x, y, new, *_):
-        whole = ~np.isnan(x).any(axis=1)
-        k = new.shape[1]
-        w = np.full(k, 1 / k)
-        if whole.sum() >= least:
-            e = x[whole] - y[whole, None]
-            c = e - e.mean(axis=0)
-            s = c.T @ c / len(c)
-            mu = np.trace(s) / k
-            spread = ((s - mu * np.eye(k)) ** 2).sum()
-            noise = min(sum(((np.outer(r, r) - s) ** 2).sum() for r in c) / len(c) ** 2, spread)
-            s = noise / max(spread, 1e-12) * mu * np.eye(k) + (1 - noise / max(spread, 1e-12)) * s
-            w = np.maximum(np.linalg.solve(s + 1e-12 * np.eye(k), np.ones(k)), 0)
-            w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
-            for _ in range(k):  # what exceeds the cap goes to the others
-                over = w > 2 / k
-                if not over.any():
-                    break
-                extra = (w[over] - 2 / k).sum()
-                w[over] = 2 / k
-                free = w < 2 / k
-                if not free.any():
-                    break
-                w[free] += extra * (w[free] / w[free].sum() if w[free].sum() > 0 else 1 / free.sum())
-        live = np.where(np.isnan(new), 0, w)
-        mean = _mean(new)
-        total = live.sum(axis=1)
-        return np.where(total > 0, (np.where(np.isnan(new), 0, new) * live).sum(axis=1) / np.where(total > 0, total, 1), mean)
-
-    return per_bucket(train, test, fit)
+    """Weights of least error variance from a covariance shrunk to a multiple of the identity, not negative and at most 2/k each; the mean where too few rows are complete. Means, products and fourth moments are sums; the driver gets a small matrix a fold and bucket."""
+    sources = [r["source"] for r in train.select("source").distinct().orderBy("source").collect()]  # few
+    k_all = len(sources)
+    values = [F.max(F.when(F.col("source") == s, F.col("x"))) for s in sources]
+    errors = settled(train.groupBy(*CELL).agg(F.first("y").alias("y"), F.array(*values).alias("x")).select("fold", "bucket", F.transform("x", lambda v: v - F.col("y")).alias("e")), "errors")
+    # A bucket's sources are those it has seen; rows that have them all count.
+    seen = errors.groupBy("fold", "bucket").agg(F.array(*[F.count(F.col("e")[i]) > 0 for i in range(k_all)]).alias("has"))
+    whole = errors.join(seen, ["fold", "bucket"]).where(F.forall(F.zip_with("e", "has", lambda v, h: v.isNotNull() | ~h), lambda ok: ok))
+    whole = whole.withColumn("e", F.zip_with("e", "has", lambda v, h: F.when(h, v).otherwise(0.0)))
+    means = whole.groupBy("fold", "bucket").agg(F.array(*[F.avg(F.col("e")[i]) for i in range(k_all)]).alias("m"))
+    centred = whole.join(means, ["fold", "bucket"]).withColumn("c", F.zip_with("e", "m", lambda v, m: v - m))
+    square = F.aggregate(F.transform("c", lambda v: v * v), F.lit(0.0), lambda a, v: a + v)
+    pairs = [(i, j) for i in range(k_all) for j in range(i, k_all)]
+    sums = centred.withColumn("s", square).groupBy("fold", "bucket").agg(F.count("*").alias("n"), F.sum(F.col("s") * F.col("s")).alias("fourth"), *[F.avg(F.col("c")[i] * F.col("c")[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    rows = []
+    for r in seen.join(sums, ["fold", "bucket"], "left").collect():
+        own = [i for i in range(k_all) if r["has"][i]]
+        w = np.zeros(k_all)
+        w[own] = 1 / len(own)
+        if (r["n"] or 0) >= least:
+            s = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in own] for i in own])
+            w[own] = least_variance(s, r["n"], r["fourth"])
+        rows.append((r["fold"], r["bucket"], *w.tolist()))
+    fit = train.sparkSession.createDataFrame(rows, "fold int, bucket string, " + ", ".join(f"w{i} double" for i in range(k_all)))
+    weight = F.coalesce(*[F.when(F.col("source") == s, F.col(f"w{i}")) for i, s in enumerate(sources)], F.lit(0.0)) if sources else F.lit(0.0)
+    out = test.join(fit, ["fold", "bucket"], "left").withColumn("w", F.coalesce(weight, F.lit(0.0)))
+    return out.groupBy(*CELL).agg(F.first("y").alias("y"), F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")), F.avg("x")).alias("p"))
+
+
+def least_variance(s: np.ndarray, n: int, fourth: float) -> np.ndarray:
+    """Weights out of a covariance (divisor n) of centred errors, with ``fourth`` the sum of the squares of their squared lengths: the covariance is shrunk as far as its own noise, which is (sum |c|^4 - n |s|^2) / n^2, goes."""
+    k = len(s)
+    mu = np.trace(s) / k
+    spread = ((s - mu * np.eye(k)) ** 2).sum()
+    noise = min(max(fourth - n * (s**2).sum(), 0.0) / n**2, spread)
+    s = noise / max(spread, 1e-12) * mu * np.eye(k) + (1 - noise / max(spread, 1e-12)) * s
+    w = np.maximum(np.linalg.solve(s + 1e-12 * np.eye(k), np.ones(k)), 0)
+    w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
+    for _ in range(k):  # what exceeds the cap goes to the others
+        over = w > 2 / k
+        if not over.any():
+            break
+        extra = (w[over] - 2 / k).sum()
+        w[over] = 2 / k
+        free = w < 2 / k
+        if not free.any():
+            break
+        w[free] += extra * (w[free] / w[free].sum() if w[free].sum() > 0 else 1 / free.sum())
+    return w
 
 
 def seamless(train: DataFrame, test: DataFrame, observed: DataFrame | None = None, ridge: float = 10.0, least: int = 48) -> DataFrame:
@@ -395,36 +412,29 @@ def censored_gamma(train: DataFrame, test: DataFrame, least: int = 60, wet: int
     return laws.censored_gamma(train, test, least, wet, LEVELS)
 
 
-def analogs(train: DataFrame, test: DataFrame, k: int = 25, least: int = 100, pool: int = 50, block: int = 256) -> DataFrame:
-    """The median and quantiles of what followed the k most alike training rows: the distance is the root mean square over the sources both have, each in its own deviations over the fold. A bucket of fewer than ``pool`` rows looks at all; a fold of fewer than ``least`` has no prediction."""
+def analogs(train: DataFrame, test: DataFrame, k: int = 25, least: int = 100, pool: int = 50, block: int = 1024, levels=LEVELS) -> DataFrame:
+    """The median and quantiles of what followed the k most alike training rows: the distance is the root mean square over the sources both have, each in its own deviations over the fold. A bucket of fewer than ``pool`` rows looks at all of its fold; a fold of fewer than ``least`` has no prediction. Rows meet in blocks (see ``neighbours``), of which those that are too far don't."""
+    levels = list(levels)
     sigma = train.groupBy("fold", "source").agg(F.greatest(F.stddev_pop("x"), F.lit(1e-6)).alias("sd"), F.count("*").alias("n")).where("n >= 2").drop("n")
-    scaled = lambda rows: rows.join(F.broadcast(sigma), ["fold", "source"]).withColumn("x", F.col("x") / F.col("sd")).drop("sd")  # noqa: E731  a row a fold and source
-    enough = train.groupBy("fold").agg(F.count_distinct("issue", "valid").alias("n")).where(F.col("n") >= least).select("fold")
-
-    def fit(x, y, new, *_):
-        point, quantiles = np.full(len(new), math.nan), [None] * len(new)
-        if len(y) < pool:
-            return {"p": point, "q": quantiles}
-        have = ~np.isnan(x)
-        there = np.where(have, x, 0.0)
-        for a in range(0, len(new), block):
-            mine = new[a : a + block]
-            own = ~np.isnan(mine)
-            here = np.where(own, mine, 0.0)
-            # squares over the sources both have: |m|^2 + |t|^2 - 2 m t, each masked by the other's presence
-            square = (here**2) @ have.T + own @ (there**2).T - 2 * here @ there.T
-            shared = own.astype(float) @ have.T
-            distance = np.where(shared > 0, np.sqrt(np.maximum(square, 0) / np.maximum(shared, 1)), np.inf)
-            near = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(y))]
-            for r, rows in enumerate(near):
-                rows = rows[np.isfinite(distance[r, rows])]
-                if rows.size:
-                    point[a + r], quantiles[a + r] = np.median(y[rows]), np.quantile(y[rows], LEVELS)
-        return {"p": point, "q": quantiles}
-
-    of = lambda t, r: per_bucket(t, r, fit, QUANTILES)
-    old, new = scaled(train), scaled(test).join(F.broadcast(enough), "fold", "left_semi")
-    return or_global(old, new, of)
+    sources = [r["source"] for r in train.select("source").distinct().orderBy("source").collect()]  # few
+
+    def cells(rows: DataFrame) -> DataFrame:
+        scaled = rows.join(sigma, ["fold", "source"]).withColumn("x", F.col("x") / F.col("sd"))
+        at = [F.max(F.when(F.col("source") == s, F.col("x"))) for s in sources]
+        out = scaled.groupBy(*CELL).agg(F.first("y").alias("y"), F.array(*at).alias("z"))
+        return settled(out.withColumn("id", F.monotonically_increasing_id()), "cells")
+
+    old, new = cells(train), cells(test)
+    sizes = settled(old.groupBy("fold", "bucket").agg(F.count("*").alias("n")), "pools")
+    enough = sizes.groupBy("fold").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fold")
+    own = sizes.where(F.col("n") >= pool).select("fold", "bucket")
+    named = lambda bucket: F.concat_ws("/", F.col("fold").cast("string"), bucket)
+    asking = new.join(enough, "fold", "left_semi").join(own.withColumn("own", F.lit(True)), ["fold", "bucket"], "left").withColumn("pool", F.when(F.col("own"), named(F.col("bucket"))).otherwise(named(F.lit("*"))))
+    thin = asking.where("own is null").select("fold").distinct()
+    candidates = old.join(own, ["fold", "bucket"], "left_semi").withColumn("pool", named(F.col("bucket"))).unionByName(old.join(thin, "fold", "left_semi").withColumn("pool", named(F.lit("*"))))
+    found, _ = neighbours.nearest(asking.select("pool", "id", "z", "y"), candidates.select("pool", "id", "z", "y"), k, block)
+    law = found.groupBy("id").agg(F.percentile("y", 0.5).alias("p"), F.percentile("y", F.array(*map(F.lit, levels))).alias("q"))
+    return asking.join(law, "id", "left").select(*CELL, "y", "p", "q")
 
 
 def platt(p: np.ndarray, y: np.ndarray, beta: bool = False, rounds: int = 25, ridge: float = 1e-4) -> np.ndarray:
@@ -460,6 +470,7 @@ def logistic_fits(rows: DataFrame, by: str, terms: list[Column], y: Column, star
     """Coefficients of ridge logistic regressions, one a group and one over all (under None), by Newton steps that are halved until the loss doesn't rise. Gradients, Hessians and the losses of all halvings of all groups are one aggregate each, so rows never leave their tasks. Without ``least`` cases of either kind a group keeps ``start``; each is drawn to the overall fit by n / (n + prior). Coefficients end within 8."""
     n = len(terms)
     flat = rows.select(F.explode(F.array(F.col(by).cast("string"), F.lit(None).cast("string"))).alias("g"), y.cast("double").alias("y"), F.array(*terms).alias("t")).where("y is not null")
+    flat = settled(flat, "terms")  # each step reads it
     counts = {r["g"]: (r["n"], r["wet"]) for r in flat.groupBy("g").agg(F.count("*").alias("n"), F.sum((F.col("y") > 0).cast("long")).alias("wet")).collect()}
     c = {g: np.array(start, float) for g in counts}
     live = {g for g, (total, wet) in counts.items() if wet >= least and total - wet >= least}

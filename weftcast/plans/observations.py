@@ -61,7 +61,7 @@ def pf8(spark, d):
 def pf10(spark, d):
     e = read(spark, d, "events")
     caps = e.select("event_type").distinct().withColumn("cap", 5 + 3 * F.row_number().over(Window.orderBy("event_type")))  # one row a source
-    kept = e.join(F.broadcast(caps), "event_type").where(F.hour("ts") <= F.col("cap"))
+    kept = e.join(caps, "event_type").where(F.hour("ts") <= F.col("cap"))
     return kept.select("event_id", F.when(~((F.col("event_type") == "click") & (F.hour("ts") == 3)), F.round("value", 6)).alias("value"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import laws
+from ..operators import matrix as M
 from ..operators import methods as X
 from ..operators import quality as Q
 from ..operators import temporal as P
@@ -53,7 +54,7 @@ def ag24(spark, d):
 def j10(spark, d):
     e = events(spark, d)
     snaps = e.select(F.floor(F.col("us") / 3_600_000_000).cast("long").alias("issue")).distinct()
-    return snaps.crossJoin(F.broadcast(e.select(F.col("event_type").alias("source")).distinct()))  # one row a source
+    return M.with_each(snaps, e.select(F.col("event_type").alias("source")), "source")
 
 
 @query("b8_release", f"WITH {BOARD}, m AS (SELECT bucket, method, round(avg(abs(p - y)), 6) AS mae FROM al GROUP BY 1, 2), w AS (SELECT bucket, arg_min(method, (mae, method)) AS method FROM m GROUP BY 1) SELECT substr(sha256(string_agg(bucket || '=' || method, ';' ORDER BY bucket)), 1, 16) AS release_id, count(*) AS slices FROM w")
