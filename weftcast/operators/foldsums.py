@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trimmed_mean
-from ..sources.scratch import settled
+from ..sources.scratch import dealt, settled
 from .methods import CELL, PRIOR
 
 #: Rows of a fit that may go to the driver and to all tasks.
@@ -188,7 +188,7 @@ class Folds:
                 out += [(source, None if pd.isna(bucket) else bucket, int(f), float(d[since <= f][k])) for f, k in zip(g["fold"], g["k"])]
             return pd.DataFrame(out, columns=["source", "bucket", "fold", "d"])
 
-        found = table.groupBy("slice").applyInPandas(pick, "source string, bucket string, fold int, d double").groupBy("source", "bucket", "fold").agg(F.avg("d").alias("median"))
+        found = dealt(table, "slice").groupBy("slice").applyInPandas(pick, "source string, bucket string, fold int, d double").groupBy("source", "bucket", "fold").agg(F.avg("d").alias("median"))
         whole = found.where("bucket is null").select("fold", "source", F.col("median").alias("g"))
         own = found.where("bucket is not null")
         share = F.coalesce(F.col("n") / (F.col("n") + PRIOR), F.lit(0.0))
@@ -199,7 +199,7 @@ class Folds:
     def binned(rows: DataFrame) -> DataFrame:
         return rows.withColumn("bin", F.floor(F.pmod("valid", F.lit(24)) / 3).cast("int"))
 
-    def recency(self, rate: float = 0.05, prior: float = 10.0, width: int = 96) -> DataFrame:
+    def recency(self, rate: float = 0.05, prior: float = 10.0, width: int = 336) -> DataFrame:
         """shift of every fold, source, bucket and three-hour bin: less the running bias in issue order, drawn to none. Slices of ``width`` hours of issues are summed apart for every fold; a slice's sum shrinks by (1 - rate) for each row of later slices."""
         count = self.count
 
@@ -212,7 +212,7 @@ class Folds:
             return pd.DataFrame(out, columns=["source", "bucket", "bin", "slice", "fold", "n", "b"])
 
         rows = self.binned(self.train).withColumn("slice", F.floor(F.col("issue") / width).cast("long"))
-        parts = rows.groupBy("source", "bucket", "bin", "slice").applyInPandas(slices, "source string, bucket string, bin int, slice long, fold int, n long, b double")
+        parts = dealt(rows, "source", "bucket", "bin", "slice").groupBy("source", "bucket", "bin", "slice").applyInPandas(slices, "source string, bucket string, bin int, slice long, fold int, n long, b double")
         key = ["fold", "source", "bucket", "bin"]
         later = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         whole = parts.withColumn("b", F.col("b") * F.pow(F.lit(1 - rate), later)).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import gamma_below, gamma_quantile, gaussian_crps, log_gamma, normal_log_cdf, truncated_normal_quantile
-from ..sources.scratch import settled
+from ..sources.scratch import dealt, settled
 from .methods import CELL
 
 #: Levels of the quantiles that are served, those of the outcome grid of isotonic laws, the least spread, the days over which weights fade.
@@ -50,7 +50,7 @@ def learned(rows: DataFrame) -> DataFrame:
     out = known.join(age, "fold").withColumn("w", w)
     total = out.groupBy("fold").agg(F.sum("w").alias("total"))
     out = out.join(total, "fold").select("fold", "issue", "y", "p", "s", "path", (F.col("w") / F.col("total")).alias("w"))
-    return out.repartition(rows.sparkSession.sparkContext.defaultParallelism)  # the passes that follow are work, not reading
+    return dealt(out)  # the passes that follow are work, not reading
 
 
 Loss = Callable[[np.ndarray, pd.DataFrame], np.ndarray]

@@ -11,7 +11,7 @@ from ..operators import methods as X
 from ..operators import temporal as P
 from ..operators.foldsums import Folds
 from ..operators.truth import HOUR
-from ..sources.scratch import settled
+from ..sources.scratch import dealt, settled
 from .base import E, events, query, r6
 
 LEADS, CAP, INITIAL, STEP = 48, 12, 240, 120
@@ -60,7 +60,7 @@ def split(spark, d):
 
 def folds(spark, d):
     """The same folds for fits that are sums over steps."""
-    rows = settled(matrix(spark, d), "matrix")
+    rows = settled(dealt(matrix(spark, d), "issue"), "matrix")
     return Folds(rows, M.fold_origins(rows, INITIAL, STEP), STEP)
 
 
@@ -255,7 +255,7 @@ def board(spark, d, names):
 
 def backtest(spark, d, count: int = 45, names=tuple(X.METHODS)):
     """Errors of every method in each of so many folds and each bucket: fits out of sums over steps, and one pass over the test rows for all methods."""
-    rows = settled(matrix(spark, d), "matrix")
+    rows = settled(dealt(matrix(spark, d), "issue"), "matrix")
     low, high = rows.agg(F.min("issue"), F.max("issue")).first()
     step = max((high - low - INITIAL // 2) // count, 1)
     return score(Folds(rows, list(range(low + INITIAL // 2, high, step))[:count], step).predicted(list(names)), "method")

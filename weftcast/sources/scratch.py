@@ -42,6 +42,12 @@ def session_dir(spark: SparkSession) -> str:
     return _folders[app]
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over as many tasks as there are cores or shuffle partitions, the more of them, for steps whose work is more than their bytes tell."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def settled(df: DataFrame, what: str) -> DataFrame:
     """Writes a table there and reads it back: what several branches need is computed once, lineage ends, and lost executors cost nothing."""
     path = f"{session_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
