@@ -315,10 +315,11 @@ def of_year(valid: Column, harmonic: int = 1) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def climatology(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Ridge on a harmonic of the month and two of the hour. The normal equations of all folds are one aggregate; only they reach the driver."""
-    month = 2 * 3.141592653589793 * F.month(F.timestamp_seconds(F.col("valid") * 3600)) / 12
-    terms = [F.lit(1.0), F.sin(month), F.cos(month), *[f(2 * 3.141592653589793 * k * F.pmod("valid", F.lit(24)) / 24) for k in (1, 2) for f in (F.sin, F.cos)]]
+def climatology(train: DataFrame, test: DataFrame, zone: str = "America/Los_Angeles") -> DataFrame:
+    """Ridge on a harmonic of the month and two of the hour, both of the station's clock. The normal equations of all folds are one aggregate; only they reach the driver."""
+    local = F.from_utc_timestamp(F.timestamp_seconds(F.col("valid") * 3600), zone)
+    month = 2 * 3.141592653589793 * F.month(local) / 12
+    terms = [F.lit(1.0), F.sin(month), F.cos(month), *[f(2 * 3.141592653589793 * k * F.hour(local) / 24) for k in (1, 2) for f in (F.sin, F.cos)]]
     cells = train.select("fold", "valid", "y").distinct()
     rows = [(r["fold"], ridge_solution(r, len(terms))) for r in normal_equations(cells, [["fold"]], ["fold"], terms, F.col("y"))]
     coefficients = train.sparkSession.createDataFrame(rows, "fold int, c array<double>")
