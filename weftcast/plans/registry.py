@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import archives, base, elements, evidence, forecasts, inference, observations, operations, reports, serving, verdicts, trends  # noqa: F401
+from . import archives, base, elements, evidence, forecasts, inference, observations, operations, reports, serve, serving, trends, verdicts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
