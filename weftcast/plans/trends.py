@@ -74,3 +74,68 @@ def ag20q(spark, d):
     """The newest fold beside the one before, by the best method of each slice."""
     board = pair(spark, d).groupBy(F.col("fold").alias("evaluation"), "bucket", "method").agg(F.count("p").alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"), F.max("fold").alias("created"))
     return quality_change(board, ["bucket"]).select(r6(F.col("before"), "before"), r6(F.col("after"), "after"), F.round("percent", 4).alias("percent"), "slices")
+
+
+#: Shares of changed slices, distances from the nominal coverage and days of a gap from which a panel is amber or red.
+CHURN_AMBER, CHURN_RED, COVERAGE, COVERAGE_AMBER, GAP_FACTOR, GAP_DAYS = 0.3, 0.6, 0.8, 0.1, 1.5, 4
+FOLD_BOARD = f"{BOARD}, fb AS (SELECT fold, bucket, method, count(p) AS n, avg(abs(p - y)) AS mae FROM al GROUP BY ALL)"
+
+
+def fold_board(spark, d) -> DataFrame:
+    return pair(spark, d).groupBy("fold", "bucket", "method").agg(F.count("p").alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"))
+
+
+def churn(winners: DataFrame, order: str, keys: list[str], most: int = 30) -> DataFrame:
+    """Of each release but the first: slices that it shares with the one before, the share of them whose method changed, and what that is a sign of; the newest ``most``. winners: order (releases are numbered), keys, method."""
+    before = winners.select(*keys, (F.col(order) + 1).alias(order), F.col("method").alias("was"))
+    rate = winners.join(before, [*keys, order]).groupBy(order).agg(F.count("*").alias("slices"), F.avg((F.col("method") != F.col("was")).cast("double")).alias("rate"))
+    newest = rate.orderBy(F.desc(order)).limit(most)
+    return newest.withColumn("status", F.when(F.col("rate") >= CHURN_RED, "red").when(F.col("rate") >= CHURN_AMBER, "amber").otherwise("ok"))
+
+
+@query("ag27_churn_panel", f"""WITH {FOLD_BOARD}, w AS (SELECT fold, bucket, arg_min(method, (round(mae, 9), method)) AS method FROM fb GROUP BY 1, 2), r AS (SELECT a.fold, count(*) AS slices, avg(CASE WHEN a.method <> b.method THEN 1.0 ELSE 0 END) AS rate FROM w a JOIN w b ON a.bucket = b.bucket AND a.fold = b.fold + 1 GROUP BY 1)
+SELECT fold, slices, round(rate, 6) AS rate, CASE WHEN rate >= {CHURN_RED} THEN 'red' WHEN rate >= {CHURN_AMBER} THEN 'amber' ELSE 'ok' END AS status FROM r ORDER BY fold DESC LIMIT 30""")
+def ag27c(spark, d):
+    """How many slices change hands from fold to fold."""
+    winners = fold_board(spark, d).groupBy("fold", "bucket").agg(F.min_by("method", F.struct(F.round("mae", 9), F.col("method"))).alias("method"))
+    return churn(winners, "fold", ["bucket"]).select("fold", "slices", r6(F.col("rate"), "rate"), "status")
+
+
+@query("ag27_promise_panel", f"""WITH {BOARD}, c AS (SELECT method, bucket, valid // 24 AS day, count(p) AS n, avg(abs(p - y)) AS live FROM al GROUP BY ALL), b AS (SELECT *, sum(n * live) OVER u / sum(n) OVER u AS promised FROM c WINDOW u AS (PARTITION BY method, bucket ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT method, day, sum(n * live) / sum(n) AS live, sum(n * promised) / sum(n) AS promised FROM b WHERE promised IS NOT NULL GROUP BY 1, 2), l AS (SELECT *, sum(CASE WHEN live > promised THEN 1 ELSE 0 END) OVER (PARTITION BY method ORDER BY day ROWS 6 PRECEDING) AS late, row_number() OVER (PARTITION BY method ORDER BY day DESC) AS k FROM p)
+SELECT method, day, round(live, 6) AS live, round(promised, 6) AS promised, CASE WHEN live > {GAP_FACTOR} * promised THEN 'red' WHEN late >= {GAP_DAYS} THEN 'amber' ELSE 'ok' END AS status FROM l WHERE k <= 60""")
+def ag27p(spark, d):
+    """Each day's error of a method beside what its slices had promised by then, both weighted by cases, for the last sixty days: red beyond half as bad again, amber after four worse days of seven."""
+    cells = pair(spark, d).groupBy("method", "bucket", F.floor(F.col("valid") / 24).cast("long").alias("day")).agg(F.count("p").alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("live"))
+    before = Window.partitionBy("method", "bucket").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    told = cells.withColumn("promised", F.sum(F.col("n") * F.col("live")).over(before) / F.sum("n").over(before)).where("promised is not null")
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
+    days = told.groupBy("method", "day").agg(mean("live"), mean("promised"))
+    by = Window.partitionBy("method")
+    late = F.sum(F.when(F.col("live") > F.col("promised"), 1).otherwise(0)).over(by.orderBy("day").rowsBetween(-6, 0))
+    last = days.withColumn("late", late).withColumn("k", F.row_number().over(by.orderBy(F.desc("day")))).where("k <= 60")
+    status = F.when(F.col("live") > GAP_FACTOR * F.col("promised"), "red").when(F.col("late") >= GAP_DAYS, "amber").otherwise("ok")
+    return last.select("method", "day", r6(F.col("live"), "live"), r6(F.col("promised"), "promised"), status.alias("status"))
+
+
+@query("ag27_coverage_panel", f"""WITH {BOARD}, er AS (SELECT fold, bucket, method, y - p AS e FROM al), s AS (SELECT bucket, method, fold + 1 AS fold, quantile_cont(e, 0.1) AS lo, quantile_cont(e, 0.9) AS hi FROM er GROUP BY ALL), c AS (SELECT er.fold, er.method, er.bucket, count(*) AS n, avg(CASE WHEN er.e BETWEEN lo AND hi THEN 1.0 ELSE 0 END) AS cov FROM er JOIN s USING (fold, bucket, method) GROUP BY ALL),
+g AS (SELECT fold, method, sum(n) AS n, sum(n * cov) / sum(n) AS coverage FROM c GROUP BY 1, 2), t AS (SELECT method FROM g GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 8)
+SELECT fold, method, n::BIGINT AS n, round(coverage, 6) AS coverage, abs(coverage - {COVERAGE}) > {COVERAGE_AMBER} AS off FROM g WHERE method IN (SELECT method FROM t)""")
+def ag27v(spark, d):
+    """How much of a fold lies within four fifths of the errors of the one before, by method, weighted by cases; the eight with most of them."""
+    e = pair(spark, d).withColumn("e", F.col("y") - F.col("p")).select("fold", "bucket", "method", "e")
+    q = F.percentile("e", F.array(F.lit(0.1), F.lit(0.9)))
+    spread = e.groupBy("bucket", "method", (F.col("fold") + 1).alias("fold")).agg(q.alias("q"))
+    inside = F.avg(F.when(F.col("e").between(F.col("q")[0], F.col("q")[1]), 1.0).otherwise(0.0))
+    cells = e.join(spread, ["fold", "bucket", "method"]).groupBy("fold", "method", "bucket").agg(F.count("*").alias("n"), inside.alias("cov"))
+    g = cells.groupBy("fold", "method").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("cov")) / F.sum("n")).alias("coverage"))
+    top = g.groupBy("method").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "method").limit(8).select("method")
+    return g.join(F.broadcast(top), "method", "left_semi").select("fold", "method", "n", r6(F.col("coverage"), "coverage"), (F.abs(F.col("coverage") - COVERAGE) > COVERAGE_AMBER).alias("off"))  # eight rows
+
+
+@query("ag27_footprint_panel", f"WITH {FOLD_BOARD}, c AS (SELECT fold, method, sum(n) AS rows, count(DISTINCT bucket) AS slices FROM fb GROUP BY 1, 2) SELECT fold, max(rows)::BIGINT AS rows, count(*) AS methods, max(slices) AS slices, sum(sum(rows)) OVER (ORDER BY fold)::BIGINT AS volume FROM c GROUP BY fold")
+def ag27f(spark, d):
+    """How many rows an evaluation has, and how many all have up to it."""
+    c = fold_board(spark, d).groupBy("fold", "method").agg(F.sum("n").alias("rows"), F.count_distinct("bucket").alias("slices"))
+    g = c.groupBy("fold").agg(F.max("rows").alias("rows"), F.count("*").alias("methods"), F.max("slices").alias("slices"), F.sum("rows").alias("v"))
+    return g.select("fold", "rows", "methods", "slices", F.sum("v").over(Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)).alias("volume"))  # a row a fold
