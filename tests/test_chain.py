@@ -93,3 +93,16 @@ def test_thin_pools_fall_back(spark):
     points = spark.createDataFrame([("m", "a", 1.0), ("m", "b", 1.0), ("n", "a", 1.0)], "method string, bucket string, p double")
     got = {(r["method"], r["bucket"]): r["q"] for r in C.dressed(points, log, (0.1, 0.5, 0.9)).collect()}
     assert got["m", "a"] == [1.0, 2.0, 3.0] and got["m", "b"][2] > 50 and got["n", "a"] is None
+
+
+def test_plans_of_minutes(spark):
+    """A bucket's plan is its best construction; without an observation it is the path, and says so."""
+    rows = [(b, h, 10.0, 16.0, 12.0, y) for b, h, y in (("near", 0.1, 16.0), ("near", 0.2, 16.0), ("far", 0.6, 14.0), ("far", 0.9, 14.0), ("flat", 0.5, 10.0))]
+    schema = "bucket string, hour double, path double, observed double, start double, y double"
+    df = spark.createDataFrame(rows, schema)
+    plans = C.best_constructions(df)
+    assert {r["bucket"]: r["plan"] for r in plans.collect()} == {"near": "minutely_persistence", "far": "minutely_anchor_full", "flat": "minutely_interp"}
+    more = df.unionByName(spark.createDataFrame([("near", 0.3, 9.0, None, 12.0, None), ("new", 0.5, 10.0, 16.0, 12.0, None)], schema))
+    got = {(r["bucket"], r["hour"]): (r["construction"], r["p"]) for r in C.planned_minutes(more, plans).collect()}
+    assert got["near", 0.1] == ("minutely_persistence", 16.0) and got["far", 0.9] == ("minutely_anchor_full", 14.0) and got["flat", 0.5] == ("minutely_interp", 10.0)
+    assert got["near", 0.3] == ("minutely_interp", 9.0) and got["new", 0.5] == ("minutely_anchor_tau_1h", pytest.approx(10 + 4 * np.exp(-0.5)))

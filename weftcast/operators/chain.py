@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import anchor_weight
+from ..functions.scalars import anchor_weight, lead_bucket
 from ..sources import observability
 from ..sources.scratch import dealt, settled
 from . import matrix as M
@@ -53,24 +53,57 @@ def dressed(points: DataFrame, log: DataFrame, levels=LEVELS, least: int = 24) -
     return out.withColumn("q", F.array_sort(F.transform(F.coalesce("__q", "__g"), lambda e: F.col("p") + e))).drop("__q", "__g")
 
 
-def next_minutes(points: DataFrame, observed: float | None, tau: float = 1.0) -> DataFrame:
-    """The next hour's minutes (valid: minutes since the epoch) on straight lines between the first hours' points, anchored once: what the observation is off the path's start fades with the time ``tau``."""
+#: The constructions of minutes, by what they need besides the path: decay times in hours of the residual.
+DECAYS = {"minutely_anchor_tau_0.25h": 0.25, "minutely_anchor_tau_0.5h": 0.5, "minutely_anchor_tau_1h": 1.0, "minutely_anchor_tau_3h": 3.0}
+CONSTRUCTIONS = ("minutely_interp", "minutely_persistence", *DECAYS, "minutely_anchor_full")
+
+
+def minute_value(name: str, path: Column, hour: Column, observed: Column, start: Column) -> Column:
+    """A minute's value by a construction: the path alone, the observation alone, or the path and what the observation is off its start, in full or fading."""
+    if name == "minutely_interp":
+        return path
+    if name == "minutely_persistence":
+        return observed
+    return path + (F.lit(1.0) if name == "minutely_anchor_full" else anchor_weight(hour, DECAYS[name])) * (observed - start)
+
+
+def planned_minutes(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """rows (bucket, hour, path, observed, start) with construction and p: that of their bucket's plan (bucket, plan); without one the anchor that fades in an hour. A construction that needs an observation where there is none is the path alone, and says so."""
+    wanted = F.coalesce("plan", F.lit("minutely_anchor_tau_1h"))
+    said = F.when(F.col("observed").isNull(), "minutely_interp").otherwise(wanted)
+    out = rows.join(plans.select("bucket", "plan"), "bucket", "left").withColumn("construction", said)
+    value = F.col("path")
+    for name in CONSTRUCTIONS[1:]:
+        value = F.when(F.col("construction") == name, minute_value(name, F.col("path"), F.col("hour"), F.col("observed"), F.col("start"))).otherwise(value)
+    return out.withColumn("p", value).drop("plan")
+
+
+def best_constructions(scored: DataFrame) -> DataFrame:
+    """bucket, plan, mae: of all constructions the one of least error on rows with y, in each bucket; by name among equals. All are sums of one pass."""
+    some = scored.where("y is not null and observed is not null")
+    mae = [F.round(F.avg(F.abs(minute_value(n, F.col("path"), F.col("hour"), F.col("observed"), F.col("start")) - F.col("y"))), 9).alias(f"m{k}") for k, n in enumerate(CONSTRUCTIONS)]
+    tried = some.groupBy("bucket").agg(*mae)
+    best = F.array_min(F.array(*[F.struct(F.col(f"m{k}").alias("m"), F.lit(n).alias("plan")) for k, n in enumerate(CONSTRUCTIONS)]))
+    return tried.select("bucket", best["plan"].alias("plan"), best["m"].alias("mae"))
+
+
+def next_minutes(points: DataFrame, observed: float | None, plans: DataFrame | None = None) -> DataFrame:
+    """The next hour's minutes (valid: minutes since the epoch) on straight lines between the first hours' points, anchored once, by the plans of their buckets; the reason names the construction."""
     w = Window.partitionBy("issue").orderBy("lead")
     path = points.where("lead <= 3 and p is not null").withColumn("l1", F.lead("lead").over(w)).withColumn("p1", F.lead("p").over(w)).where("l1 is not null")
     slope = (F.col("p1") - F.col("p")) / (F.col("l1") - F.col("lead"))
-    start = path.groupBy("issue").agg(F.min_by(F.struct(F.col("p"), F.col("lead"), slope.alias("s")), "lead").alias("f")).select("issue", (F.col("f.p") - F.col("f.s") * F.col("f.lead")).alias("z"))
+    start = path.groupBy("issue").agg(F.min_by(F.struct(F.col("p"), F.col("lead"), slope.alias("s")), "lead").alias("f")).select("issue", (F.col("f.p") - F.col("f.s") * F.col("f.lead")).alias("start"))
     # The line of the first two points is carried on to the issue itself.
     first = F.col("lead") == F.min("lead").over(Window.partitionBy("issue"))
     low = F.when(first, 1).otherwise((F.col("lead") * 60).cast("int"))
     m = path.withColumn("low", low).withColumn("m", F.explode(F.sequence(F.col("low"), F.greatest(F.col("low"), (F.col("l1") * 60 - 1).cast("int"))))).where("m between 1 and 60")
-    h = F.col("m") / 60
-    moved = F.col("p") + (h - F.col("lead")) * slope
-    if observed is not None:
-        moved = moved + anchor_weight(h, tau) * (F.lit(float(observed)) - F.col("z"))
-    return m.join(start, "issue").select("issue", (F.col("issue") * 60 + F.col("m")).alias("valid"), "lead", "bucket", "method", "reason", "degraded", moved.alias("p"))
+    hour = F.col("m") / 60
+    rows = m.join(start, "issue").select("issue", (F.col("issue") * 60 + F.col("m")).alias("valid"), "lead", lead_bucket(hour, "minutely").alias("bucket"), "method", "degraded", hour.alias("hour"), (F.col("p") + (hour - F.col("lead")) * slope).alias("path"), F.lit(None if observed is None else float(observed)).cast("double").alias("observed"), "start")
+    plans = points.sparkSession.createDataFrame([], "bucket string, plan string") if plans is None else plans
+    return planned_minutes(rows, plans).select("issue", "valid", "lead", "bucket", "method", F.col("construction").alias("reason"), "degraded", "p")
 
 
-def predict(cycles: DataFrame, forecasts: DataFrame, truth: DataFrame, snapshots: DataFrame, now: int, cap: int, initial: int, step: int, rule: str = "mcs", pins: DataFrame | None = None, forced: str | None = None) -> DataFrame:
+def predict(cycles: DataFrame, forecasts: DataFrame, truth: DataFrame, snapshots: DataFrame, now: int, cap: int, initial: int, step: int, rule: str = "mcs", pins: DataFrame | None = None, forced: str | None = None, minute_plans: DataFrame | None = None) -> DataFrame:
     """DOCUMENT for the issue ``now``, of nothing that wasn't known then: cycles fetched, and truths whose clock has passed. Nothing to serve is an error.
 
     The snapshot's rows get the method of their slice's release, decided on the evaluations of the past; its fit on all that is
@@ -94,7 +127,7 @@ def predict(cycles: DataFrame, forecasts: DataFrame, truth: DataFrame, snapshots
     served = settled(chosen.join(points.select("issue", "valid", "method", "p"), ["issue", "valid", "method"]), "chosen")
     last = seen.where(F.col("valid") == F.lit(now - 2)).select("y").first()
     hourly = dressed(served, log).withColumn("product", F.lit("hourly"))
-    minutely = next_minutes(served, None if last is None else last[0]).withColumn("product", F.lit("minutely")).withColumn("q", F.lit(None).cast("array<double>"))
+    minutely = next_minutes(served, None if last is None else last[0], minute_plans).withColumn("product", F.lit("minutely")).withColumn("q", F.lit(None).cast("array<double>"))
     name = release.agg(F.max("release_id").alias("release_id"))
     rows = hourly.select("issue", "product", "valid", "bucket", "method", "reason", "degraded", "p", "q").unionByName(minutely.select("issue", "product", "valid", "bucket", "method", "reason", "degraded", "p", "q"))
     return rows.crossJoin(F.broadcast(name)).select(*[c.split()[0] for c in DOCUMENT.split(", ")])  # one row
