@@ -95,3 +95,39 @@ def test_windows_over_the_log_are_keyed(spark, name):
     for line in windows:
         keys, order = re.search(r"\](?:, \[([^\[\]]*)\])?, \[([^\[\]]*)\]$", line).groups()
         assert "slice" in (keys or "") or any(c in order for c in ONE_ROW_A_SLICE), (keys, order)
+
+
+def test_uniform_transforms():
+    assert inference.pit_uniformity([10, 10, 10]) == pytest.approx(1.0)
+    assert inference.pit_uniformity([10, 20]) == pytest.approx(0.0679, abs=1e-4)  # chi-square 10/3 on one degree
+    assert inference.pit_uniformity([0, 0, 0, 100]) < 1e-12 and np.isnan(inference.pit_uniformity([0, 0]))
+
+
+def test_weights_of_the_bucket_with_most_rounds(spark):
+    import json
+
+    from weftcast.operators import sequential
+
+    of = lambda issue, bucket, sources, w, rounds: (issue, bucket, json.dumps(sources), json.dumps({"w": w, "rounds": rounds}))
+    rows = [of(1, "a", ["x", "y"], [0.5, 0.5], 3), of(2, "a", ["x", "y", "z"], [0.2, 0.3, 0.5], 9), of(1, "b", ["x"], [1.0], 5)]
+    got = sequential.weight_history(spark.createDataFrame(rows, "issue long, bucket string, sources string, state string")).collect()
+    assert {(r["issue"], r["source"]): r["weight"] for r in got} == {(1, "x"): 0.5, (1, "y"): 0.5, (1, "z"): None, (2, "x"): 0.2, (2, "y"): 0.3, (2, "z"): 0.5} and {r["bucket"] for r in got} == {"a"}
+
+
+def test_only_thin_cells_follow_the_whole_fold(spark):
+    """A fold whose cells all have errors enough is served by them alone; one with a thin cell also by all its errors."""
+    from weftcast.operators import sequential
+
+    rng, rows = np.random.default_rng(7), []
+    for fold, buckets in ((0, "xy"), (1, "xyz")):
+        for k in range(200):
+            for b in buckets:
+                if b == "z" and k % 20:
+                    continue
+                y = float(rng.normal())
+                rows.append((fold, k, k + 1, 1, b, "s", y + float(rng.normal(0, {"x": 0.1, "y": 5.0, "z": 1.0}[b])), y))
+    df = spark.createDataFrame(rows, ROW)
+    old, new = df.where("issue < 150"), df.where("issue >= 150")
+    width = {(r["fold"], r["bucket"]): r["w"] for r in sequential.conformal(old, new, methods.grounded).where("q is not null").groupBy("fold", "bucket").agg(F.avg(F.col("q")[6] - F.col("q")[0]).alias("w")).collect()}
+    assert set(width) == {(0, "x"), (0, "y"), (1, "x"), (1, "y"), (1, "z")}
+    assert width[0, "x"] < 1 < width[0, "y"] and width[1, "x"] < 1 < width[1, "z"]

@@ -390,7 +390,7 @@ def conformal(train: DataFrame, test: DataFrame, base=grounded, day: Column | No
     late = split_.where(F.col("issue") >= F.col("cut")).drop("cut")
     enough = proper.groupBy("fold").agg(F.count_distinct("issue", "valid").alias("k")).where(F.col("k") >= least).select("fold")
     mean = lambda rows: base(proper, rows).groupBy(*CELL).agg(F.first("y").alias("y"), F.avg("x").alias("p")).withColumn("cell", F.concat_ws("|", "bucket", F.lit("") if day is None else day.cast("string")))
-    errors = mean(late).join(enough, "fold", "left_semi").select("fold", "cell", "valid", "issue", "lead", F.abs(F.col("y") - F.col("p")).alias("e")).where("e is not null")
+    errors = settled(mean(late).join(enough, "fold", "left_semi").select("fold", "cell", "valid", "issue", "lead", F.abs(F.col("y") - F.col("p")).alias("e")).where("e is not null"), "errors")
 
     def follow(key, pdf):
         radii = Radii()
@@ -398,7 +398,10 @@ def conformal(train: DataFrame, test: DataFrame, base=grounded, day: Column | No
             radii.see(e)
         return pd.DataFrame([[key[0], key[1], radii.now().tolist()]]) if radii.n >= Radii.WARM else pd.DataFrame(columns=range(3))
 
-    both = errors.unionByName(errors.withColumn("cell", F.lit("all")))
+    # All errors of a fold are followed only where a cell to be served has too few of its own.
+    seen = errors.groupBy("fold", "cell").agg(F.count("*").alias("seen"))
+    thin = mean(test).select("fold", "cell").distinct().join(seen, ["fold", "cell"], "left").where(F.coalesce("seen", F.lit(0)) < Radii.WARM).select("fold").distinct()
+    both = errors.unionByName(errors.join(thin, "fold", "left_semi").withColumn("cell", F.lit("all")))
     tracked = both.groupBy("fold", "cell").applyInPandas(follow, "fold int, cell string, r array<double>")
     whole = tracked.where("cell = 'all'").select("fold", F.col("r").alias("g"))
     rows = mean(test).join(whole, "fold", "left").join(tracked, ["fold", "cell"], "left").withColumn("r", F.coalesce("r", "g"))
