@@ -87,11 +87,11 @@ class Folds:
         whole = self.summed(self.steps.drop("bucket"), ["source"])
         whole = whole.select("fold", "source", *[F.col(c).alias(f"g_{c}") for c in whole.columns if c not in ("fold", "source")])
         grid = whole.withColumn("bucket", F.explode(F.array(*[F.lit(b) for b in self.buckets])))
-        return kept(grid.join(local, ["fold", "source", "bucket"], "left"))
+        return grid.join(local, ["fold", "source", "bucket"], "left")  # out of rows at hand
 
     @cached_property
     def fits(self) -> DataFrame:
-        """bias, slope, intercept, mae, w (weights by squared errors) of every fold, source and bucket; see the methods they belong to."""
+        """bias, slope, intercept and mae of every fold, source and bucket; see the methods they belong to."""
 
         def line(g: str = "") -> tuple[Column, Column]:
             n, u, v, mx, my = (F.col(f"{g}{c}") for c in ("n", "u", "v", "mx", "my"))
@@ -106,8 +106,13 @@ class Folds:
         (s, i), (gs, gi) = line(), line("g_")
         out = out.withColumn("slope", drawn(s, gs)).withColumn("intercept", drawn(i, gi))
         out = out.withColumn("mae", F.coalesce(F.when(F.col("n") >= 24, F.col("a") / F.col("n")), F.col("g_a") / F.col("g_n")))
-        out = out.withColumn("loss", F.col("ee") + 2 * F.col("bias") * F.col("e") + F.col("n") * F.col("bias") * F.col("bias"))
-        return kept(self.weighted(out, "loss", "w").select("fold", "source", "bucket", "n", "bias", "slope", "intercept", "mae", "w"))
+        return kept(out.select("fold", "source", "bucket", "n", "e", "ee", "bias", "slope", "intercept", "mae"))
+
+    @cached_property
+    def mse_weights(self) -> DataFrame:
+        """w of every fold, source and bucket: weights by squared errors after the bias."""
+        losses = self.fits.withColumn("loss", F.col("ee") + 2 * F.col("bias") * F.col("e") + F.col("n") * F.col("bias") * F.col("bias"))
+        return kept(self.weighted(losses, "loss", "w").select("fold", "source", "bucket", "w"))
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -269,6 +274,7 @@ class Folds:
     #: What each method needs: tables joined to test rows, and the point out of a cell's rows.
     JOINS = {
         "fits": ["fold", "source", "bucket"],
+        "mse_weights": ["fold", "source", "bucket"],
         "mae_weights": ["fold", "source", "bucket"],
         "medians": ["fold", "source", "bucket"],
         "running": ["fold", "source", "bucket", "bin"],
@@ -287,7 +293,7 @@ class Folds:
             "grounded_median_equal_weight": (("medians",), F.avg(x + F.coalesce("median", none))),
             "affine_equal_weight": (("fits",), F.avg(F.coalesce("intercept", none) + F.coalesce("slope", F.lit(1.0)) * x)),
             "best_provider": (("fits",), F.min_by("x", F.struct(F.coalesce("mae", F.lit(float("inf"))), "source"))),
-            "inverse_mse": (("fits",), weighted("w", grounded)),
+            "inverse_mse": (("fits", "mse_weights"), weighted("w", grounded)),
             "inverse_mae": (("fits", "mae_weights"), weighted("w1", grounded)),
             "trimmed_mean": ((), trimmed_mean(F.collect_list(x))),
             "grounded_trimmed_mean": (("fits",), trimmed_mean(F.collect_list(grounded))),
@@ -303,7 +309,7 @@ class Folds:
         rows = self.binned(self.test)
         for table in dict.fromkeys(t for n in names for t in points[n][0]):
             fit = getattr(self, table)
-            rows = rows.join(fit.drop("n"), self.JOINS[table], "left")
+            rows = rows.join(fit.drop("n", "e", "ee"), self.JOINS[table], "left")
         out = rows.groupBy(*CELL).agg(F.first("y").alias("y"), *[points[n][1].alias(f"p_{k}") for k, n in enumerate(names)])
         for k, n in enumerate(names):
             if n == "damped_grounded_equal_weight":
