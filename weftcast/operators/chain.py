@@ -27,6 +27,7 @@ class Now(Folds):
         self.count = 1
         self.train = train.withColumn("since", F.lit(0))
         self.test = snapshot.withColumn("fold", F.lit(0))
+        self.rows = train.select("source", "bucket", "x", "y").unionByName(snapshot.select("source", "bucket", "x", "y"))
 
 
 def known(truth: DataFrame, now: int, delay: int = 2) -> DataFrame:

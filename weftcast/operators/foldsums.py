@@ -53,14 +53,19 @@ class Folds:
     def __init__(self, rows: DataFrame, origins: list[int], step: int, delay: int = 2):
         self.count = len(origins)
         first = origins[0] if origins else 0
-        some = rows.where("y is not null") if origins else rows.limit(0)
+        self.rows = some = rows.where("y is not null") if origins else rows.limit(0)
         behind = lambda v, d: F.floor((F.col(v) + d - first + step - 1) / F.lit(step)).cast("int")
         self.train = some.withColumn("since", F.greatest(F.lit(0), behind("valid", delay))).where(F.col("since") < self.count)
         self.test = some.withColumn("fold", behind("issue", 0) - 1).where((F.col("fold") >= 0) & (F.col("fold") < self.count))
 
+    @cached_property
+    def shape(self) -> DataFrame:
+        """The sources and buckets there are, with the means of x and y."""
+        return kept(self.rows.groupBy("source", "bucket").agg(F.avg("x").alias("mx"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("my")))
+
     @cached_property
     def buckets(self) -> list[str]:
-        return [r["bucket"] for r in self.steps.select("bucket").unionByName(self.test.select("bucket")).distinct().collect()]
+        return sorted({r["bucket"] for r in self.shape.collect()})
 
     def summed(self, steps: DataFrame, by: list[str]) -> DataFrame:
         """``steps`` holds sums by ``by``, since and perhaps more; the sums of all rows that each fold knows, for folds that know any."""
@@ -74,9 +79,9 @@ class Folds:
 
     @cached_property
     def steps(self) -> DataFrame:
-        """Sums by source, bucket and since; x and y less the source's mean, so that spreads keep their digits."""
-        means = self.train.groupBy("source").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-        rows = self.train.join(kept(means), "source").withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
+        """Sums by source, bucket and since; x and y less about the source's mean, so that spreads keep their digits."""
+        means = self.shape.groupBy("source").agg(F.avg("mx").alias("mx"), F.avg("my").alias("my"))
+        rows = self.train.join(means, "source").withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
         e = F.col("x") - F.col("y")
         return kept(rows.groupBy("source", "bucket", "since").agg(F.count("*").alias("n"), F.sum(e).alias("e"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("ee"), F.sum("u").alias("u"), F.sum("v").alias("v"), F.sum(F.col("u") * F.col("v")).alias("uv"), F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum("mx").alias("mx"), F.sum("my").alias("my")))
 
