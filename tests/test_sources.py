@@ -3,9 +3,11 @@
 import json
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from weftcast.plans import registry
 from weftcast.sources import archive, scratch, sinks
 
 
@@ -91,6 +93,42 @@ def test_a_failed_run_ledger_stops_nobody(spark, tmp_path):
     assert sinks.append_run(rows, str(tmp_path / "runs"), ["no such key"], "t", 10, 90) == -1
 
 
+def test_a_run_ledger_is_bounded_by_what_is_asked_for(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5), (1, 6), (2, 200), (3, 201), (3, 201), (None, 202), (None, 202)], "k long, t long")
+    for keep, want in ((None, [2, 3, 3, None, None]), (3, [3, None, None])):
+        path = str(tmp_path / f"runs-{keep}")
+        assert sinks.append_run(rows, path, ["k"], "t", 202, 90, keep) == 7
+        got = [r["k"] for r in sinks.read_dataset(spark, path, "ledger").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert sinks.append_run(rows, path, ["k"], "t", 202, 90, None) == 3
+    assert sinks.append_ledger(rows, str(tmp_path / "ledger"), ["k"], "t", 202, 90) == 7
+    assert sinks.read_dataset(spark, str(tmp_path / "ledger"), "ledger").count() == 5
+
+
+@pytest.mark.parametrize("many", [60_000, 0])
+def test_the_run_ledger_query_keeps_every_run_of_its_days(spark, tmp_path, many):
+    """As its SQL: more than 50,000 runs, runs that share a key or have none, and none without a time."""
+    day = lambda c: F.expr(f"timestamp '2024-01-01' + make_dt_interval({c})")
+    odd = spark.createDataFrame([(7, 0), (7, 0), (None, 1), (None, 1), (-1, -90), (-2, -91), (-3, None)], "o_orderkey long, n int")
+    rows = spark.range(many).select(F.col("id").alias("o_orderkey"), (-(F.col("id") % 100)).cast("int").alias("n")).union(odd if many else odd.where("n is null"))
+    rows.select("o_orderkey", day("n - 1").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.queries()["snk9_run_ledger"](spark, str(tmp_path)).select("k", "t").collect()]
+    assert sorted(got, key=str) == sorted(con.execute(registry.oracle_sql()["snk9_run_ledger"]).fetchall(), key=str)
+    assert len(got) > 50_000 or not many
+
+
+def test_days_of_the_run_ledger_are_those_of_its_sql(spark, tmp_path):
+    times = ["1970-01-01 12:00:00", "1969-12-31 12:00:00", "1970-01-01 23:59:59.4", "1970-01-01 23:59:59.5", "1970-01-02 23:59:59.500001", "1969-10-03 12:00:00", "1969-10-04 00:00:00", None]
+    rows = spark.createDataFrame(list(enumerate(times)), "o_orderkey long, o_orderdate string")
+    rows.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = registry.queries()["snk9_run_ledger"](spark, str(tmp_path)).select("k", "t").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracle_sql()["snk9_run_ledger"]).fetchall())
+
+
 def test_documents_and_states(spark, tmp_path):
     text = json.dumps({"a": [1, 2.5, None]}) + "\n"
     sinks.archive_document(spark, str(tmp_path / "docs"), "2024-01-01", text)

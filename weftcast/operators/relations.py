@@ -21,10 +21,10 @@ def novel(rows: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(ledger, same, "left_anti")
 
 
-def pruned(ledger: DataFrame, time: str, now: int, age: int, keep: int) -> DataFrame:
-    """Rows no older than ``age`` (a null time stays), of these the newest ``keep``."""
+def pruned(ledger: DataFrame, time: str, now: int, age: int, keep: int | None = None) -> DataFrame:
+    """Rows no older than ``age`` (a null time stays), of these the newest ``keep``, or all where that is None."""
     young = ledger.where(F.col(time).isNull() | (F.col(time) >= now - age))
-    return young.orderBy(F.desc_nulls_last(time)).limit(keep)
+    return young if keep is None else young.orderBy(F.desc_nulls_last(time)).limit(keep)
 
 
 def merged_long(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
