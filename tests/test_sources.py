@@ -129,6 +129,28 @@ def test_days_of_the_run_ledger_are_those_of_its_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracle_sql()["snk9_run_ledger"]).fetchall())
 
 
+def test_equally_far_neighbours_go_by_their_id(spark):
+    """0.02 degrees east and west of the site, and a fifth of that: in doubles the sums below miss it by their last bits."""
+    for west, east in ((-117 + 2 * 0.04, -117 + 3 * 0.04), (-116.9 - 0.004, -116.9 + 0.004)):
+        for ids in ((1, 2, 3, 4), (4, 3, 2, 1), (1, 3, 2, 4)):
+            rows = [(k, 34 + 4 * 0.05, lon, 1400.0) for k, lon in zip(ids, (west, west, east, east))] + [(0, float("nan"), west, 1400.0), (-1, 34.2, None, 1400.0)]
+            stations = spark.createDataFrame(rows, "stid long, latitude double, longitude double, elevation double")
+            got = archive.neighbours(stations, 34.2, -116.9, 1400.0, 40.0, 300.0, 2).collect()
+            assert sorted(r["stid"] for r in got) == [1, 2] and len({r["km"] for r in got}) == 1
+
+
+@pytest.mark.parametrize("users", [1_500, 6_000])
+def test_the_neighbour_scan_chooses_the_stations_of_its_sql(spark, tmp_path, users):
+    rows = spark.range(users * 3).select(F.col("id").alias("event_id"), (F.col("id") % users).alias("user_id"), F.expr("timestamp '1970-01-01' + make_dt_interval(0, 0, id % 180 - 90)").alias("ts"), (F.col("id") % 97 / 4).alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    columns = ["stid", "hour", "temperature", "km"]
+    got = sorted(tuple(r) for r in registry.queries()["src14_neighbour_scan"](spark, str(tmp_path)).select(columns).collect())
+    want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()['src14_neighbour_scan']})").fetchall())
+    assert got == want and len({r[0] for r in got}) == 8
+
+
 def test_documents_and_states(spark, tmp_path):
     text = json.dumps({"a": [1, 2.5, None]}) + "\n"
     sinks.archive_document(spark, str(tmp_path / "docs"), "2024-01-01", text)

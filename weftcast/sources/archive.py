@@ -337,8 +337,9 @@ def cycle_long(cells: DataFrame, latitude: float, longitude: float, source: str,
 
 
 def neighbours(stations: DataFrame, latitude: float, longitude: float, elevation: float, radius_km: float, band_m: float, most: int = 8) -> DataFrame:
-    """The stations nearest to a site, ``most`` of them, within a radius and a band of elevation, with their distance in km. The cap is the feature: a report on the nearest eight."""
-    km = haversine_km(F.col("latitude"), F.col("longitude"), F.lit(latitude), F.lit(longitude))
+    """The stations nearest to a site, ``most`` of them, within a radius and a band of elevation, with their distance in km. The cap is the feature: a report on the nearest eight. Of equally far ones those of least ``stid`` count; for that, coordinates are decimals (12 places, a tenth of a micrometre), as in doubles two that mirror each other about the site differ in their last bits."""
+    at = [F.col(c).try_cast("decimal(15,12)") for c in ("latitude", "longitude")]
+    km = haversine_km(*at, *[F.lit(v).cast("decimal(15,12)") for v in (latitude, longitude)])
     near = stations.withColumn("km", km).where((F.col("km") <= radius_km) & (F.abs(F.col("elevation") - elevation) <= band_m))
     return near.orderBy("km", "stid").limit(most)
 
